@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import licenses, mixing, neighbours, pii, quality, tokens, transport, warc
+from pagequarry.llm import licenses, mixing, near_dedup, neighbours, pii, quality, tokens, transport, warc
 from pagequarry.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_perplexity": op4_quality_perplexity,
         "op5_transport_streams": op5_transport_streams,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_warc_archives": op7_warc_archives,
         "op9_pii_spans": op9_pii_spans,
         "op10_source_mix": op10_source_mix,
