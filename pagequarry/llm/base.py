@@ -17,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; a local one is set only where none is
+    (single-machine tests)."""
+    jvm = spark.sparkContext._jsc.sc()
+    if jvm.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return jvm.getCheckpointDir().get()
+
 
-    The folder is the cluster's spark.checkpoint.dir; a local one is set only where none is (single-machine tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there: what is lost with an executor needn't be computed again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import licenses, mixing, near_dedup, neighbours, pii, quality, tokens, transport, warc
+from pagequarry.llm import licenses, mixing, near_dedup, neighbours, pieces, pii, quality, tokens, transport, warc
 from pagequarry.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op5_transport_streams": op5_transport_streams,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_warc_archives": op7_warc_archives,
+        "op8_sentence_pieces": op8_sentence_pieces,
         "op9_pii_spans": op9_pii_spans,
         "op10_source_mix": op10_source_mix,
     }
