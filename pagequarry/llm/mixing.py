@@ -85,7 +85,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     dup = F.col("dup") if "dup" in docs.columns else F.lit(1)
     sized = cut(docs.select("doc_id", dup.cast("int").alias("dup"), _key("source").alias("skey"), "source", size.alias("size")))
     targets = cut(source_targets(sized, weights, max_copies))
-    most = targets.agg(F.max("n_docs")).first()[0] or 0
+    most, docs_in_all = (x or 0 for x in targets.agg(F.max("n_docs"), F.sum("n_docs")).first())
+    tasks = max(1, -(-docs_in_all // 8192))  # of the first level; the data are small, so Spark would put them in too few
     share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     base = F.floor(share + _EPS).cast("int")
     all_docs = sized.drop("source").join(targets, "skey").withColumn("base", base)
@@ -100,12 +101,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     while True:
         blocks = -(-blocks // block)  # for the largest source; smaller ones have their own number
         n = F.greatest(F.ceil(F.col("n_docs") / float(block)), F.lit(1)).cast("long")
-        folded = left.withColumn("n_docs", n).groupBy("skey", "n_docs", F.pmod(F.col("u.h"), n).alias("b")).agg(
+        parted = left.select("skey", n.alias("blocks"), "u").withColumn("b", F.pmod(F.col("u.h"), F.col("blocks")))
+        folded = parted.repartition(tasks, "skey", "b").groupBy("skey", "blocks", "b").agg(
             F.aggregate(F.array_sort(F.collect_list("u")), start, lambda a, x: _pivot(a, x, seed)).alias("f")
         )
         folded = cut(folded)
         whole.append(folded.select("skey", F.explode("f.done").alias("d")).select("skey", "d.*"))
-        left = folded.where(F.col("f.cur").isNotNull()).select("skey", "n_docs", F.col("f.cur").alias("u"))
+        left = folded.where(F.col("f.cur").isNotNull()).select("skey", F.col("blocks").alias("n_docs"), F.col("f.cur").alias("u"))
+        tasks = -(-tasks // block)
         if blocks <= 1:
             break
     last = (_uniform(F.col("u.h"), F.lit(seed + 1)) < F.col("u.p")).cast("int")
