@@ -4,8 +4,8 @@ Each document of a source wants f = target / source_size copies. floor(f) copies
 dependently: two documents move mass (p times size) from one to the other until one of them has 0 or 1, so that the taken
 words of the pair stay the same and every document keeps its expected share. A block of documents is folded this way to
 whole copies and one document with a fraction left; those go on to the next level of a reduction tree, whose last level
-rounds one document per source at random. The words taken from a source thus differ from its target by less than
-one document.
+rounds one document per source to the nearer number. The words taken from a source thus differ from its target by at most
+half a document.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def _pivot(acc: Column, x: Column, seed: int) -> Column:
     goes_up = _uniform(cur["h"], x["h"], F.lit(seed)) < F.try_divide(down, up + down)
 
     def unit(of: Column, p: Column) -> Column:
-        return F.struct(of["h"].alias("h"), of["doc_id"].alias("doc_id"), of["dup"].alias("dup"), of["size"].alias("size"), of["base"].alias("base"), p.alias("p"))
+        return F.struct(of["order"].alias("order"), of["h"].alias("h"), of["doc_id"].alias("doc_id"), of["dup"].alias("dup"), of["size"].alias("size"), of["base"].alias("base"), p.alias("p"))
 
     def step(whole: Column, extra: int, left: Column) -> Column:
         one = F.struct(whole["doc_id"].alias("doc_id"), whole["dup"].alias("dup"), whole["size"].alias("size"), (whole["base"] + extra).alias("copies"))
@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     all_docs = sized.drop("source").join(targets, "skey").withColumn("base", base)
     all_docs = all_docs.withColumn("p", F.greatest(share - F.col("base"), F.lit(0.0)))
     open_ = (F.col("p") > _EPS) & (F.col("size") > 0)
-    unit = F.struct(F.xxhash64("skey", "doc_id", "dup", "size", F.lit(seed)).alias("h"), "doc_id", "dup", F.col("size"), "base", "p")
+    # Large documents first: only partners of about their size can make them whole, so the one left over is rather a small one.
+    unit = F.struct((-F.col("size")).alias("order"), F.xxhash64("skey", "doc_id", "dup", "size", F.lit(seed)).alias("h"), "doc_id", "dup", F.col("size"), "base", "p")
     left = all_docs.where(open_).select("skey", "n_docs", unit.alias("u"))
     kind = all_docs.select(unit.alias("u")).schema["u"].dataType.simpleString()
     start = F.struct(F.lit(None).cast(kind).alias("cur"), F.array().cast("array<struct<doc_id:{},dup:int,size:bigint,copies:int>>".format(dict(docs.dtypes)["doc_id"])).alias("done"))
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
         tasks = -(-tasks // block)
         if blocks <= 1:
             break
-    last = (_uniform(F.col("u.h"), F.lit(seed + 1)) < F.col("u.p")).cast("int")
+    last = (F.col("u.p") >= 0.5).cast("int")  # one document of a source: to the nearer, which leaves half its size at most
     whole.append(left.select("skey", "u.doc_id", "u.dup", "u.size", (F.col("u.base") + last).alias("copies")))
     out = whole[0]
     for part in whole[1:]:
