@@ -24,7 +24,7 @@ from pagequarry.llm.base import cut
 
 BLANK = "\u2581"
 #: Characters from which a document is scanned in chunks, characters of a chunk, nodes that a round joins, words in the memo.
-GIANT, CHUNK, FAN, MEMO = 1 << 16, 1 << 12, 32, 600_000
+GIANT, CHUNK, FAN, MEMO = 1 << 16, 1 << 12, 32, 250_000
 _WORD, _BEGIN = re.compile(f"{BLANK}+[^{BLANK}]*"), re.compile(f"(?<=[^{BLANK}]){BLANK}")
 NEVER = -np.inf
 
@@ -57,7 +57,7 @@ class Coder:
         self.number = {sp.id_to_piece(i): i for i in normal}
         self.longest = max(map(len, self.score))
         assert not any(BLANK in p.lstrip(BLANK) for p in self.score), "a piece goes on after a blank"
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.stable_memo: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
@@ -71,7 +71,7 @@ class Coder:
             return [self.number[piece]]
         return [self.sp.piece_to_id(f"<0x{b:02X}>") for b in piece.encode()]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids as the library gives them, word by word; a word is a run of blanks with what follows it."""
         split = []
         for t in texts:
@@ -84,11 +84,12 @@ class Coder:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        memo[""] = (self.number[BLANK],)
+        memo[""] = np.int32(self.number[BLANK]).tobytes()
         new = list({w for ws in split for w in ws if w not in memo})
-        if new:  # the library puts a blank before every text: it stands for the first blank of the word
-            memo.update(zip(new, map(tuple, self.sp.encode(new, num_threads=1))))
-        return [[i for w in ws for i in memo[w]] for ws in split]
+        for at in range(0, len(new), 10_000):  # the library puts a blank before every text: the first one of the word
+            some = new[at : at + 10_000]
+            memo.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(some, self.sp.encode(some, num_threads=1)))
+        return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1) if ids else []
@@ -191,7 +192,7 @@ class Coder:
 
     def _words(self, spelled: str) -> list[int]:
         """Ids of whole words: the blank before them is the one that the library puts there."""
-        return self.encode([spelled[1:].replace(BLANK, " ")])[0] if spelled != BLANK else [self.number[BLANK]] if spelled else []
+        return self.encode([spelled[1:].replace(BLANK, " ")])[0].tolist() if spelled != BLANK else [self.number[BLANK]] if spelled else []
 
     def _back(self, t: str, last: dict[int, int], start: int, end: int) -> list[int]:
         pieces = []
@@ -316,8 +317,9 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: s
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.encode(texts), pa.list_(pa.int32()))], names=["r", "ids"])
+                ids = c.encode([t or "" for t in part.column(1).to_pylist()])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["r", "ids"])
 
     is_giant = F.coalesce(F.length(text), F.lit(0)) > giant
     packed = docs.where(~is_giant).select(F.struct(*rest).alias("r"), text)
@@ -336,10 +338,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 ids = part.column(1).to_pylist()
-                known = iter(c.decode([x for x in ids if x is not None]))
+                known = iter(c.decode([x for x in ids if x is not None]))  # a slice at a time: lists of numbers are large
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else next(known) for x in ids], pa.string())], names=["r", "decoded"])
 
     packed = encoded.select(F.struct(*encoded.columns).alias("r"), "ids")
