@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 DASH = "—"
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+def nfc(c: Column) -> Column:
     """Composed Unicode form; the one step of a file name that Spark has no function for."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return compose(c)
 
 
 def sanitize_filename(c: Column, kind: str = "image", compose: bool = False) -> Column:

@@ -238,7 +238,7 @@ def parse_srcset(c: Column) -> Column:
 
     raw still has to be resolved with normalize_url().
     """
-    items = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x.rlike(r"^\S+(\s+[0-9.]+[whx])?$"))
+    items = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^\S+(\s+[0-9.]+[whx])?$"))
 
     def one(x: Column) -> Column:
         n, unit = F.regexp_extract(x, r"\s([0-9.]+)[whx]$", 1).try_cast("double"), F.regexp_extract(x, r"\s[0-9.]+([whx])$", 1)

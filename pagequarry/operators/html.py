@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -337,7 +338,7 @@ def balanced_json(text: Column, marker: str) -> Column:
     """The JSON object that follows marker, braces balanced outside of strings; null without one."""
 
     @F.pandas_udf("string")
-    def pull(batches: Iterator) -> Iterator:
+    def pull(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: _balanced(t, marker))
 

@@ -29,7 +29,8 @@ def _with_header(header: str):
         import pyarrow as pa
 
         yield pa.RecordBatch.from_pydict({"value": [header]})
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"value": batch.column(0)})
 
     return run
 
