@@ -4,8 +4,8 @@ Vectors get one more coordinate so that all have the norm of the longest; then t
 smallest Euclidean distance d to the query scaled to that norm. m Gaussian projections turn d into a projected distance whose
 square is d**2 times a chi-square variable of m degrees. A kd-tree over the projections, its splits fitted on a bounded
 sample, deals all vectors out to cells. A query goes to the cells in order of their projected distance: first to the
-nearest few, whose vectors are verified in the original space and give the k-th best distance so far; then to all cells
-that hold a point closer than that with a chance above 1 - confidence by the chi-square test. The others are left out.
+nearest few, whose vectors are verified in the original space and give the k-th best distance so far; then to some more and
+at last to all cells that hold a point closer than that with a chance above 1 - confidence by the chi-square test. The others are left out.
 Queries and cells meet in blocks of bounded size by a join on the cell; only the boxes of at most 1024 cells go through the
 driver.
 """
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pagequarry.llm.base import cut
 
 #: Projections, chance to find each neighbour, rows of the sample that the tree is fitted on, rows wanted in a cell, most
-#: cells (2 ** DEPTH), rows of a block, queries of a block, rows to verify in the first round.
-PROJECTIONS, CONFIDENCE, SAMPLE, CELL, DEPTH, BLOCK, QUERIES, FIRST = 8, 0.97, 16_384, 512, 10, 2_048, 4_096, 400
+#: cells (2 ** DEPTH), rows of a block, queries of a block.
+PROJECTIONS, CONFIDENCE, SAMPLE, CELL, DEPTH, BLOCK, QUERIES = 8, 0.97, 16_384, 512, 10, 2_048, 4_096
+#: Rows to verify in the first and up to the second round; the third takes all that the test leaves.
+ROUNDS = (400, 4_000)
 SEED = 7
 
 
@@ -115,8 +117,10 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
     blocks = np.maximum(1, -(-rows // BLOCK))
     test = chi_square_quantile(confidence, PROJECTIONS)
 
-    def plan(first: bool):
-        """Cells to visit for each query; in the second round those that the test doesn't rule out, without the first ones."""
+    def plan(number: int):
+        """Cells to visit for each query: the nearest by rows, then further ones as long as the test doesn't rule them out."""
+        begin = 0 if number == 0 else max(ROUNDS[number - 1], k + 1)
+        end = max(ROUNDS[number], k + 1) if number < len(ROUNDS) else n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -129,14 +133,13 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
                     gap = (gap * gap).sum(axis=2)
                     order = np.argsort(gap, axis=1, kind="stable")
                     have = np.cumsum(rows[order], axis=1)
-                    early = np.zeros(gap.shape, bool)
-                    np.put_along_axis(early, order, have - rows[order] < max(FIRST, k + 1), axis=1)
+                    nearer = np.zeros(gap.shape, np.int64)  # rows in the cells before each
+                    np.put_along_axis(nearer, order, have - rows[order], axis=1)
                     worst = np.asarray(part.column(2)).astype(float)
-                    if first:
-                        visit = early
-                    else:
+                    visit = (nearer >= begin) & (nearer < end)
+                    if number:
                         best = 2 * longest**2 - 2 * longest * worst / size
-                        visit = ~early & (gap <= test * np.maximum(best, 0)[:, None])
+                        visit &= gap <= test * np.maximum(best, 0)[:, None]
                     i, c = np.nonzero(visit)
                     times = blocks[c]
                     i, c = np.repeat(i, times), np.repeat(c, times)
@@ -169,8 +172,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    def visit(queries: DataFrame, first: bool) -> DataFrame:
-        due = queries.select("query_id", "q", "worst").mapInArrow(plan(first), "query_id bigint, q array<double>, worst double, cell bigint, block bigint")
+    def visit(queries: DataFrame, number: int) -> DataFrame:
+        due = queries.select("query_id", "q", "worst").mapInArrow(plan(number), "query_id bigint, q array<double>, worst double, cell bigint, block bigint")
         due = due.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(asked / QUERIES)))))
         parts = due.select(F.col("cell").alias("of_cell"), F.col("block").alias("of_block"), F.col("part").alias("of_part")).distinct()
         mine = data.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.element_at(F.create_map(*[F.lit(int(z)) for pair in zip(ids, blocks) for z in pair]), F.col("cell"))))
@@ -183,7 +186,10 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
 
     queries = data.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     asked = queries.count()
-    once = cut(best(visit(queries.withColumn("worst", F.lit(float("-inf"))), True)))
-    worst = once.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
-    again = visit(queries.join(worst, "query_id", "left").fillna(float("-inf"), ["worst"]), False)
-    return best(once.drop("rank").unionByName(again)).select("query_id", "rank", "vec_id", "score")
+    found = cut(best(visit(queries.withColumn("worst", F.lit(float("-inf"))), 0)))
+    for number in range(1, len(ROUNDS) + 1):
+        worst = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
+        more = visit(queries.join(worst, "query_id", "left").fillna(float("-inf"), ["worst"]), number)
+        found = best(found.drop("rank").unionByName(more))
+        found = cut(found) if number < len(ROUNDS) else found
+    return found.select("query_id", "rank", "vec_id", "score")
