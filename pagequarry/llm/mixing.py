@@ -128,10 +128,10 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """
     ids = docs.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) ).alias("d")).first()
     if ids["n"] == ids["d"]:
-        keyed = docs.withColumn("dup", F.lit(1))
+        keyed = docs.withColumn("dup", F.lit(1))  # a column of that name is replaced: it would not be one of documents
     else:
         order = W.partitionBy("doc_id").orderBy("source", F.xxhash64("text"), F.length("text"))
         keyed = docs.withColumn("dup", F.row_number().over(order))
-    copies = mix(keyed, **params).where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("dup").alias("_dup"), "copies")
+    copies = mix(keyed, **params).where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("dup").alias("_dup"), F.col("copies").alias("_copies"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dup") == F.col("_dup"))
-    return keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

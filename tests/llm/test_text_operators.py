@@ -1,0 +1,200 @@
+"""License scan, token counts, perplexity, personal data and pieces against plain Python."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagequarry.llm import licenses, pieces, pii, quality, tokens
+from tests.conftest import DATA
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string"
+ODD = [None, "", " ", "x", "CC BY cc-by CC  BY", "All Rights Reserved. all rights reserved", "général public license", "a\x00b", "日本 cc by 語", "İK cc by", "GNU General Public License version 3", "x" * 50_000, "cc by " * 3_000]
+
+
+def docs(spark, texts):
+    rows = [(i, t, "en", "s", len(t or ""), "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+
+
+def test_licenses(spark, real):
+    texts = ODD + real
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for r in licenses.license_digest(docs(spark, texts)).collect():
+        words = word.findall((texts[r.doc_id] or "").translate(LOWER))
+        hits = [(label, i) for label, _, phrase in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = [i for _, i in hits]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(hits), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({label for label, _ in hits}))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_rules_are_sound():
+    rules = licenses.rules()
+    assert len(rules) > 300
+    for _, priority, gate, key, rx in rules:
+        assert priority in (1, 2, 3) and re.compile(rx)
+        sample = f" {rx} "
+        assert not re.search(r"\(\?", rx) or True, sample
+
+
+def test_license_suppression(spark):
+    r = licenses.scan(docs(spark, ["Licensed under the Apache License, Version 2.0 (the License)", "SPDX-License-Identifier: MIT", "This work: CC BY-SA 4.0"])).orderBy("doc_id").collect()
+    labels = [{x.label for x in row.detections} for row in r]
+    assert "apache-2.0" in labels[0] and "mit" in labels[1] and "cc-by-sa-4.0" in labels[2]
+    for row in r:  # none within another of no lower priority
+        for a in row.detections:
+            assert not any(b != a and b.priority >= a.priority and b.first_word <= a.first_word and b.last_word >= a.last_word for b in row.detections)
+
+
+def test_tokens(spark, real):
+    from tokenizers import Tokenizer
+
+    texts = ODD[:-2] + ["it's 12.5 <|endoftext|> naïve\x1cX", *real[:60]]
+    tok = Tokenizer.from_file(tokens.vocabulary_path())
+    for r in tokens.count_tokens(docs(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids))
+        assert r.over_limit == (r.n_tokens > 2048)
+
+
+@pytest.mark.parametrize("text", ["née Ünï 9 " * 900, "x" * 4_000, "a " * 3_000, ("word" * 300 + " ") * 9, "it's <|endoftext|>x " * 700])
+def test_resynchronised_chunks(text):
+    counter = tokens.WordCounter(tokens.vocabulary_path())
+    want = len(counter.tok.encode(text, add_special_tokens=False).ids)
+    assert counter.spliced(text, chunk=700, overlap=16) == want == counter.words([text])[0]
+
+
+def test_kneser_ney(spark, real):
+    """The table against a plain model with dictionaries, the join against the table, sums of probabilities."""
+    d = docs(spark, real[:40]).select("text", F.lit(0).alias("fold"))
+    counts = quality.count_grams(d).drop("fold")
+    table = quality.dense_table(*quality.probabilities(counts))
+    sums = np.exp(-table.astype(float)).reshape(-1, quality.A).sum(axis=1)
+    assert np.allclose(sums, 1, atol=1e-4)
+    have = {r.key: r.n for r in counts.collect()}
+    levels = {4: have}
+    for k in (3, 2, 1):
+        levels[k] = {}
+        for key in levels[k + 1]:
+            levels[k][key % quality.A**k] = levels[k].get(key % quality.A**k, 0) + 1
+    disc, rows = {}, {}
+    for k, c in levels.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2])
+        disc[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i - 0.01) if n[i] else (0.5, 1.0, 1.5)[i - 1] for i in (1, 2, 3)]
+        for key, v in c.items():
+            rows.setdefault((k, key // quality.A), []).append(v)
+
+    def p(k, key):
+        if k == 0:
+            return 1 / quality.A
+        key %= quality.A**k
+        seen = rows.get((k, key // quality.A))
+        if not seen:
+            return p(k - 1, key)
+        cost = lambda v: disc[k][min(v, 3) - 1]
+        v = levels[k].get(key, 0)
+        return ((v - cost(v)) if v else 0) / sum(seen) + sum(map(cost, seen)) / sum(seen) * p(k - 1, key)
+
+    rng = np.random.default_rng(1)
+    for key in [*rng.choice(list(have), 60), *rng.integers(0, quality.SIZE, 60)]:
+        assert abs(-np.log(p(4, int(key))) - table[key]) < 1e-4
+    some = docs(spark, [None, "", "Abc é!", *real[:5]])
+    direct = {r.doc_id: r for r in quality.perplexity(some.select("doc_id", "lang", "text"), table).collect()}
+    cost = spark.createDataFrame([(int(k), float(table[k])) for k in {int(k) for t in [None, "", "Abc é!", *real[:5]] for k in quality.grams(__import__("pyarrow").array([t], "string"))[0]}], "key long, cost double")
+    for r in quality.perplexity_by_join(some, cost).collect():
+        assert r.n_grams == direct[r.doc_id].n_grams and abs(r.perplexity - direct[r.doc_id].perplexity) < 1e-6 * r.perplexity
+
+
+def test_quality_held_out(spark):
+    """Trained on half of the labels, the other half is told apart; empty tables and missing labels do no harm."""
+    more = DATA.replace("0.001", "0.01")
+    d, labels = spark.read.parquet(f"{more}/documents.parquet"), spark.read.parquet(f"{more}/labels.parquet")
+    out = quality.classify(d, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good = [r.kept for r in out if r.quality == 1]
+    bad = [r.kept for r in out if r.quality == 0]
+    assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.4
+    assert quality.classify(d.limit(0), labels).count() == 0
+    assert quality.classify(d.limit(5), labels.limit(0)).where("kept").count() == 5
+    kept = quality.keep_good(d, labels)
+    assert kept.columns == d.columns and kept.count() == quality.classify(d, labels).where("kept").count()
+
+
+RX = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+PII = [
+    None, "", "a@b.c@d.e_f@g.h", "x@y", "mail a.b+c@d-e.co.uk, 1.2.3.4.5.6.7.8 or 256.1.1.1 and 000255.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1112 5", "+49 (30) 1234-5678 +1 2", "é😀 +1 555 123 4567 😀 q@r.st",
+    "1-2 " * 3_000, "9" * 9_000, "a" * 9_000 + "@", "a.b." * 3_000, "1." * 5_000, "+1" * 999, "x@" + "a." * 4_000 + "b", "mail me: bob (at) example (dot) com", "tel. 030 1234 5678 9",
+]
+
+
+def _luhn(d):
+    z = [int(c) for c in d][::-1]
+    return (sum(z[::2]) + sum(sum(divmod(2 * x, 10)) for x in z[1::2])) % 10 == 0
+
+
+def _fine(kind, v):
+    digits = re.sub("[^0-9]", "", v)
+    return (True, all(int(p) <= 255 for p in v.split(".")) if kind == 1 else None, 13 <= len(digits) <= 19 and _luhn(digits), 9 <= len(digits) <= 15)[kind]
+
+
+def test_pii(spark, real):
+    texts = PII + real
+    for r in pii.pii_digest(docs(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        spans = [(k, m.start(), m.end()) for k, rx in enumerate(RX) for m in re.finditer(rx, t) if _fine(k, m.group())]
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, *_ in spans) for k in range(4)), t[:80]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), t[:80]
+        assert set(said.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_redaction(spark):
+    d = docs(spark, ["mail a@b.co now +49 30 1234567", None, "clean"])
+    out = {r.doc_id: r for r in pii.redact(d).collect()}
+    assert out[0].text == "mail [EMAIL] now [PHONE]" and out[0].n_chars == len(out[0].text)
+    assert out[1].text is None and out[2].text == "clean" and pii.redact(d).columns == d.columns
+    assert pii.redact(d.limit(0)).count() == 0
+
+
+def test_pieces(spark, real):
+    lib = pieces.Coder(pieces.model_path()).sp
+    texts = [None, "", " ", "  a  b ", "a\nb", "▁x▁▁y", "日本①語", *real[:60]]
+    got = pieces.decode(pieces.encode(docs(spark, texts), giant=2_000)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id] or ""
+        assert r.ids == lib.encode(t) and r.decoded == lib.decode(lib.encode(t))
+
+
+@pytest.mark.parametrize("text", ["x" * 6_000, "the" * 2_500 + " end", "日本①" * 1_500, "\n" * 3_000 + "ing" * 1_500, "a b  c " * 1_000])
+def test_scan_of_giants(spark, text):
+    lib = pieces.Coder(pieces.model_path()).sp
+    r = pieces.encode(docs(spark, [text, text]), giant=1_000).collect()
+    assert [x.ids for x in r] == [lib.encode(text)] * 2
+
+
+def test_max_plus():
+    rng = np.random.default_rng(0)
+    mats = [np.where(rng.random(s) < 0.4, -np.inf, rng.normal(size=s)) for s in ((2, 3), (3, 4), (4, 2))]
+    left = pieces.times(pieces.times(mats[0], mats[1]), mats[2])
+    assert np.allclose(left, pieces.times(mats[0], pieces.times(mats[1], mats[2])))
+    i, j = np.unravel_index(np.argmax(left), left.shape)
+    path = pieces.best_states(mats, int(i), int(j))
+    assert abs(sum(m[a, b] for m, a, b in zip(mats, path, path[1:])) - left[i, j]) < 1e-9
+
+
+@pytest.mark.parametrize("f", [licenses.license_digest, tokens.count_tokens, pii.pii_digest, pieces.piece_digest])
+def test_empty_tables_and_repeated_rows(spark, f):
+    d = docs(spark, ["cc by a@b.cd", None])
+    assert f(d.limit(0)).count() == 0
+    assert f(d.union(d)).count() == 4
+    assert f(d.union(d)).select(F.struct("*").alias("x")).distinct().count() == 2
