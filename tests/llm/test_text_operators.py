@@ -77,7 +77,8 @@ def test_kneser_ney(spark, real):
     """The table against a plain model with dictionaries, the join against the table, sums of probabilities."""
     d = docs(spark, real[:40]).select("text", F.lit(0).alias("fold"))
     counts = quality.count_grams(d).drop("fold")
-    table = quality.dense_table(*quality.probabilities(counts))
+    known = quality.collected(*quality.probabilities(counts))
+    table = quality.dense(known)
     sums = np.exp(-table.astype(float)).reshape(-1, quality.A).sum(axis=1)
     assert np.allclose(sums, 1, atol=1e-4)
     have = {r.key: r.n for r in counts.collect()}
@@ -109,7 +110,7 @@ def test_kneser_ney(spark, real):
     for key in [*rng.choice(list(have), 60), *rng.integers(0, quality.SIZE, 60)]:
         assert abs(-np.log(p(4, int(key))) - table[key]) < 1e-4
     some = docs(spark, [None, "", "Abc é!", *real[:5]])
-    direct = {r.doc_id: r for r in quality.perplexity(some.select("doc_id", "lang", "text"), table).collect()}
+    direct = {r.doc_id: r for r in quality.perplexity(some.select("doc_id", "lang", "text"), known).collect()}
     cost = spark.createDataFrame([(int(k), float(table[k])) for k in {int(k) for t in [None, "", "Abc é!", *real[:5]] for k in quality.grams(__import__("pyarrow").array([t], "string"))[0]}], "key long, cost double")
     for r in quality.perplexity_by_join(some, cost).collect():
         assert r.n_grams == direct[r.doc_id].n_grams and abs(r.perplexity - direct[r.doc_id].perplexity) < 1e-6 * r.perplexity
