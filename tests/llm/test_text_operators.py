@@ -41,9 +41,7 @@ def test_rules_are_sound():
     rules = licenses.rules()
     assert len(rules) > 300
     for _, priority, gate, key, rx in rules:
-        assert priority in (1, 2, 3) and re.compile(rx)
-        sample = f" {rx} "
-        assert not re.search(r"\(\?", rx) or True, sample
+        assert priority in (1, 2, 3) and re.compile(rx) and gate.strip() and key.strip()
 
 
 def test_license_suppression(spark):
