@@ -1,13 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model trained on trusted text.
 
-The units are classes of UTF-8 bytes (letters one by one, other bytes by kind), 48 in all, so that there are at most 48**4
-four-grams whatever the corpus, and invented or foreign words do no harm. The counts are taken over every trusted document: each
-task sums its own, the sums are sharded by n-gram in one shuffle, and the statistics of lower orders (in how many contexts an
-n-gram continues) come from the shards by grouping and joining. The four-gram probabilities meet the documents in one of
-two ways that give the same figures: a direct-address table of 48**4 entries in each task (what is sent for it is bounded by
-the alphabet, whatever the corpus), or, with join=True, a join of each document's n-gram counts with the sharded
-probabilities. A document is kept if its perplexity is at most its language's threshold: a quantile over the trusted
-documents of that language, each scored by a model that wasn't trained on it, times a margin.
+The model is over six-grams of whole bytes and grows with the corpus; byte_grams keeps it sharded and scores documents with it.
+The counts are taken over every trusted document; the statistics of lower orders (in how many contexts an n-gram continues)
+come from the sharded counts by grouping and joining. A document is kept if its perplexity is at most its language's
+threshold: a quantile over the trusted documents of that language, each scored by a model that wasn't trained on it, times a
+margin.
+
+grams(), count_grams(), dense(), perplexity() and perplexity_by_join() are a smaller model over four-grams of 48 byte classes,
+at most 48**4 whatever the corpus, in a direct-address table; the registered query and the pipeline don't use it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm import byte_grams
 from pagequarry.llm.base import cut
 
 A, ORDER = 48, 4
@@ -100,27 +101,27 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.01), k - 0.01) for k, d in enumerate(raw, 1)]
 
 
-def probabilities(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def probabilities(counts: DataFrame, a: int = A, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
     """Probability of every seen n-gram and what is left to the lower order in every seen context.
 
-    Returns (seen, contexts): seen has order, key, p; contexts[k-1] (k = 1 to 4) has context, left: the weight of order k-1.
+    Returns (seen, contexts): seen has order, key, p; contexts[k-1] (k = 1 to order) has context, left: the weight of order k-1.
     p(w | context) = (n - D(n)) / total + left * p of order k-1; orders below the highest use the number of distinct words
-    before an n-gram instead of its count; order 0 is uniform over the alphabet.
+    before an n-gram instead of its count; order 0 is uniform over the alphabet of a units.
     """
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy((F.col("key") % A**k).alias("key")).agg(F.count("*").alias("n"))
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = tables[k + 1].groupBy((F.col("key") % a**k).alias("key")).agg(F.count("*").alias("n"))
     lower, seen, contexts = None, [], []
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         d1, d2, d3 = _discounts(tables[k])
         cost = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        here = tables[k].withColumn("context", F.floor(F.col("key") / A).cast("long"))
+        here = tables[k].withColumn("context", F.floor(F.col("key") / a).cast("long"))
         per = here.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cost).alias("cost")).withColumn("left", F.col("cost") / F.col("total"))
         row = here.join(per, "context").withColumn("own", (F.col("n") - cost) / F.col("total"))
         if lower is None:
-            row = row.withColumn("p", F.col("own") + F.col("left") / A)
+            row = row.withColumn("p", F.col("own") + F.col("left") / a)
         else:  # the lower order has seen every shorter n-gram of a seen one
-            row = row.withColumn("low", F.col("key") % A ** (k - 1)).join(lower.select(F.col("key").alias("low"), F.col("p").alias("low_p")), "low")
+            row = row.withColumn("low", F.col("key") % a ** (k - 1)).join(lower.select(F.col("key").alias("low"), F.col("p").alias("low_p")), "low")
             row = row.withColumn("p", F.col("own") + F.col("left") * F.col("low_p"))
         lower = row.select("key", "p")
         seen.append(lower.select(F.lit(k).alias("order"), "key", "p"))
@@ -218,9 +219,9 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Cost of every four-gram, and the largest perplexity that is kept by (language, length class); None is "any"."""
+    """The sharded entries of byte_grams, and the largest perplexity that is kept by (language, length class); None is "any"."""
 
-    table: Table
+    table: DataFrame
     limits: dict
 
 
@@ -233,12 +234,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
     trusted = trusted_texts(docs, labels).withColumn("fold", fold)
-    counts = cut(count_grams(trusted))
-    whole = counts.groupBy("key").agg(F.sum("n").alias("n"))
-    table = collected(*probabilities(cut(whole)))
-    halves = [collected(*probabilities(counts.where(F.col("fold") != f).select("key", "n"))) for f in (0, 1)]
-    scored = [perplexity(trusted.where(F.col("fold") == f).select("lang", "text"), halves[f]) for f in (0, 1)]
-    return Model(table, thresholds(scored[0].unionByName(scored[1])))
+    counts = cut(byte_grams.count_grams(trusted))
+    halves = [_entries(counts.where(F.col("fold") != f).select("key", "n")) for f in (0, 1)]
+    scored = [byte_grams.perplexity(trusted.where(F.col("fold") == f).select("lang", "text"), halves[f]).drop("text") for f in (0, 1)]
+    limits = thresholds(scored[0].unionByName(scored[1]))
+    return Model(_entries(counts.groupBy("key").agg(F.sum("n").alias("n"))), limits)
+
+
+def _entries(counts: DataFrame) -> DataFrame:
+    return cut(byte_grams.entries(*probabilities(counts, byte_grams.A, byte_grams.ORDER)))
 
 
 def length_class(n: Column) -> Column:
@@ -273,12 +277,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are scored each by itself; extra columns are ignored; labels of unknown documents too.
     """
     model = fit(docs, labels)
-    scored = perplexity(docs.select("doc_id", "lang", "text"), model.table).withColumn("threshold", limit_column(model.limits))
+    scored = byte_grams.perplexity(docs.select("doc_id", "lang", "text"), model.table).drop("text").withColumn("threshold", limit_column(model.limits))
     return scored.withColumn("kept", F.col("perplexity") <= F.col("threshold"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() keeps, with their columns; the texts are not shuffled."""
+    """The rows of docs that classify() keeps, with their columns. Each text is shuffled once, to its block."""
     model = fit(docs, labels)
-    both = docs.select("doc_id", "lang", F.struct(*docs.columns).alias("all"), "text")
-    return perplexity(both, model.table).where(F.col("perplexity") <= limit_column(model.limits)).select("all.*")
+    both = docs.select("doc_id", "lang", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("all"))
+    kept = byte_grams.perplexity(both, model.table).where(F.col("perplexity") <= limit_column(model.limits))
+    return kept.select(*[F.col("text") if c == "text" else F.col("all")[c].alias(c) for c in docs.columns])

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.llm import licenses, pieces, pii, quality, tokens
+from pagequarry.llm import byte_grams, licenses, pieces, pii, quality, tokens
 from tests.conftest import DATA
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,6 +116,61 @@ def test_kneser_ney(spark, real):
         assert r.n_grams == direct[r.doc_id].n_grams and abs(r.perplexity - direct[r.doc_id].perplexity) < 1e-6 * r.perplexity
 
 
+def test_whole_byte_model(spark, real, monkeypatch):
+    """Sharded scores against a plain model with dictionaries, over many blocks; letters that shared a byte class differ."""
+    monkeypatch.setattr(byte_grams, "BLOCK", 4_000)
+    train = [*real[:25], "Мама мыла раму. " * 9, "日本語の文"]
+    some = [None, "", "Abc é!", "Мама мыла раму.", "日本", *real[20:40]]
+    a, top = byte_grams.A, byte_grams.ORDER
+
+    def plain(t):
+        x = [byte_grams.EDGE] * (top - 1) + list((t or "").encode()) + [byte_grams.EDGE]
+        return [tuple(x[i : i + top]) for i in range(len(x) - top + 1)]
+
+    levels = {top: Counter(g for t in train for g in plain(t))}
+    for k in range(top - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    disc, rows = {}, defaultdict(list)
+    for k, c in levels.items():
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        disc[k] = [min(max(d, 0.01), i - 0.01) for i, d in enumerate(raw, 1)]
+        for g, v in c.items():
+            rows[g[:-1]].append((k, v))
+
+    sums = {ctx: (sum(v for _, v in r), sum(disc[k][min(v, 3) - 1] for k, v in r)) for ctx, r in rows.items()}
+
+    def p(g):
+        if not g:
+            return 1 / a
+        if g[:-1] not in sums:
+            return p(g[1:])
+        v, (total, cost) = levels[len(g)][g], sums[g[:-1]]
+        return ((v - disc[len(g)][min(v, 3) - 1] if v else 0) + cost * p(g[1:])) / total
+
+    counts = byte_grams.count_grams(docs(spark, train).select("text", F.lit(0).alias("fold")))
+    assert {r.key: r.n for r in counts.collect()} == {sum(s * a ** (top - 1 - i) for i, s in enumerate(g)): n for g, n in levels[top].items()}
+    model = byte_grams.entries(*quality.probabilities(counts.drop("fold"), a, top)).cache()
+    got = {r.doc_id: r for r in byte_grams.perplexity(docs(spark, some).select("doc_id", "text"), model).collect()}
+    for i, t in enumerate(some):
+        want = [-np.log(p(g)) for g in plain(t)]
+        assert got[i].n_grams == len(want) and abs(np.log(got[i].perplexity) - np.mean(want)) < 1e-4
+    pair = byte_grams.perplexity(docs(spark, ["мама", "цама", "MAMA"]).select("doc_id", "text"), model).collect()
+    assert len({round(r.perplexity, 6) for r in pair}) == 3
+
+
+def test_model_grows(spark):
+    """Texts of capitals and Cyrillic letters: n-grams that fell into one byte class are told apart by the query's model."""
+    texts = [chr(x) + chr(y) for x in range(0x410, 0x430) for y in range(0x410, 0x430)]
+    d = docs(spark, texts)
+    model = quality.fit(d, d.select("doc_id", F.lit(1).alias("quality")))
+    padded = [b"\x00" * 5 + t.encode() + b"\x00" for t in texts]
+    seen = {x[i : i + 6] for x in padded for i in range(len(x) - 5)}
+    classes = np.unique(quality.grams(pa.array(texts))[0])
+    assert model.table.where("tag % 8 = 6 and p is not null").count() == len(seen) > 5 * len(classes)
+
+
 def test_quality_held_out(spark):
     """Trained on half of the labels, the other half is told apart; empty tables and missing labels do no harm."""
     more = DATA.replace("0.001", "0.01")
