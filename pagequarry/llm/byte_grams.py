@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney over six-grams of whole bytes, sharded throughout.
 
 The model grows with the corpus, so neither the driver nor a task ever holds all of it. Documents are dealt to blocks of about
-8 MB of text. A block asks each shard once for each different n-gram it has (packed, one row per block and shard), the shards
-answer with what the model has seen of it, and the answers meet the block's texts again, where probabilities are backed off.
+32 MB of text. A block asks each shard once for each different n-gram it has (packed, one row per block and shard), the shards
+answer in the same order with what the model has seen of it, and the answers meet the block's texts again, where probabilities are backed off.
 However often an n-gram occurs, a block asks for it once, so that no shard is larger for a common one.
 """
 
@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 A, ORDER, EDGE = 257, 6, 256
-BLOCK, PRIME = 8 << 20, 2**31 - 1
+BLOCK, SLICE, HELD, PRIME = 32 << 20, 4 << 20, 1 << 22, 2**31 - 1
 
 
 def grams(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,27 +44,79 @@ def grams(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return keys[own], starts
 
 
+def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+    """Where to cut texts so that each slice has about SLICE bytes: first row, number of rows."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")), at + 1)
+        yield at, to - at
+        at = to
+
+
+class Counts:
+    """Different keys, ascending, with how often each was added; a direct table finds most of them without a search."""
+
+    def __init__(self) -> None:
+        self._hold(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _hold(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys, self.n = keys, n
+        self.shift = np.uint64(64 - max(10, len(keys).bit_length() + 2))
+        self.table = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.table[self._at(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _at(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(x), -1, np.int32)
+        at = self.table[self._at(x)]
+        rest = np.flatnonzero(self.keys[at] != x)
+        slow = np.minimum(np.searchsorted(self.keys, x[rest]), len(self.keys) - 1)
+        at[rest] = np.where(self.keys[slow] == x[rest], slow, -1)
+        return at
+
+    def add(self, x: np.ndarray) -> None:
+        at = self.find(x)
+        self.n = self.n + np.bincount(at[at >= 0], minlength=len(self.keys))
+        key, n = np.unique(x[at < 0], return_counts=True)
+        if len(key):
+            keys = np.concatenate([self.keys, key])
+            order = np.argsort(keys, kind="stable")
+            self._hold(keys[order], np.concatenate([self.n, n])[order])
+
+
+def different(texts: pa.Array | pa.ChunkedArray) -> Counts:
+    """The six-grams of all texts."""
+    out = Counts()
+    for at, n in slices(texts):
+        out.add(grams(texts.slice(at, n))[0])
+    return out
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """fold, key, n: six-grams of all texts (text) of each fold (fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, Counts] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
-            for fold, parts in held.items():
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                for at in range(0, len(key), 100_000):
-                    some = key[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), fold), pa.int32()), pa.array(some), pa.array(n[at : at + 100_000], pa.int64())], names=["fold", "key", "n"])
+            for fold, c in held.items():
+                for at in range(0, len(c.keys), 100_000):
+                    key = c.keys[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), fold), pa.int32()), pa.array(key), pa.array(c.n[at : at + 100_000], pa.int64())], names=["fold", "key", "n"])
             held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                keys, starts = grams(batch.column(0).slice(at, 200))
-                fold = np.repeat(np.asarray(batch.column(1).slice(at, 200)), np.diff(starts))
+            for at, rows in slices(batch.column(0)):
+                keys, starts = grams(batch.column(0).slice(at, rows))
+                fold = np.repeat(np.asarray(batch.column(1).slice(at, rows)), np.diff(starts))
                 for f in np.unique(fold):
-                    held.setdefault(int(f), []).append(keys[fold == f])
-                if sum(len(x) for parts in held.values() for x in parts) > BLOCK:
+                    held.setdefault(int(f), Counts()).add(keys[fold == f])
+                if sum(len(c.keys) for c in held.values()) > HELD:
                     yield from told()
         yield from told()
 
@@ -114,42 +167,50 @@ def perplexity(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFra
     n = max(1, -(-size // BLOCK))
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64(*[c for c in ("doc_id", text) if c in docs.columns]), F.lit(n)).cast("int"))
 
-    def ask(key: tuple, block: pa.Table) -> pa.Table:
-        tags = asked(np.unique(grams(block.column(text))[0]))
+    def places(tags: np.ndarray) -> list[np.ndarray]:
+        """Of each shard, where its tags stand."""
         shard = tags % PRIME % n
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(n + 1))
-        some = [s for s in range(n) if cuts[s] < cuts[s + 1]]
-        packed = [np.sort(tags[order[cuts[s] : cuts[s + 1]]]).tobytes() for s in some]
-        return pa.table({"shard": pa.array(some, pa.int32()), "_block": pa.array([key[0].as_py()] * len(some), pa.int32()), "tags": pa.array(packed, pa.binary())})
+        return np.split(order, np.searchsorted(shard[order], np.arange(1, n)))
+
+    def ask(key: tuple, block: pa.Table) -> pa.Table:
+        tags = asked(different(block.column(text)).keys)
+        packed = {s: tags[own].tobytes() for s, own in enumerate(places(tags)) if len(own)}
+        return pa.table({"shard": pa.array(list(packed), pa.int32()), "_block": pa.array([key[0].as_py()] * len(packed), pa.int32()), "tags": pa.array(list(packed.values()), pa.binary())})
 
     def answer(key: tuple, asks: pa.Table, mine: pa.Table) -> pa.Table:
-        tags, p, left = (np.asarray(mine.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("tag", "p", "left"))
+        tags, p, left = (mine.column(c).to_numpy() for c in ("tag", "p", "left"))
         order = np.argsort(tags)
-        tags, p, left = tags[order], p[order].astype(np.float32), left[order].astype(np.float32)
-        blocks, out = [], {"tags": [], "p": [], "left": []}
-        for block, want in zip(asks.column("_block").to_pylist(), asks.column("tags").to_pylist()):
+        # One entry more, for the tags that are not here.
+        tags = tags[order]
+        p, left = (np.append(x[order], np.nan).astype(np.float32) for x in (p, left))
+        out = {"p": [], "left": []}
+        for want in asks.column("tags").to_pylist():
             want = np.frombuffer(want, np.int64)
-            at = np.minimum(np.searchsorted(tags, want), max(len(tags) - 1, 0))
-            at = at[tags[at] == want] if len(tags) else at[:0]
-            blocks.append(block)
-            for name, values in (("tags", tags), ("p", p), ("left", left)):
-                out[name].append(values[at].tobytes())
-        return pa.table({"_block": pa.array(blocks, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+            at = np.searchsorted(tags, want)
+            at[np.append(tags, -1)[at] != want] = len(tags)
+            out["p"].append(p[at].tobytes())
+            out["left"].append(left[at].tobytes())
+        return pa.table({"_block": asks.column("_block"), "shard": asks.column("shard"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
     def score(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
-        rest = block.drop_columns(["_block"])
-        tags, p, left = (np.frombuffer(b"".join(told.column(c).to_pylist()), kind) for c, kind in (("tags", np.int64), ("p", np.float32), ("left", np.float32)))
+        own = different(block.column(text))
+        tags = asked(own.keys)
+        values, at = np.full((2, len(tags)), np.nan, np.float32), places(tags)
+        for s, p, left in zip(*(told.column(c).to_pylist() for c in ("shard", "p", "left"))):
+            values[0, at[s]], values[1, at[s]] = np.frombuffer(p, np.float32), np.frombuffer(left, np.float32)
         order = np.argsort(tags)
-        keys, starts = grams(block.column(text))
-        unique, at = np.unique(keys, return_inverse=True)
-        total = np.concatenate([[0.0], np.cumsum(costs(unique, tags[order], p[order], left[order])[at])])
-        many = np.diff(starts)
-        mean = (total[starts[1:]] - total[starts[:-1]]) / np.maximum(many, 1)
-        return rest.append_column("n_grams", pa.array(many, pa.int64())).append_column("perplexity", pa.array(np.exp(mean)))
+        cost, many, mean = costs(own.keys, tags[order], values[0, order], values[1, order]), [], []
+        for first, rows in slices(block.column(text)):
+            keys, starts = grams(block.column(text).slice(first, rows))
+            total = np.concatenate([[0.0], np.cumsum(cost[own.find(keys)])])
+            many.append(np.diff(starts))
+            mean.append((total[starts[1:]] - total[starts[:-1]]) / np.maximum(many[-1], 1))
+        rest = block.drop_columns(["_block"])
+        return rest.append_column("n_grams", pa.array(np.concatenate([np.zeros(0, np.int64), *many]), pa.int64())).append_column("perplexity", pa.array(np.exp(np.concatenate([[], *mean]))))
 
     asks = dealt.groupBy("_block").applyInArrow(ask, "shard int, _block int, tags binary")
     shards = model.select(shard_column(F.col("tag"), n).alias("shard"), "tag", "p", "left")
-    told = asks.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "_block int, tags binary, p binary, left binary")
+    told = asks.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "_block int, shard int, p binary, left binary")
     out = StructType([*docs.schema.fields, StructField("n_grams", LongType()), StructField("perplexity", DoubleType())])
     return dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(score, out)
