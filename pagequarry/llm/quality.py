@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.llm import byte_grams
@@ -108,24 +108,25 @@ def probabilities(counts: DataFrame, a: int = A, order: int = ORDER) -> tuple[Da
     p(w | context) = (n - D(n)) / total + left * p of order k-1; orders below the highest use the number of distinct words
     before an n-gram instead of its count; order 0 is uniform over the alphabet of a units.
     """
-    tables = {order: counts}
+    tables, own = {order: counts}, Window.partitionBy("context")
     for k in range(order - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy((F.col("key") % a**k).alias("key")).agg(F.count("*").alias("n"))
+        tables[k] = cut(tables[k + 1].groupBy((F.col("key") % a**k).alias("key")).agg(F.count("*").alias("n")))
     lower, seen, contexts = None, [], []
     for k in range(1, order + 1):
         d1, d2, d3 = _discounts(tables[k])
         cost = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        here = tables[k].withColumn("context", F.floor(F.col("key") / a).cast("long"))
-        per = here.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cost).alias("cost")).withColumn("left", F.col("cost") / F.col("total"))
-        row = here.join(per, "context").withColumn("own", (F.col("n") - cost) / F.col("total"))
+        # A context is followed by a words at most, so that no window is large.
+        row = tables[k].withColumn("context", F.floor(F.col("key") / a).cast("long")).withColumn("total", F.sum("n").over(own))
+        row = row.withColumns({"left": F.sum(cost).over(own) / F.col("total"), "own": (F.col("n") - cost) / F.col("total")})
         if lower is None:
             row = row.withColumn("p", F.col("own") + F.col("left") / a)
         else:  # the lower order has seen every shorter n-gram of a seen one
             row = row.withColumn("low", F.col("key") % a ** (k - 1)).join(lower.select(F.col("key").alias("low"), F.col("p").alias("low_p")), "low")
             row = row.withColumn("p", F.col("own") + F.col("left") * F.col("low_p"))
+        row = cut(row.select("key", "p", "context", "left"))
         lower = row.select("key", "p")
         seen.append(lower.select(F.lit(k).alias("order"), "key", "p"))
-        contexts.append(per.select("context", "left"))
+        contexts.append(row.groupBy("context").agg(F.max("left").alias("left")))
     out = seen[0]
     for part in seen[1:]:
         out = out.unionByName(part)
