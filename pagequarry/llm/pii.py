@@ -2,10 +2,11 @@
 
 Generators propose overlapping spans of four kinds. A strict expression per kind, with its check (octets, Luhn, number of
 digits), gives base spans, which always stay; looser expressions give further candidates. Trees over format and context
-features (digits, separators, length, check, neighbours, key words before the span) learn which candidates look like base
-spans; the feature that tells a strict match from a loose one is withheld from them, as in learning from positive and
-unlabelled cases. The threshold of a kind is the score that all but a twentieth of its base spans reach. A loose candidate
-above it that overlaps no base span is added. The trees are fitted to a contingency table of the features over all rows.
+features (digits, separators, length, check, neighbours, key words before the span; of a form without country codes and
+with the separators of obfuscated addresses made plain) learn which candidates look like base spans. Loose candidates are
+unlabelled: they count as negatives by a small weight, and not at all where they overlap a base span. The threshold of a kind
+is the score that all but a twentieth of its base spans reach. A loose candidate above it that overlaps no base span is
+added. The trees are fitted to a contingency table of the features over all rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ LOOSE_GATES = (("(dot)", "[dot]", " dot "), (":", "[.]"), (".", "_", "/"), ("-",
 CONTEXT = (r"(?i)mail|contact|write|reach", r"(?i)\bip\b|server|host|addr|node", r"(?i)card|visa|credit|carte|karte|tarjeta", r"(?i)tel|phone|call|fax|mobil|whatsapp|fon")
 FEATURES = ("kind", "valid", "digits", "seps", "size", "near", "before", "after")
 BEFORE = 32
+#: Weight, as negatives, of loose candidates that may be personal data for all that is known.
+UNLABELLED = 0.1
 
 
 def _located(text: Column, matches: Column, rx: str) -> Column:
@@ -100,9 +103,21 @@ def _side(c: Column) -> Column:
     return F.when(c.rlike(r"^[\p{L}\p{N}]$"), 1).when(c.rlike(r"^\S$"), 2).otherwise(0)
 
 
+def _plain(kind: int, v: Column) -> Column:
+    """v as a strict match would be written; phone numbers without country code or trunk zero."""
+    if kind == 0:
+        return F.regexp_replace(F.regexp_replace(v, r" ?(?:\(at\)|\[at\]| at ) ?", "@"), r" ?(?:\(dot\)|\[dot\]| dot ) ?", ".")
+    if kind == 1:
+        return F.regexp_replace(v, r"\[\.\]", ".")
+    if kind == 2:
+        return F.translate(v, "._/", "---")
+    return F.regexp_replace(v, r"^(?:\+[0-9]{1,3}(?![0-9])|\+[0-9]{1,2})?[ ().-]*0?", "")
+
+
 def _featured(spans: Column, kind: int, strict: bool) -> Column:
     def one(x: Column) -> Column:
-        digits = F.length(F.regexp_replace(x["v"], "[^0-9]", ""))
+        v = _plain(kind, x["v"])
+        digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
         valid = _valid(kind, x["v"])
         return F.struct(
             F.lit(kind).alias("kind"),
@@ -111,8 +126,8 @@ def _featured(spans: Column, kind: int, strict: bool) -> Column:
             (F.lit(strict) & valid).alias("base"),
             valid.cast("int").alias("valid"),
             _bucket(digits, 1, 9, 12, 14, 17).alias("digits"),
-            _bucket(F.length(F.regexp_replace(x["v"], r"[\p{L}\p{N}]", "")), 1, 3, 5).alias("seps"),
-            _bucket(F.length(x["v"]), 8, 12, 16, 24).alias("size"),
+            _bucket(F.length(F.regexp_replace(v, r"[\p{L}\p{N}]", "")), 1, 3, 5).alias("seps"),
+            _bucket(F.length(v), 8, 12, 16, 24).alias("size"),
             x["pre"].rlike(CONTEXT[kind]).cast("int").alias("near"),
             _side(F.right(x["pre"], F.lit(1))).alias("before"),
             _side(x["post"]).alias("after"),
@@ -150,10 +165,13 @@ class Model:
 
 def train(with_cands: DataFrame, keep: float = 0.95) -> Model:
     """Trees and thresholds from all candidates of all rows; no candidates give a model that adds nothing."""
-    c = with_cands.select(F.explode("cands").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    base = F.filter("cands", lambda c: c["base"])
+    apart = F.filter("cands", lambda c: c["base"] | (c["valid"] == 0) | ~F.exists(F.col("_base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    c = with_cands.withColumn("_base", base).select(F.explode(apart).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
     rows = c.agg(F.count("*").alias("n"), F.sum(F.col("c.base").cast("long")).alias("pos")).orderBy(*FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=int).reshape(-1, len(FEATURES))
     n, pos = np.array([r["n"] for r in rows], dtype=float), np.array([r["pos"] for r in rows], dtype=float)
+    n = pos + (n - pos) * np.where(x[:, FEATURES.index("valid")] == 1, UNLABELLED, 1.0)
     trees = fit(FEATURES, x, n, pos)
     score, thresholds = trees.predict(x), []
     for kind in range(len(KINDS)):
@@ -163,7 +181,7 @@ def train(with_cands: DataFrame, keep: float = 0.95) -> Model:
             thresholds.append(2.0)
             continue
         reached = np.cumsum(pos[own][order]) > (1 - keep) * pos[own].sum()
-        thresholds.append(float(max(score[own][order][reached][0], 0.5)))
+        thresholds.append(float(score[own][order][reached][0]))
     return Model(trees, tuple(thresholds))
 
 

@@ -213,6 +213,17 @@ def test_pii(spark, real):
         assert set(said.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_loose_spans_are_added(spark):
+    """National numbers and obfuscated addresses join the base spans they look like; random digits don't, and a number nested
+    in a base span isn't a negative."""
+    base = [f"call me at +1 ({200 + i}) 555-7{i:03d} or mail {chr(97 + i % 26)}ob@host.com from server 10.0.0.{i} now" for i in range(100)]
+    noise = [f"sum {100 + i}-{20 + i % 70}-{1000 + i}{i % 10} of {7_000_000_001 + i} and {i}.{300 + i}.1.2" for i in range(100)]
+    loose = ["call me at (217) 555-7713 now", "mail bob (at) host (dot) com now", "from server 10[.]0[.]0[.]7 now"]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(docs(spark, base + noise + loose)).collect()}
+    assert [got[200 + k].split(":")[0] for k in range(3)] == ["phone", "email", "ip"]
+    assert not any(got[i] for i in range(100, 200))
+
+
 def test_redaction(spark):
     d = docs(spark, ["mail a@b.co now +49 30 1234567", None, "clean"])
     out = {r.doc_id: r for r in pii.redact(d).collect()}
