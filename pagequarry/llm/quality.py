@@ -1,290 +1,110 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model trained on trusted text.
 
-The model is over six-grams of whole bytes and grows with the corpus; byte_grams keeps it sharded and scores documents with it.
-The counts are taken over every trusted document; the statistics of lower orders (in how many contexts an n-gram continues)
-come from the sharded counts by grouping and joining. A document is kept if its perplexity is at most its language's
-threshold: a quantile over the trusted documents of that language, each scored by a model that wasn't trained on it, times a
-margin.
-
-grams(), count_grams(), dense(), perplexity() and perplexity_by_join() are a smaller model over four-grams of 48 byte classes,
-at most 48**4 whatever the corpus, in a direct-address table; the registered query and the pipeline don't use it.
+The model is over six-grams of whole bytes and grows with the corpus; byte_grams keeps its counts sharded and joins them with
+blocks of documents. They are taken over every trusted document. A document is kept if its perplexity is at most its
+language's threshold: a quantile over the trusted documents of that language, each scored by a model that wasn't trained on
+it, times a margin.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import byte_grams
 from pagequarry.llm.base import cut
 
-A, ORDER = 48, 4
-SIZE = A**ORDER
-#: Quantile of the trusted documents' perplexity, and the margin by which a document may exceed it.
-QUANTILE, MARGIN, MIN_TRUSTED, MAX_IDS = 0.995, 1.15, 20, 4_000_000
-#: Short texts vary more, so each language has a threshold for texts of fewer than 100, fewer than 400, and more four-grams.
+#: Quantile of the trusted documents' perplexity, and the margin by which a document may exceed it; trusted documents that a
+#: threshold needs; ids and languages that are sent to every task, at most (beyond that they are joined by a shuffle).
+QUANTILE, MARGIN, MIN_TRUSTED, MAX_IDS, MAX_LANGUAGES = 0.995, 1.15, 20, 2_000_000, 10_000
+#: Short texts vary more, so each language has a threshold for texts of fewer than 100, fewer than 400, and more six-grams.
 LENGTHS = (100, 400)
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte: 0-25 letters, 26 upper case, 27 digit, 28 blank, 29 line break or tab, 30-35 punctuation,
-    36 control, 37 lead byte of Latin letters, 38 other lead byte, 39-46 continuation bytes by their value, 47 text edge."""
-    c = np.full(256, 36, np.int32)
-    for b in range(32, 127):
-        ch = chr(b)
-        c[b] = b - 97 if ch.islower() else 26 if ch.isupper() else 27 if ch.isdigit() else 28 if ch == " " else 30 if ch == "." else 31 if ch == "," else 32 if ch in "!?" else 33 if ch in "'\"-()" else 34 if ch in ":;/" else 35
-    c[[9, 10, 13]] = 29
-    c[0xC2:0xC4] = 37
-    c[0xC4:] = 38
-    c[0x80:0xC0] = 39 + np.arange(64) % 8
-    return c
-
-
-CLASSES, EDGE = _classes(), 47
-
-
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Four-grams of every text, as numbers, and where each text's begin (one more entry than texts).
-
-    A text of n bytes has n + 1 four-grams: three edges stand before it and one after it; the empty text has one.
-    """
-    data = [(t or "").encode() for t in texts.to_pylist()]
-    lengths = np.array([len(x) for x in data], np.int64)
-    whole = np.frombuffer(b"".join(data), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lengths + 4)])
-    symbols = np.full(starts[-1], EDGE, np.int32)
-    at = np.arange(len(whole)) + np.repeat(np.arange(len(lengths)) * 4 + 3, lengths)
-    symbols[at] = CLASSES[whole]
-    if not len(symbols):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    keys = ((symbols[:-3] * A + symbols[1:-2]) * A + symbols[2:-1]) * A + symbols[3:]
-    # The three four-grams that begin in the last three symbols of a text run into the next one; they are left out.
-    own = np.ones(len(keys), bool)
-    for k in (1, 2, 3):
-        edge = starts[1:] - k
-        own[edge[edge < len(keys)]] = False
-    return keys[own], np.concatenate([[0], np.cumsum(lengths + 1)])
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """fold, key, n: four-grams of all texts of each fold (0 or 1; column fold), summed within each task before the shuffle,
-    at most 2 * 48**4 rows from each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * SIZE, np.int32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                keys, starts = grams(batch.column(0).slice(at, 500))
-                fold = np.asarray(batch.column(1).slice(at, 500))
-                key, n = np.unique(keys + np.repeat(fold, np.diff(starts)) * SIZE, return_counts=True)
-                counts[key] += n.astype(np.int32)
-        key = np.flatnonzero(counts)
-        for at in range(0, len(key), 100_000):
-            some = key[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some // SIZE, pa.int32()), pa.array(some % SIZE, pa.int64()), pa.array(counts[some], pa.int64())], names=["fold", "key", "n"])
-
-    return docs.select("text", F.col("fold").cast("int")).mapInArrow(run, "fold int, key bigint, n bigint").groupBy("fold", "key").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from the counts of counts (Chen and Goodman's estimates), within 0 and 1, 2, 3."""
-    n = {r["n"]: r["c"] for r in counts.where(F.col("n") <= 4).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    n1, n2, n3, n4 = (float(n.get(k, 0)) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.01), k - 0.01) for k, d in enumerate(raw, 1)]
-
-
-def probabilities(counts: DataFrame, a: int = A, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
-    """Probability of every seen n-gram and what is left to the lower order in every seen context.
-
-    Returns (seen, contexts): seen has order, key, p; contexts[k-1] (k = 1 to order) has context, left: the weight of order k-1.
-    p(w | context) = (n - D(n)) / total + left * p of order k-1; orders below the highest use the number of distinct words
-    before an n-gram instead of its count; order 0 is uniform over the alphabet of a units.
-    """
-    tables, own = {order: counts}, Window.partitionBy("context")
-    for k in range(order - 1, 0, -1):
-        tables[k] = cut(tables[k + 1].groupBy((F.col("key") % a**k).alias("key")).agg(F.count("*").alias("n")))
-    lower, seen, contexts = None, [], []
-    for k in range(1, order + 1):
-        d1, d2, d3 = _discounts(tables[k])
-        cost = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        # A context is followed by a words at most, so that no window is large.
-        row = tables[k].withColumn("context", F.floor(F.col("key") / a).cast("long")).withColumn("total", F.sum("n").over(own))
-        row = row.withColumns({"left": F.sum(cost).over(own) / F.col("total"), "own": (F.col("n") - cost) / F.col("total")})
-        if lower is None:
-            row = row.withColumn("p", F.col("own") + F.col("left") / a)
-        else:  # the lower order has seen every shorter n-gram of a seen one
-            row = row.withColumn("low", F.col("key") % a ** (k - 1)).join(lower.select(F.col("key").alias("low"), F.col("p").alias("low_p")), "low")
-            row = row.withColumn("p", F.col("own") + F.col("left") * F.col("low_p"))
-        row = cut(row.select("key", "p", "context", "left"))
-        lower = row.select("key", "p")
-        seen.append(lower.select(F.lit(k).alias("order"), "key", "p"))
-        contexts.append(row.groupBy("context").agg(F.max("left").alias("left")))
-    out = seen[0]
-    for part in seen[1:]:
-        out = out.unionByName(part)
-    return out, contexts
-
-
-@dataclass(frozen=True)
-class Table:
-    """What a model has seen, by order: keys, their p, contexts, what these leave. At most 48**4 entries in the highest order."""
-
-    name: str
-    orders: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
-
-
-def collected(seen: DataFrame, contexts: list[DataFrame]) -> Table:
-    """What probabilities() gives, on the driver: its size is bounded by the alphabet, not by the corpus."""
-    rows, orders = seen.toPandas(), []
-    for k in range(1, ORDER + 1):
-        mine, c = rows[rows["order"] == k].sort_values("key"), contexts[k - 1].toPandas().sort_values("context")
-        orders.append((mine["key"].to_numpy(np.int32), mine["p"].to_numpy(float), c["context"].to_numpy(np.int32), c["left"].to_numpy(float)))
-    return Table(uuid.uuid4().hex, tuple(orders))
-
-
-_dense: dict[str, np.ndarray] = {}  # of this Python worker, by the table's name
-
-
-def dense(table: Table) -> np.ndarray:
-    """-ln p for all 48**4 four-grams, 21 MB: unseen ones from the lower orders."""
-    if table.name not in _dense:
-        p = np.full(A, 1.0 / A)
-        for k, (keys, seen, contexts, weights) in enumerate(table.orders, 1):
-            left = np.ones(A ** (k - 1))
-            left[contexts] = weights
-            # key = context * A + word; its lower-order n-gram drops the first word of the context
-            p = (left.reshape(-1, A ** max(k - 2, 0), 1) * p.reshape(1, A ** max(k - 2, 0), A)).reshape(-1) if k > 1 else left[0] * p
-            p[keys] = seen
-        while len(_dense) > 1:
-            _dense.pop(next(iter(_dense)))
-        _dense[table.name] = -np.log(p).astype(np.float32)
-    return _dense[table.name]
-
-
-def perplexity(docs: DataFrame, table: Table) -> DataFrame:
-    """docs' columns but text, with n_grams and perplexity (float per row) from the direct-address table, which each Python
-    worker makes from the few MB that are sent."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    rest = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = dense(sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                keys, starts = grams(part.column(1))
-                total = np.concatenate([[0.0], np.cumsum(costs[keys], dtype=np.float64)])
-                n = np.diff(starts)
-                mean = (total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(np.exp(mean))], names=["r", "n_grams", "perplexity"])
-
-    packed = docs.select(F.struct(*rest).alias("r"), "text")
-    kind = packed.schema["r"].dataType.simpleString()
-    return packed.mapInArrow(run, f"r {kind}, n_grams bigint, perplexity double").select("r.*", "n_grams", "perplexity")
-
-
-def perplexity_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same as perplexity(), by joining each document's counts of four-grams with the sharded costs (key, cost).
-
-    For alphabets whose table would be too large to send; with 48 classes it moves some twenty times the text. doc_id must be
-    unique here, and the table must hold every four-gram of the documents.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, n = np.unique(grams(batch.column(1).slice(i, 1))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(keys), batch.column(0).type), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "key", "n"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    counted = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n bigint")
-    per = counted.join(table, "key").groupBy("doc_id").agg(F.sum("n").alias("n_grams"), F.sum(F.col("n") * F.col("cost")).alias("cost"))
-    return per.select("doc_id", "n_grams", F.exp(F.col("cost") / F.col("n_grams")).alias("perplexity"))
-
-
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, text of the documents labelled as good. The ids go to the tasks while they are few (32 MB at most, by
-    count); beyond that the texts are joined by a shuffle. A label given twice counts once."""
-    ids = labels.where(F.col("quality") == 1).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    """lang, text of the documents labelled as good, and not as toxic if labels has that column. The ids go to the tasks while
+    they are few (16 MB at most, by count); beyond that the texts are joined by a shuffle. A label given twice counts once."""
+    good = F.col("quality") == 1
+    if "toxic" in labels.columns:
+        good &= F.coalesce(F.col("toxic"), F.lit(0)) == 0
+    ids = labels.where(good).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
-    return docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "text")
 
 
 @dataclass(frozen=True)
 class Model:
-    """The sharded entries of byte_grams, and the largest perplexity that is kept by (language, length class); None is "any"."""
+    """Sharded counts; per language (null: all others) the largest perplexity that is kept, by length class; bytes of all texts."""
 
-    table: DataFrame
-    limits: dict
+    counts: byte_grams.Model
+    limits: DataFrame
+    size: int
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model trained on all trusted texts, with its thresholds.
 
     A text that a model was trained on seems more likely to it than it is. So the trusted texts are also dealt to two folds
-    by their id, and the perplexities that the thresholds come from are given by the model of the other fold. Without
+    by their content, and the perplexities that the thresholds come from are given by the model of the other fold. Without
     trusted texts every n-gram costs the same and nothing is rejected.
     """
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
-    trusted = trusted_texts(docs, labels).withColumn("fold", fold)
-    counts = cut(byte_grams.count_grams(trusted))
-    halves = [_entries(counts.where(F.col("fold") != f).select("key", "n")) for f in (0, 1)]
-    scored = [byte_grams.perplexity(trusted.where(F.col("fold") == f).select("lang", "text"), halves[f]).drop("text") for f in (0, 1)]
-    limits = thresholds(scored[0].unionByName(scored[1]))
-    return Model(_entries(counts.groupBy("key").agg(F.sum("n").alias("n"))), limits)
-
-
-def _entries(counts: DataFrame) -> DataFrame:
-    return cut(byte_grams.entries(*probabilities(counts, byte_grams.A, byte_grams.ORDER)))
+    trusted = trusted_texts(docs, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    bytes_of = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")
+    size, known = docs.agg(bytes_of).first()["n"], trusted.agg(bytes_of).first()["n"]
+    counts = byte_grams.train(trusted.coalesce(max(1, -(-known // byte_grams.BLOCK))))
+    scored = byte_grams.perplexity(trusted, counts, "fold", known)
+    return Model(counts, thresholds(scored.select("lang", "n_grams", "perplexity")), size)
 
 
 def length_class(n: Column) -> Column:
     return F.when(n < LENGTHS[0], 0).when(n < LENGTHS[1], 1).otherwise(2)
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> dict:
-    """Largest perplexity that is kept, by (language, length class), with None as "any" in either place, from trusted
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """for_lang (null: all that have no row), most: array of the largest perplexity that is kept, by length class; from trusted
     documents (lang, n_grams, perplexity).
 
-    Groups with fewer than 20 trusted documents have no entry of their own: limit_column() then takes the language's, then
-    the length's, then the common one; without trusted documents nothing is rejected. One entry per language and class.
+    A class with fewer than 20 trusted documents of its language takes the language's threshold, then the length's, then the
+    common one; without trusted documents nothing is rejected. A language with fewer than 20 has no row.
     """
     good = scored.select(F.coalesce("lang", F.lit("")).alias("lang"), length_class(F.col("n_grams")).alias("size"), "perplexity")
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    rows = good.groupingSets([["lang", "size"], ["lang"], ["size"], []], "lang", "size").agg(q.alias("q"), F.count("*").alias("n")).collect()
-    return {(r["lang"], r["size"]): r["q"] * margin for r in rows if r["n"] >= MIN_TRUSTED}
+    sets = good.groupingSets([["lang", "size"], ["lang"], ["size"], []], "lang", "size").agg(F.when(F.count("*") >= MIN_TRUSTED, q * margin).alias("q"))
+    by = cut(sets.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("size", F.lit(-1)).alias("s"), "q"))).alias("by")))
+    common = by.where("lang is null").agg(F.first("by").alias("all"))  # one row, also of an empty table
+    resolved = lambda *maps: F.array(*[F.coalesce(*[F.try_element_at(m, F.lit(k)) for m in maps for k in (s, -1)][:2], *[F.try_element_at(maps[-1], F.lit(k)) for k in (s, -1)], F.lit(float("inf"))) for s in (0, 1, 2)]).alias("most")
+    own = by.where("lang is not null").join(F.broadcast(common)).where(F.try_element_at("by", F.lit(-1)).isNotNull()).select(F.col("lang").alias("for_lang"), resolved(F.col("by"), F.col("all")))
+    return cut(own.unionByName(common.select(F.lit(None).cast("string").alias("for_lang"), resolved(F.col("all")))))
 
 
-def limit_column(by: dict) -> Column:
-    lang, size = F.coalesce(F.col("lang"), F.lit("")), length_class(F.col("n_grams"))
-    limit = F.lit(float("inf"))
-    for (a, b), most in sorted(by.items(), key=lambda x: ((x[0][0] is not None) * 2 + (x[0][1] is not None), str(x[0]))):
-        limit = F.when((F.lit(True) if a is None else lang == a) & (F.lit(True) if b is None else size == b), most).otherwise(limit)
-    return limit
+def with_threshold(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """scored (lang, n_grams, ...) with the threshold of each row."""
+    rest = limits.where("for_lang is null").first()["most"]
+    own = limits.where("for_lang is not null")
+    own = F.broadcast(own) if own.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES else own
+    joined = scored.join(own, F.coalesce("lang", F.lit("")) == F.col("for_lang"), "left")
+    most = F.coalesce("most", F.array(*[F.lit(x) for x in rest]))
+    return joined.select(*[scored[f"`{c}`"] for c in scored.columns], F.element_at(most, length_class(F.col("n_grams")) + 1).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, threshold, kept for every row of docs.
 
-    Null texts count as empty: one four-gram of edges only. Empty documents have the model's perplexity of an empty text.
+    Null texts count as empty: one six-gram of edges only. Empty documents have the model's perplexity of an empty text.
     Repeated rows are scored each by itself; extra columns are ignored; labels of unknown documents too.
     """
     model = fit(docs, labels)
-    scored = byte_grams.perplexity(docs.select("doc_id", "lang", "text"), model.table).drop("text").withColumn("threshold", limit_column(model.limits))
-    return scored.withColumn("kept", F.col("perplexity") <= F.col("threshold"))
+    scored = byte_grams.perplexity(docs.select("doc_id", "lang", "text"), model.counts, size=model.size).drop("text")
+    return with_threshold(scored, model.limits).withColumn("kept", F.col("perplexity") <= F.col("threshold"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() keeps, with their columns. Each text is shuffled once, to its block."""
+    """The rows of docs that classify() keeps, with all their columns, whatever their names. Each text is shuffled once, to
+    its block."""
     model = fit(docs, labels)
-    both = docs.select("doc_id", "lang", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("all"))
-    kept = byte_grams.perplexity(both, model.table).where(F.col("perplexity") <= limit_column(model.limits))
-    return kept.select(*[F.col("text") if c == "text" else F.col("all")[c].alias(c) for c in docs.columns])
+    both = docs.select("lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("all"))
+    scored = with_threshold(byte_grams.perplexity(both, model.counts, size=model.size), model.limits)
+    kept = scored.where(F.col("perplexity") <= F.col("threshold"))
+    return kept.select(*[F.col("text") if c == "text" else F.col("all").getField(c).alias(c) for c in docs.columns])

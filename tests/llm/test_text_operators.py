@@ -73,52 +73,11 @@ def test_resynchronised_chunks(text):
     assert counter.spliced(text, chunk=700, overlap=16) == want == counter.words([text])[0]
 
 
-def test_kneser_ney(spark, real):
-    """The table against a plain model with dictionaries, the join against the table, sums of probabilities."""
-    d = docs(spark, real[:40]).select("text", F.lit(0).alias("fold"))
-    counts = quality.count_grams(d).drop("fold")
-    known = quality.collected(*quality.probabilities(counts))
-    table = quality.dense(known)
-    sums = np.exp(-table.astype(float)).reshape(-1, quality.A).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    have = {r.key: r.n for r in counts.collect()}
-    levels = {4: have}
-    for k in (3, 2, 1):
-        levels[k] = {}
-        for key in levels[k + 1]:
-            levels[k][key % quality.A**k] = levels[k].get(key % quality.A**k, 0) + 1
-    disc, rows = {}, {}
-    for k, c in levels.items():
-        n = [sum(v == i for v in c.values()) for i in range(5)]
-        y = n[1] / (n[1] + 2 * n[2])
-        disc[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i - 0.01) if n[i] else (0.5, 1.0, 1.5)[i - 1] for i in (1, 2, 3)]
-        for key, v in c.items():
-            rows.setdefault((k, key // quality.A), []).append(v)
-
-    def p(k, key):
-        if k == 0:
-            return 1 / quality.A
-        key %= quality.A**k
-        seen = rows.get((k, key // quality.A))
-        if not seen:
-            return p(k - 1, key)
-        cost = lambda v: disc[k][min(v, 3) - 1]
-        v = levels[k].get(key, 0)
-        return ((v - cost(v)) if v else 0) / sum(seen) + sum(map(cost, seen)) / sum(seen) * p(k - 1, key)
-
-    rng = np.random.default_rng(1)
-    for key in [*rng.choice(list(have), 60), *rng.integers(0, quality.SIZE, 60)]:
-        assert abs(-np.log(p(4, int(key))) - table[key]) < 1e-4
-    some = docs(spark, [None, "", "Abc é!", *real[:5]])
-    direct = {r.doc_id: r for r in quality.perplexity(some.select("doc_id", "lang", "text"), known).collect()}
-    cost = spark.createDataFrame([(int(k), float(table[k])) for k in {int(k) for t in [None, "", "Abc é!", *real[:5]] for k in quality.grams(__import__("pyarrow").array([t], "string"))[0]}], "key long, cost double")
-    for r in quality.perplexity_by_join(some, cost).collect():
-        assert r.n_grams == direct[r.doc_id].n_grams and abs(r.perplexity - direct[r.doc_id].perplexity) < 1e-6 * r.perplexity
-
-
 def test_whole_byte_model(spark, real, monkeypatch):
     """Sharded scores against a plain model with dictionaries, over many blocks; letters that shared a byte class differ."""
     monkeypatch.setattr(byte_grams, "BLOCK", 4_000)
+    monkeypatch.setattr(byte_grams, "SHARD", 3_000)
+    monkeypatch.setattr(byte_grams, "ASKERS", 4)
     train = [*real[:25], "Мама мыла раму. " * 9, "日本語の文"]
     some = [None, "", "Abc é!", "Мама мыла раму.", "日本", *real[20:40]]
     a, top = byte_grams.A, byte_grams.ORDER
@@ -149,26 +108,56 @@ def test_whole_byte_model(spark, real, monkeypatch):
         v, (total, cost) = levels[len(g)][g], sums[g[:-1]]
         return ((v - disc[len(g)][min(v, 3) - 1] if v else 0) + cost * p(g[1:])) / total
 
-    counts = byte_grams.count_grams(docs(spark, train).select("text", F.lit(0).alias("fold")))
-    assert {r.key: r.n for r in counts.collect()} == {sum(s * a ** (top - 1 - i) for i, s in enumerate(g)): n for g, n in levels[top].items()}
-    model = byte_grams.entries(*quality.probabilities(counts.drop("fold"), a, top)).cache()
-    got = {r.doc_id: r for r in byte_grams.perplexity(docs(spark, some).select("doc_id", "text"), model).collect()}
+    folds = [i % 2 for i in range(len(train))]
+    both = spark.createDataFrame(list(zip(train, folds)), "text string, fold int")
+    number = lambda g: sum(s * a ** (top - 1 - i) for i, s in enumerate(g))
+    assert {r.key: r.n0 + r.n1 for r in byte_grams.count_grams(both).collect()} == {number(g): n for g, n in levels[top].items()}
+    model = byte_grams.train(both)
+    assert model.shards > 1
+    got = {r.doc_id: r for r in byte_grams.perplexity(docs(spark, some), model).collect()}
     for i, t in enumerate(some):
         want = [-np.log(p(g)) for g in plain(t)]
-        assert got[i].n_grams == len(want) and abs(np.log(got[i].perplexity) - np.mean(want)) < 1e-4
+        assert got[i].n_grams == len(want) and abs(np.log(got[i].perplexity) - np.mean(want)) < 1e-9 and got[i]["keys"] == "clash"
     pair = byte_grams.perplexity(docs(spark, ["мама", "цама", "MAMA"]).select("doc_id", "text"), model).collect()
     assert len({round(r.perplexity, 6) for r in pair}) == 3
+    # A model without a fold is the one that is trained on the other fold alone.
+    for fold in (0, 1):
+        alone = byte_grams.train(both.where(F.col("fold") != fold))
+        want = {r.doc_id: r.perplexity for r in byte_grams.perplexity(docs(spark, some), alone).collect()}
+        got = {r.doc_id: r.perplexity for r in byte_grams.perplexity(docs(spark, some).withColumn("m", F.lit(fold)), model, "m").collect()}
+        assert all(abs(got[i] - x) < 1e-9 * x for i, x in want.items())
+
+
+def test_six_grams():
+    """Nulls, empty texts, sliced arrays."""
+    texts = pa.array(["x" * 9, None, "", "abc", "é", "yy"]).slice(1, 4)
+    keys, starts = byte_grams.grams(texts)
+    want = []
+    for t in texts.to_pylist():
+        x = [byte_grams.EDGE] * 5 + list((t or "").encode()) + [byte_grams.EDGE]
+        want += [sum(v * byte_grams.A ** (5 - i) for i, v in enumerate(x[k : k + 6])) for k in range(len(x) - 5)]
+    assert keys.tolist() == want and starts.tolist() == [0, 1, 2, 6, 9]
 
 
 def test_model_grows(spark):
-    """Texts of capitals and Cyrillic letters: n-grams that fell into one byte class are told apart by the query's model."""
+    """Texts of Cyrillic letters: the shards hold every different six-gram."""
     texts = [chr(x) + chr(y) for x in range(0x410, 0x430) for y in range(0x410, 0x430)]
     d = docs(spark, texts)
     model = quality.fit(d, d.select("doc_id", F.lit(1).alias("quality")))
     padded = [b"\x00" * 5 + t.encode() + b"\x00" for t in texts]
     seen = {x[i : i + 6] for x in padded for i in range(len(x) - 5)}
-    classes = np.unique(quality.grams(pa.array(texts))[0])
-    assert model.table.where("tag % 8 = 6 and p is not null").count() == len(seen) > 5 * len(classes)
+    assert sum(len(byte_grams.unpacked(r.data)[0]) for r in model.counts.grams.collect()) == len(seen) > 1000
+
+
+def test_thresholds(spark):
+    """By language and length class, with the wider groups where there are fewer than twenty."""
+    rows = [("en", 50, 5.0)] * 30 + [("en", 500, 3.0)] * 30 + [("de", 50, 9.0)] * 25 + [("fr", 50, 70.0)] * 3 + [(None, 500, 2.0)] * 20
+    out = {r.for_lang: r.most for r in quality.thresholds(spark.createDataFrame(rows, "lang string, n_grams long, perplexity double"), 1.0, 1.0).collect()}
+    assert set(out) == {None, "en", "de", ""}
+    assert out["en"] == [5.0, 5.0, 3.0] and out["de"] == [9.0, 9.0, 9.0] and out[""] == [2.0, 2.0, 2.0] and out[None] == [70.0, 70.0, 3.0]
+    scored = spark.createDataFrame([("fr", 10), ("en", 999), ("xx", 150), (None, 1)], "lang string, n_grams long")
+    limits = quality.thresholds(spark.createDataFrame(rows, "lang string, n_grams long, perplexity double"), 1.0, 1.0)
+    assert [r.threshold for r in quality.with_threshold(scored, limits).orderBy("n_grams").collect()] == [2.0, 70.0, 70.0, 3.0]
 
 
 def test_quality_held_out(spark):
@@ -181,6 +170,9 @@ def test_quality_held_out(spark):
     assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.4
     assert quality.classify(d.limit(0), labels).count() == 0
     assert quality.classify(d.limit(5), labels.limit(0)).where("kept").count() == 5
+    clash = d.withColumns({c: F.lit("clash") for c in ("all", "most", "for_lang", "model", "block", "rows", "perplexity", "n_grams", "threshold", "fold")})
+    kept = quality.keep_good(clash.repartition(5), labels)
+    assert kept.columns == clash.columns and kept.where("most = 'clash' and perplexity = 'clash'").count() == kept.count() > 0
     kept = quality.keep_good(d, labels)
     assert kept.columns == d.columns and kept.count() == quality.classify(d, labels).where("kept").count()
 
