@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; a local one is set only where none is
-    (single-machine tests)."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. A local one is set only where none is and
+    the driver runs the tasks itself (spark.master local); on a cluster that is an error."""
     jvm = spark.sparkContext._jsc.sc()
     if jvm.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not jvm.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return jvm.getCheckpointDir().get()
 
 
@@ -40,6 +43,24 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column (upper and lower case count as equal, as in Spark)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def row_columns(df: DataFrame, row: str) -> list[Column]:
+    """df's columns again, from the struct named row."""
+    return [F.col(row).getField(c).alias(c) for c in df.columns]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, nothing else (lower() would change other letters too)."""
     return F.translate(c, UPPER, LOWER)

@@ -49,7 +49,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("dup", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("tag", "dup", "copies", "skey")
 
 
 def queries() -> dict[str, Query]:

@@ -194,10 +194,27 @@ def test_archive_reader():
     assert list(warc.read_archive(b"")) == [] and list(warc.read_archive(b"not zstd at all"))[0].problems
 
 
+CLASH = ["size", "dup", "tag", "copies", "skey", "row", "_id", "_copy", "range", "target", "taken", "n", "weight", "of_dup", "of_doc_id", "col", "u", "b", "p"]
+
+
+def test_many_sources(spark, monkeypatch):
+    """Targets by ranges of sources as by one list; rows that repeat are documents of their own."""
+    rng = random.Random(9)
+    rows = [(i, f"s{rng.randrange(60)}", rng.randrange(1, 9) ** 4) for i in range(400)] + [(None, "s1", 7)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_words long")
+    one = sorted(mixing.mix(df, size="n_words").collect(), key=str)
+    monkeypatch.setattr(mixing, "RANGE", 7)
+    two = sorted(mixing.mix(df, size="n_words").collect(), key=str)
+    assert len(one) == 430 and [(r.doc_id, r.dup, r.copies) for r in one] == [(r.doc_id, r.dup, r.copies) for r in two]
+    assert all(abs(a.target - b.target) < 1e-6 for a, b in zip(one, two))
+    assert abs(sum({r.skey: r.target for r in one}.values()) - sum(s for *_, s in rows)) < 1e-6
+    assert sorted(r.dup for r in one if r.doc_id is None) == list(range(1, 31))
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(0, 60))), rng.choice(["a", "b", "B", "é", None, "tiny"][: 5 if i % 40 else 6])) for i in range(1_500)]
-    df = spark.createDataFrame([*rows, (7, "only words", "a"), (7, "only words", "a"), (8, None, "void")], "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
+    df = spark.createDataFrame([*rows, (7, "only words", "a"), (7, "only words", "a"), (8, None, "void")], "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in CLASH})
     out = mixing.mix(df, block=16).collect()
     assert len(out) == 1_503
     size = {}
@@ -225,7 +242,8 @@ def test_mix(spark):
     assert sorted(out) == sorted(mixing.mix(df.repartition(7), block=16).collect())
     assert mixing.mix(df.limit(0)).count() == 0
     again = mixing.mixed_documents(df, block=16)
-    assert again.columns == df.columns and abs(again.count() - sum(r.copies for r in out)) <= 15  # repeated ids are told apart there
+    assert again.columns == df.columns and abs(again.count() - sum(r.copies for r in out)) <= 15  # texts are told apart there
+    assert again.where("size <> 'clash' or row <> 'clash' or dup <> 'clash'").isEmpty()
 
 
 def test_expected_copies(spark):
@@ -233,9 +251,9 @@ def test_expected_copies(spark):
     df = spark.createDataFrame([(i, 10 + i, "a" if i < 8 else "b") for i in range(16)], "doc_id long, size long, source string")
     total = np.zeros(16)
     for seed in range(12):
-        for r in mixing.mix(df, seed=seed, block=4).collect():
+        for r in mixing.mix(df, seed=seed, block=4, size="size").collect():
             total[r.doc_id] += r.copies
-    share = {r.doc_id: r.target / r.source_size for r in mixing.mix(df).collect()}
+    share = {r.doc_id: r.target / r.source_size for r in mixing.mix(df, size="size").collect()}
     assert abs(total.mean() / 12 - np.mean(list(share.values()))) < 0.1
 
 
