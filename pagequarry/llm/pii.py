@@ -1,11 +1,12 @@
 """Personal data: candidate spans from high-recall generators, scored by boosted trees, in DataFrame functions only.
 
-Generators propose overlapping spans of four kinds. A strict expression per kind, with its check (octets, Luhn, number of
-digits), gives base spans, which always stay; looser expressions give further candidates. Trees over format and context
+Generators propose overlapping spans of five kinds. A strict expression per kind, with its check (octets, Luhn, number of
+digits, a key word before a secret), gives spans that always stay, the base of the first four kinds among them; looser
+expressions give further candidates. Trees over format and context
 features (digits, separators, length, check, neighbours, key words before the span; of a form without country codes and
 with the separators of obfuscated addresses made plain) learn which candidates look like base spans. Loose candidates are
-unlabelled: they count as negatives by a small weight, and not at all where they overlap a base span. The threshold of a kind
-is the score that all but a twentieth of its base spans reach. A loose candidate above it that overlaps no base span is
+unlabelled: they count as negatives by a small weight, and not at all where they overlap a strict span. The threshold of a kind
+is the score that all but a twentieth of its strict spans reach. A loose candidate above it that overlaps no strict span is
 added. The trees are fitted to a contingency table of the features over all rows.
 """
 
@@ -18,10 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.base import cut
+from pagequarry.functions.arrays import blocks_of, fold_append, let
+from pagequarry.llm.base import as_row, cut, keep, row_columns
 from pagequarry.llm.boosting import Boosted, fit
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the contract come first.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: The contract's expressions. Possessive, and tied to the start of a run of their first class (or to the end of the last
 #: match), so that long runs cost no more than their length; they match the same spans.
 STRICT = (
@@ -29,16 +32,19 @@ STRICT = (
     r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9](?:[ -]?[0-9])++",
     r"\+[0-9][ ().0-9-]+[0-9]",
+    r"(?<=[\"'= :])(?<=(?i:token|secret|passw.rd|api.?key|access.?key) {0,2}[=:] {0,2}[\"']{0,1})[A-Za-z0-9+/_-]{16,256}+",
 )
 LOOSE = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}",
     r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3})(?![0-9A-Fa-f:])",
     r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
     r"(?<![0-9+.-])(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ /.-]|[0-9]{3}[.-])[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3}(?![0-9])",
+    r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|(?:AKIA|ghp_|sk-)[A-Za-z0-9_-]{16,64}+)(?![A-Za-z0-9+/_-])",
 )
-#: Text that every match of the loose expressions holds; tried only where one of them is found.
-LOOSE_GATES = (("(dot)", "[dot]", " dot "), (":", "[.]"), (".", "_", "/"), ("-", ") ", "/", "0", "."))
-CONTEXT = (r"(?i)mail|contact|write|reach", r"(?i)\bip\b|server|host|addr|node", r"(?i)card|visa|credit|carte|karte|tarjeta", r"(?i)tel|phone|call|fax|mobil|whatsapp|fon")
+#: Text of which every match holds some; an expression is tried only where one of them is found.
+GATES = (("@",), (".",), None, ("+",), ("=", ":"))
+LOOSE_GATES = (("(dot)", "[dot]", " dot "), (":", "[.]"), (".", "_", "/"), None, ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"))
+CONTEXT = (r"(?i)mail|contact|write|reach", r"(?i)\bip\b|server|host|addr|node", r"(?i)card|visa|credit|carte|karte|tarjeta", r"(?i)tel|phone|call|fax|mobil|whatsapp|fon", r"(?i)token|secret|passw|key|auth|bearer")
 FEATURES = ("kind", "valid", "digits", "seps", "size", "near", "before", "after")
 BEFORE = 32
 #: Weight, as negatives, of loose candidates that may be personal data for all that is known.
@@ -55,15 +61,15 @@ def _located(text: Column, matches: Column, rx: str) -> Column:
     )
     follow = F.transform(F.slice(pieces, 2, F.size(matches)), lambda p: F.left(p, F.lit(1)))
     parts = F.zip_with(parts, follow, lambda x, p: F.struct(x["v"].alias("v"), x["gap"].alias("gap"), x["len"].alias("len"), x["pre"].alias("pre"), p.alias("post")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,v:string,pre:string,post:string>>").alias("out"))
+    kind = "struct<s:bigint,e:bigint,v:string,pre:string,post:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["gap"]
         one = F.struct(s.alias("s"), (s + x["len"]).alias("e"), x["v"].alias("v"), x["pre"].alias("pre"), x["post"].alias("post"))
-        return F.struct((s + x["len"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return s + x["len"], F.array(one)
 
-    return F.when(F.size(matches) > 0, F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(start["out"])
+    found = let(parts, lambda p: fold_append(p, F.lit(0).cast("long"), step, kind))
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _luhn(v: Column) -> Column:
@@ -91,7 +97,10 @@ def _valid(kind: int, v: Column) -> Column:
         return F.contains(v, F.lit(":")) | F.forall(octets, small)
     if kind == 2:
         return _luhn(v)
-    return F.length(F.regexp_replace(v, "[^0-9]", "")).between(9, 15)
+    if kind == 3:
+        return F.length(F.regexp_replace(v, "[^0-9]", "")).between(9, 15)
+    # Letters and digits mixed, or at least not one character again and again.
+    return v.rlike("[0-9]") & v.rlike("[A-Za-z]")
 
 
 def _bucket(c: Column, *cuts: int) -> Column:
@@ -111,6 +120,8 @@ def _plain(kind: int, v: Column) -> Column:
         return F.regexp_replace(v, r"\[\.\]", ".")
     if kind == 2:
         return F.translate(v, "._/", "---")
+    if kind == 4:
+        return v
     return F.regexp_replace(v, r"^(?:\+[0-9]{1,3}(?![0-9])|\+[0-9]{1,2})?[ ().-]*0?", "")
 
 
@@ -123,7 +134,7 @@ def _featured(spans: Column, kind: int, strict: bool) -> Column:
             F.lit(kind).alias("kind"),
             x["s"].alias("s"),
             x["e"].alias("e"),
-            (F.lit(strict) & valid).alias("base"),
+            (F.lit(strict) & valid).alias("strict"),
             valid.cast("int").alias("valid"),
             _bucket(digits, 1, 9, 12, 14, 17).alias("digits"),
             _bucket(F.length(F.regexp_replace(v, r"[\p{L}\p{N}]", "")), 1, 3, 5).alias("seps"),
@@ -136,25 +147,49 @@ def _featured(spans: Column, kind: int, strict: bool) -> Column:
     return F.transform(spans, one)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with a column cands: all candidates with their features. Null and empty texts have none.
+_SPAN = "struct<kind:int,s:bigint,e:bigint,strict:boolean,valid:int,digits:int,seps:int,size:int,near:int,before:int,after:int,over:boolean>"
+_FAR = 1 << 62
 
-    Each input row is handled by itself and keeps its other columns; whole texts are searched.
+
+def _overlaps(cands: Column) -> Column:
+    """The candidates sorted by start, with over: whether one overlaps a strict span. Two sweeps: the furthest end of the
+    strict spans that begin before, the next start of those that begin after."""
+    sortable = F.transform(cands, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c.alias("c")))
+    flagged = "struct<c:" + _SPAN.replace(",over:boolean", "") + ",over:boolean>"
+
+    def forth(end: Column, x: Column) -> tuple[Column, Column]:
+        c = x["c"]
+        return F.when(c["strict"], F.greatest(end, c["e"])).otherwise(end), F.array(F.struct(c.alias("c"), (end > c["s"]).alias("over")))
+
+    def back(start: Column, x: Column) -> tuple[Column, Column]:
+        c = x["c"]
+        fields = [c[f].alias(f) for f in ("kind", "s", "e", "strict", *FEATURES[1:])]
+        return F.when(c["strict"], F.least(start, c["s"])).otherwise(start), F.array(F.struct(*fields, (~c["strict"] & (x["over"] | (start < c["e"]))).alias("over")))
+
+    once = let(F.array_sort(sortable), lambda x: fold_append(x, F.lit(-1).cast("long"), forth, flagged))
+    return let(F.reverse(once), lambda x: F.reverse(fold_append(x, F.lit(_FAR).cast("long"), back, _SPAN)))
+
+
+def candidates(docs: DataFrame, *keep: Column) -> DataFrame:
+    """The columns keep and cands: all candidates in docs' text, in the order of their starts, with their features.
+
+    Null and empty texts have none. Each input row is handled by itself; whole texts are searched. Positions are folded in
+    blocks, so a text that is full of matches takes little more than its length.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found, names = docs, []
-    gates = [(("@",), ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"), None, ("+",)), LOOSE_GATES]
-    for strict, rxs in ((True, STRICT), (False, LOOSE)):
+    text = F.col("its text")
+    found, names = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("its text")), []
+    kept = found.columns[:-1]
+    for strict, rxs, gates in ((True, STRICT, GATES), (False, LOOSE, LOOSE_GATES)):
         for kind, rx in enumerate(rxs):
-            gate = gates[0 if strict else 1][kind]
             match = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-            if gate and len(gate) < 4:
-                match = F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(g)) for g in gate]), match).otherwise(F.array().cast("array<string>"))
-            names.append((f"_m{len(names)}", kind, rx, strict, match))
-    found = docs.withColumns({n: m for n, _, _, _, m in names})
-    found = found.withColumns({n.replace("m", "s"): _located(text, F.col(n), rx) for n, _, rx, _, _ in names})
-    cands = F.concat(*[_featured(F.col(n.replace("m", "s")), kind, strict) for n, kind, _, strict, _ in names])
-    return found.select(*[docs[c] for c in docs.columns], cands.alias("cands"))
+            if gates[kind]:
+                match = F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(g)) for g in gates[kind]]), match).otherwise(F.array().cast("array<string>"))
+            names.append((f"matches {len(names)}", kind, rx, strict, match))
+    found = found.withColumns({n: m for n, _, _, _, m in names})
+    found = found.withColumns({n.replace("matches", "places"): _located(text, F.col(n), rx) for n, _, rx, _, _ in names})
+    cands = F.concat(*[_featured(F.col(n.replace("matches", "places")), kind, strict) for n, kind, _, strict, _ in names])
+    found = found.select(*kept, cands.alias("cands"))
+    return found.select(*kept, F.when(F.size("cands") > 0, _overlaps(F.col("cands"))).otherwise(F.array().cast(f"array<{_SPAN}>")).alias("cands"))
 
 
 @dataclass(frozen=True)
@@ -165,10 +200,9 @@ class Model:
 
 def train(with_cands: DataFrame, keep: float = 0.95) -> Model:
     """Trees and thresholds from all candidates of all rows; no candidates give a model that adds nothing."""
-    base = F.filter("cands", lambda c: c["base"])
-    apart = F.filter("cands", lambda c: c["base"] | (c["valid"] == 0) | ~F.exists(F.col("_base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    c = with_cands.withColumn("_base", base).select(F.explode(apart).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    rows = c.agg(F.count("*").alias("n"), F.sum(F.col("c.base").cast("long")).alias("pos")).orderBy(*FEATURES).collect()
+    apart = F.filter("cands", lambda c: c["strict"] | (c["valid"] == 0) | ~c["over"])
+    c = with_cands.select(F.explode(apart).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    rows = c.agg(F.count("*").alias("n"), F.sum(F.col("c.strict").cast("long")).alias("pos")).orderBy(*FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=int).reshape(-1, len(FEATURES))
     n, pos = np.array([r["n"] for r in rows], dtype=float), np.array([r["pos"] for r in rows], dtype=float)
     n = pos + (n - pos) * np.where(x[:, FEATURES.index("valid")] == 1, UNLABELLED, 1.0)
@@ -185,28 +219,30 @@ def train(with_cands: DataFrame, keep: float = 0.95) -> Model:
     return Model(trees, tuple(thresholds))
 
 
-def with_spans(with_cands: DataFrame, model: Model) -> DataFrame:
-    """Adds spans: kind (number), s, e, base, score, sorted by kind and start; base spans and the candidates that pass."""
+_FOUND = "struct<kind:int,s:bigint,e:bigint,base:boolean,strict:boolean,score:double>"
+
+
+def spans_column(model: Model) -> Column:
+    """Of the column cands: kind (number), s, e, base, strict, score, sorted by kind and start: strict spans and those that
+    pass. Of loose spans that overlap one another, the first of the longest stays."""
     limit = lambda kind: F.element_at(F.array(*[F.lit(t) for t in model.thresholds]), kind + 1)
-    scored = F.transform("cands", lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"), c["valid"].alias("valid"), model.trees.column(c).alias("score")))
-    df = with_cands.withColumn("_scored", F.when(F.size("cands") > 0, scored))
-    base = F.filter("_scored", lambda c: c["base"])
-    loose = F.filter("_scored", lambda c: ~c["base"] & (c["valid"] == 1) & (c["score"] >= limit(c["kind"])))
-    df = df.withColumns({"_base": base, "_loose": loose})
-    free = F.filter("_loose", lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    # Of loose spans that overlap one another, the first of the longest stays.
-    order = F.array_sort(F.transform(free, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("minus_e"), c.alias("c"))))
-    start = F.struct(F.lit(-1).cast("long").alias("end"), F.filter("_base", lambda c: F.lit(False)).alias("out"))
-    own = F.aggregate(order, start, lambda a, x: F.when(x["s"] >= a["end"], F.struct(x["c"]["e"].alias("end"), F.concat(a["out"], F.array(x["c"])).alias("out"))).otherwise(a), lambda a: a["out"])
-    spans = F.array_sort(F.transform(F.concat("_base", F.when(F.size("_loose") > 0, own).otherwise(F.filter("_base", lambda c: F.lit(False)))), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"), c["score"].alias("score"))))
-    none = F.array().cast("array<struct<kind:int,s:bigint,e:bigint,base:boolean,score:double>>")
-    return df.withColumn("spans", F.coalesce(F.when(F.size("cands") > 0, spans), none)).drop("_scored", "_base", "_loose", "cands")
+    scored = F.transform("cands", lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("minus_e"), c["kind"].alias("kind"), c["strict"].alias("strict"), (~c["over"] & (c["valid"] == 1)).alias("free"), model.trees.column(c).alias("score")))
+    passing = F.filter(scored, lambda c: c["strict"] | (c["free"] & (c["score"] >= limit(c["kind"]))))
+
+    def choose(end: Column, x: Column) -> tuple[Column, Column]:
+        e = -x["minus_e"]
+        one = F.struct(x["kind"].alias("kind"), x["s"].alias("s"), e.alias("e"), (x["strict"] & (x["kind"] < 4)).alias("base"), x["strict"].alias("strict"), x["score"].alias("score"))
+        stays = x["strict"] | (x["s"] >= end)
+        return F.when(~x["strict"] & stays, e).otherwise(end), F.when(stays, F.array(one)).otherwise(F.array().cast(f"array<{_FOUND}>"))
+
+    spans = let(F.array_sort(passing), lambda x: F.array_sort(fold_append(x, F.lit(-1).cast("long"), choose, _FOUND)))
+    return F.when(F.size("cands") > 0, spans).otherwise(F.array().cast(f"array<{_FOUND}>"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every row; the candidates are found once, kept in the checkpoint folder, and scored from there."""
-    found = cut(candidates(docs.select("doc_id", "text")).select("doc_id", "cands"))
-    return with_spans(found, train(found))
+    found = cut(candidates(docs, F.col("doc_id")))
+    return found.select("doc_id", spans_column(train(found)).alias("spans"))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -214,30 +250,57 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     named = lambda c: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), c["kind"] + 1), F.lit(":"), c["s"].cast("string"), F.lit(":"), c["e"].cast("string"))
     base = F.filter("spans", lambda c: c["base"])
     of_kind = lambda k: F.filter("spans", lambda c: c["base"] & (c["kind"] == k))
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     sha = F.sha2(F.array_join(F.transform(base, named), ",").cast("binary"), 256)
     return find(docs).select("doc_id", *counts, sha.alias("base_sha256"), F.array_join(F.transform("spans", named), ",").alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets, n_chars made to match; null texts stay null.
+def _redacted(text: Column, spans: Column) -> Column:
+    """text with its spans replaced. Spans that overlap are removed together and named by the first. The text between two
+    blocks of spans is taken out once, so that no span looks through the whole text."""
+    order = F.array_sort(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("minus_e"), c["kind"].alias("kind"))))
+    hole = "struct<s:bigint,e:bigint,label:string>"
 
-    Where spans overlap, the one that starts first (the longest of those) names the replacement and all are removed.
-    Two passes over the texts: one for the model, one to replace.
-    """
-    model = train(candidates(docs.select("doc_id", "text")))
-    cols = docs.columns
-    df = with_spans(candidates(docs), model)
-    order = F.array_sort(F.transform("spans", lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("minus_e"), c["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
+    def apart(end: Column, x: Column) -> tuple[Column, Column]:
         e = -x["minus_e"]
         label = F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)), F.lit("]"))
-        fresh = F.struct(e.alias("at"), F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), label).alias("out"))
-        return F.when(x["s"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], e).alias("at"), acc["out"].alias("out")))
+        fresh = x["s"] >= end
+        gap = F.struct(F.greatest(x["s"], end).alias("s"), e.alias("e"), F.when(fresh, label).otherwise(F.lit("")).alias("label"))
+        return F.greatest(end, e), F.when(e > end, F.array(gap)).otherwise(F.array().cast(f"array<{hole}>"))
+
+    holes = let(order, lambda x: fold_append(x, F.lit(0).cast("long"), apart, hole))
+
+    def stretch(acc: Column, some: Column) -> Column:
+        """One block: the text from where the last block ended to where this one ends, with its holes filled."""
+        end = F.element_at(some, -1)["e"]
+        piece = F.substr(text, (acc["at"] + 1).cast("int"), (end - acc["at"]).cast("int"))
+
+        def fill(own: Column) -> Column:
+            def one(a: Column, h: Column) -> Column:
+                s, e = h["s"] - acc["at"], h["e"] - acc["at"]
+                return F.struct(e.alias("at"), F.concat(a["out"], F.substr(own, (a["at"] + 1).cast("int"), (s - a["at"]).cast("int")), h["label"]).alias("out"))
+
+            return F.aggregate(some, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), one, lambda a: a["out"])
+
+        return F.struct(end.alias("at"), F.concat(acc["outs"], F.array(let(piece, fill))).alias("outs"))
 
-    gone = F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["at"] + 1).cast("int"))))
-    df = df.withColumn("_text", F.when(F.size("spans") > 0, gone).otherwise(F.col("text")))
-    out = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in cols]
-    return df.select(*out)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("outs"))
+    whole = let(holes, lambda h: F.aggregate(blocks_of(h), start, stretch, lambda a: F.concat(F.array_join(a["outs"], ""), F.substr(text, (a["at"] + 1).cast("int")))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span in text replaced by its kind in brackets, n_chars made to match; null texts stay null.
+
+    Where spans overlap, the one that starts first (the longest of those) names the replacement and all are removed. All other
+    columns stay, whatever their names. The candidates are found once; they and the rows are kept in the shared folder.
+    """
+    found = keep(candidates(docs, as_row(docs).alias("row")))
+    model = train(found)
+    spanned = found.select("row", spans_column(model).alias("spans"))
+    done = spanned.select("row", _redacted(F.col("row")["text"], F.col("spans")).alias("new text"))
+    out = []
+    for c, column in zip(docs.columns, row_columns(docs, "row")):
+        size = F.length("new text").cast(docs.schema[c].dataType) if c == "n_chars" else column
+        out.append(F.col("new text").alias(c) if c == "text" else size.alias(c))
+    return done.select(*out)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,6 +217,34 @@ def test_loose_spans_are_added(spark):
     assert not any(got[i] for i in range(100, 200))
 
 
+def test_texts_full_of_spans(spark):
+    """Time grows little faster than the text: 40,000 addresses, found and redacted; and license phrases."""
+    text = "a@b.co " * 40_000
+    d = docs(spark, [text, "a@b.co 10.1.2.3 token = '0123456789abcdef0123456789abcdef01234567'"])
+    at = time.time()
+    got = {r.doc_id: r for r in pii.pii_digest(d).collect()}
+    assert got[0].n_email == 40_000 and got[0].spans.endswith("email:279993:279999") and "secret:25:65" in got[1].spans
+    out = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert out[0] == "[EMAIL] " * 40_000 and out[1] == "[EMAIL] [IP] token = '[SECRET]'"
+    assert time.time() - at < 60
+
+
+def test_redaction_against_python(spark, real):
+    texts = PII + real
+    d = docs(spark, texts).withColumns({c: F.lit("clash") for c in ("row", "cands", "spans", "its text", "new text", "_m0", "_text", "base")})
+    spans = {r.doc_id: [(k.split(":")[0], int(k.split(":")[1]), int(k.split(":")[2])) for k in r.spans.split(",") if k] for r in pii.pii_digest(d).collect()}
+    done = pii.redact(d)
+    assert done.columns == d.columns and done.where("row <> 'clash' or `new text` <> 'clash' or cands <> 'clash'").isEmpty()
+    for r in done.collect():
+        t, at, want = texts[r.doc_id], 0, ""
+        for kind, s, e in sorted(spans[r.doc_id], key=lambda x: (x[1], -x[2], pii.KINDS.index(x[0]))):
+            if s >= at:
+                want += t[at:s] + f"[{kind.upper()}]"
+            at = max(at, e)
+        assert r.text == (None if t is None else want + t[at:])
+        assert t is None or r.n_chars == len(r.text)
+
+
 def test_redaction(spark):
     d = docs(spark, ["mail a@b.co now +49 30 1234567", None, "clean"])
     out = {r.doc_id: r for r in pii.redact(d).collect()}
