@@ -4,8 +4,9 @@ All signature coordinates come from two permutations of 2**20 slots: shingles go
 coordinate k is the smallest value of the second permutation, shifted by k, over a document's slots (a window of neighbours
 in that permutation per shingle serves all coordinates). Equal sets of shingles become one representative. Representatives
 that agree in a band share a bucket; a bucket is named by its smallest member, its hub, and the buckets of one hub make
-one group, in which all pairs are compared on the full sets. Large groups are dealt out in pairs of tiles. Of the links that
-hold, a task returns a spanning forest, never all pairs. The forest's components are found by passing on smallest labels.
+one group. Each member is compared with its hub on the full sets, in tiles of members, so a text is sent once. Members that
+link with their hub are in its class; those that don't are compared with all other members, in pairs of tiles. Of the links
+that hold, a task returns a spanning forest, never all pairs. The forest's components are found by passing on smallest labels.
 """
 
 from __future__ import annotations
@@ -17,12 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.base import cut
+from pagequarry.llm.base import cut, unused
 from pagequarry.llm.shingles import _mix, set_names, shingle_sets
 
-SLOTS, TILE = 1 << 20, 384
+SLOTS, TILE, SALTS = 1 << 20, 384, 32
 #: Bands and rows: a pair at 0.85 is missed with a chance of 1e-6 (36 x 7); for a threshold of 0.8, 40 x 6 gives 5e-6.
 BANDING = {85: (36, 7), 80: (40, 6)}
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: the most rows of which 400 signature coordinates at most miss a pair at the threshold
+    with a chance of 1e-5 at most."""
+    if percent in BANDING:
+        return BANDING[percent]
+    for rows in range(8, 0, -1):
+        bands = int(np.ceil(np.log(1e-5) / np.log1p(-((percent / 100) ** rows)))) if percent < 100 else 1
+        if bands * rows <= 400:
+            return bands, rows
+    raise ValueError(f"no banding for a similarity of {percent} %")
+
+
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -124,33 +139,78 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    both = intersections(sets)
+    size = np.array([len(s) for s in sets], float)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
+def star_links(stars: DataFrame, words: int, percent: int) -> DataFrame:
+    """hub, id, linked for every member of stars (hub, t, id, text); each tile t holds the hub's row too."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        hub, ids = key[0].as_py(), table.column("id").to_numpy()
+        sets = shingle_sets(table.column("text").to_pylist(), words)
+        linked: dict[int, bool] = {}
+        for centre in (sets[i] for i in np.flatnonzero(ids == hub)):
+            for i, s in zip(ids.tolist(), sets):
+                both = len(np.intersect1d(centre, s, assume_unique=True))
+                linked[i] = linked.get(i, False) or 100 * both >= percent * (len(centre) + len(s) - both)
+        linked.pop(hub, None)
+        return pa.table({"hub": pa.array([hub] * len(linked), pa.int64()), "id": pa.array(list(linked), pa.int64()), "linked": pa.array(list(linked.values()), pa.bool_())})
+
+    return stars.groupBy("hub", "t").applyInArrow(run, "hub bigint, id bigint, linked boolean")
+
+
 def verified_links(groups: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: a spanning forest of the links within each group (hub, i, j) of (id, text); 100 * intersection >= percent * union."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        sets = shingle_sets(table.column("text").to_pylist(), words)
-        both = intersections(sets)
-        size = np.array([len(s) for s in sets], float)
-        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        edges = spanning_forest(linked)
+        edges = spanning_forest(_linked(shingle_sets(table.column("text").to_pylist(), words), percent))
         a, b = (np.array([ids[e[i]] for e in edges], np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return groups.groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """hub, i, j, id: which representatives (id, keys) are compared together; (i, j) is a pair of tiles of the hub's group."""
+def candidate_pairs(reps: DataFrame) -> DataFrame:
+    """hub, id: the members of each group of representatives (id, keys) but the hub itself."""
     keyed = cut(reps.select("id", F.explode("keys").alias("key")))
     bucket = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    pairs = keyed.join(bucket, "key").groupBy("hub", "id").agg(F.count("*").alias("shared"))  # the hub is a member itself
-    pairs = cut(pairs.select("hub", "id"))
-    tiles = pairs.groupBy("hub").agg(F.ceil(F.count("*") / float(TILE)).cast("int").alias("tiles"))
-    t = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = pairs.join(tiles, "hub").withColumn("t", t).select("hub", "id", "t", other.alias("o"))
-    return dealt.select("hub", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id")
+    pairs = keyed.join(bucket, "key").where("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("shared"))
+    return cut(pairs.select("hub", "id"))
+
+
+def _tiled(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """pairs with the number of tiles that the hub's members make. Only hubs with more than one tile are joined, by hub and a
+    salt, so that a large hub's rows are spread."""
+    tiles = members.groupBy("hub").agg(F.ceil(F.count("*") / float(TILE)).cast("int").alias(name)).where(F.col(name) > 1)
+    salted = tiles.select(F.col("hub").alias("of_hub"), name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+    salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")
+    joined = pairs.withColumn("salt", salt).join(salted, (F.col("hub") == F.col("of_hub")) & (F.col("salt") == F.col("of_salt")), "left")
+    return joined.select(*pairs.columns, F.coalesce(name, F.lit(1)).alias(name))
+
+
+def links_of_groups(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links that connect what is linked within the groups; texts: id, text."""
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    dealt = _tiled(pairs, pairs, "tiles").select("hub", place("tiles").alias("t"), "id")
+    stars = dealt.unionByName(dealt.select("hub", "t", F.col("hub").alias("id")).distinct())
+    found = cut(star_links(texts.join(stars, "id"), words, percent))
+    links = found.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    # What doesn't link with its hub may link with any other member.
+    alone = found.groupBy("hub").agg(F.count("*").alias("k")).where("k = 1").select("hub")
+    failed = cut(found.where("not linked").select("hub", "id").join(alone, "hub", "left_anti"))
+    if failed.isEmpty():
+        return links
+    hubs = failed.select("hub").distinct()
+    members = found.select("hub", "id").join(hubs, "hub", "left_semi")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = _tiled(_tiled(failed, failed, "lost"), members, "tiles").select("hub", place("lost").alias("i"), every("tiles").alias("j"), "id")
+    cols = _tiled(_tiled(members, members, "tiles"), failed, "lost").select("hub", every("lost").alias("i"), place("tiles").alias("j"), "id")
+    groups = rows.unionByName(cols).distinct()
+    return links.unionByName(verified_links(texts.join(groups, "id"), words, percent))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,14 +236,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked. Rows with one doc_id are one document, linked with whatever one of them is linked with. Rows without doc_id stand
     alone. No rows give none.
     """
-    bands, rows = BANDING[percent]
+    bands, rows = banding(percent)
     all_rows = cut(signed(docs, words, bands, rows))
     name = ["n", "h1", "h2"]
     known = all_rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     reps = cut(known.groupBy(*name).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
-    groups = candidate_groups(reps)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("id").isNotNull())
-    links = verified_links(texts.join(groups, "id"), words, percent)
+    links = links_of_groups(candidate_pairs(reps), texts, words, percent)
     # Documents that are given twice with different texts connect their sets.
     same = known.select(*name, "doc_id").join(reps.select(*name, "id"), name).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     twice = known.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("k")).where("k > 1").select(F.col("doc_id").alias("b"))
@@ -197,5 +256,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, all their columns; of rows with one doc_id, all."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    own = unused(docs, "doc of class")
+    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(f"`{own}`")), "left_semi")

@@ -129,6 +129,7 @@ def test_near_duplicates(spark, n, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, n, percent).collect()}
     assert got == brute_components(rows, n, percent)
     assert near_dedup.near_duplicates(df.limit(0), n, percent).count() == 0
+    df = df.withColumns({c: F.lit("clash") for c in ("_id", "id", "hub", "n", "h1", "component_id", "kept", "doc of class")})
     kept = near_dedup.keep_one(df, n, percent)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
 
@@ -143,6 +144,32 @@ def test_tiles_and_components(spark, monkeypatch):
     assert {(r.id, r.component) for r in near_dedup.components(chain).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
 
 
+def test_members_that_fail_their_hub(spark, monkeypatch):
+    """Families under one hub: they link among themselves, not with the hub; the result is that of brute force."""
+    monkeypatch.setattr(near_dedup, "TILE", 5)
+    rng = random.Random(8)
+    core, rows = [f"c{k}" for k in range(50)], []
+    for family in range(4):
+        own = core[: 50 - 9 * family] + [f"f{family}_{k}" for k in range(9 * family)]
+        for i in range(13):
+            w = list(own)
+            w[rng.randrange(50)] = f"x{i}"
+            rows.append((100 * family + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
+    pairs = spark.createDataFrame([(0, i) for i, _ in rows if i], "hub long, id long")  # one group of all
+    texts = df.select(F.col("doc_id").alias("id"), "text")
+    label = {r.id: r.component for r in near_dedup.components(near_dedup.links_of_groups(pairs, texts, 3, 85)).collect()}
+    assert {i: label.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()} and len(set(label.values())) > 1
+
+
+def test_other_thresholds():
+    for percent in (50, 70, 90, 95, 100):
+        bands, rows = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1.1e-5 and bands * rows <= 400
+
+
 def test_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "q r s t u v"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_dedup.near_duplicates(df, 3, 85).collect())
