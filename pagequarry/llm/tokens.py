@@ -1,7 +1,7 @@
 """Token counts with overlap resynchronisation for huge documents.
 
 The tokenizer never joins text across white space: its pre-tokens hold none, so the count of a text is the sum over its
-words between white space, and words recur. Ordinary documents are counted that way from a memo of words. A huge document is
+words between white space, and words recur. Documents of up to two chunks are counted that way from a memo of words. A longer one is
 cut into overlapping chunks that are encoded with offsets; two neighbours are spliced at a boundary between tokens that
 lies at white space inside their overlap, after which both give the same tokens up to the end of the earlier chunk's last
 whole word. Where there is none, the overlap is doubled, in the end up to the whole rest of the document.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 #: White space as the tokenizer's expressions have it (Unicode White_Space; str.split() would add four separators).
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-HUGE, CHUNK, OVERLAP, LIMIT, MEMO = 1 << 17, 1 << 15, 256, 2048, 1_500_000
+#: Characters above which a text is cut, of a chunk and of an overlap; the limit of tokens; words in the memo.
+HUGE, CHUNK, OVERLAP, LIMIT, MEMO = 1 << 14, 1 << 13, 256, 2048, 1_500_000
 _MEMOS: dict[str, dict[str, int]] = {}  # of this Python worker, by vocabulary; a cache of bounded size
 
 
@@ -66,9 +68,9 @@ class WordCounter:
             if cut is None:  # not one boundary in all of a: encode it together with the next chunk
                 a = self._encode(text, at, min(a[1] + chunk, len(text)))
                 continue
-            total += sum(at <= s < cut for s in a[2])
+            total += bisect_left(a[2], cut) - bisect_left(a[2], at)
             at, a, wide = cut, b, overlap
-        return total + sum(s >= at for s in a[2])
+        return total + len(a[2]) - bisect_left(a[2], at)
 
     def _encode(self, text: str, start: int, end: int) -> tuple[int, int, list[int], list[int]]:
         e = self.tok.encode(text[start:end], add_special_tokens=False)
@@ -82,10 +84,14 @@ class WordCounter:
         chunk, so the tokens are compared up to the white space before it.
         """
         spaces = [m.start() for m in SPACE.finditer(text, b[0], a[1])]
-        for first, last in ((s, spaces[-1]) for s in spaces[:-1]):
-            ours = [(s, i) for s, i in zip(a[2], a[3]) if first <= s < last]
-            theirs = [(s, i) for s, i in zip(b[2], b[3]) if first <= s < last]
-            if ours and ours == theirs:
+        if len(spaces) < 2:
+            return None
+        last = spaces[-1]
+        ours, theirs = ((bisect_left(x[2], last), x) for x in (a, b))
+        for first in spaces[:-1]:
+            ranges = [(slice(bisect_left(x[2], first), end), x) for end, x in (ours, theirs)]
+            (mine, mine_ids), (other, other_ids) = ((x[2][r], x[3][r]) for r, x in ranges)
+            if mine and mine == other and mine_ids == other_ids:
                 return first
         return None
 
