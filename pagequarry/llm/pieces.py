@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from pagequarry.llm.base import cut
+from pagequarry.llm.base import as_row, cut, row_columns
 
 BLANK = "\u2581"
 #: Characters from which a document is scanned in chunks, characters of a chunk, nodes that a round joins, words in the memo.
-GIANT, CHUNK, FAN, MEMO = 1 << 16, 1 << 12, 32, 250_000
+GIANT, CHUNK, FAN, MEMO = 1 << 14, 1 << 12, 32, 250_000
 _WORD, _BEGIN = re.compile(f"{BLANK}+[^{BLANK}]*"), re.compile(f"(?<=[^{BLANK}]){BLANK}")
 NEVER = -np.inf
 
@@ -60,6 +62,7 @@ class Coder:
         self.memo: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.stable_memo: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.surfaces = None
 
     @staticmethod
     def spelled(text: str) -> str:
@@ -94,6 +97,40 @@ class Coder:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1) if ids else []
 
+    def _surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces one after another, where each begins, its length; -1 for ids that stand for no text."""
+        sp, parts, lengths = self.sp, [], []
+        for i in range(sp.get_piece_size()):
+            plain = not (sp.is_control(i) or sp.is_unknown(i))
+            parts.append((bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(BLANK, " ").encode()) if plain else b"")
+            lengths.append(len(parts[-1]) if plain else -1)
+        n = np.array(lengths)
+        return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(np.maximum(n, 0))[:-1]]), n
+
+    def decode_flat(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of rows of ids (flat, and the end of each row in it), by gathering the pieces' bytes for all rows at once. The
+        blank that the library puts before a text goes. Rows with other ids or broken bytes go to the library."""
+        if self.surfaces is None:
+            self.surfaces = self._surfaces()
+        raw, begin, length = self.surfaces
+        known = (flat >= 0) & (flat < len(length))
+        n = np.where(known, length[np.where(known, flat, 0)], -1)
+        starts = np.concatenate([[0], ends[:-1]])
+        odd = np.concatenate([[0], np.cumsum(n < 0)])
+        n = np.maximum(n, 0)
+        at = np.cumsum(n)
+        whole = np.repeat(begin[np.where(known, flat, 0)] - (at - n), n) + np.arange(at[-1] if len(at) else 0)
+        text = raw[whole].tobytes()
+        edge = np.concatenate([[0], at])
+        out = []
+        for s, e, strange in zip(starts.tolist(), ends.tolist(), (odd[ends] - odd[starts]).tolist()):
+            part = text[edge[s] : edge[e]]
+            try:
+                out.append(self.sp.decode(flat[s:e].tolist()) if strange else part[part[:1] == b" " :].decode())
+            except UnicodeDecodeError:
+                out.append(self.sp.decode(flat[s:e].tolist()))
+        return out
+
     # --- pieces of spelled text
 
     def merged(self, stretch: str) -> list[str]:
@@ -304,13 +341,15 @@ def scan_giants(giants: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: str = "text") -> DataFrame:
-    """docs with ids (array<int>) for text, as the library's encode() gives them; null texts have the ids of the empty text.
+    """docs with ids (array<int>) for text, as the library's encode() gives them; null texts have the ids of the empty text. A
+    column ids of docs is replaced; all others stay, whatever their names.
 
     Texts of more than giant characters go through the scan; a document's ids come together in its row. Giant rows are told
     apart by a hash of their other columns and text, so repeated rows are scanned once and each gets the ids.
     """
     path = path or model_path()
-    rest = docs.columns
+    packed = docs.select(as_row(docs).alias("r"), F.col(f"`{text}`").alias("t"))
+    out = StructType([packed.schema["r"], StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -321,18 +360,17 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: s
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["r", "ids"])
 
-    is_giant = F.coalesce(F.length(text), F.lit(0)) > giant
-    packed = docs.where(~is_giant).select(F.struct(*rest).alias("r"), text)
-    small = packed.mapInArrow(run, f"r {packed.schema['r'].dataType.simpleString()}, ids array<int>").select("r.*", "ids")
-    big = docs.where(is_giant).withColumn("doc", F.xxhash64(F.sha2(F.col(text).cast("binary"), 256)))
-    if big.isEmpty():
-        return small
-    done = scan_giants(big.select("doc", F.col(text).alias("text")).dropDuplicates(["doc"]), path)
-    return small.unionByName(big.join(done, "doc").select(*rest, "ids"))
+    is_giant = F.coalesce(F.length("t"), F.lit(0)) > giant
+    small = packed.where(~is_giant).mapInArrow(run, out)
+    big = packed.where(is_giant).withColumn("doc", F.xxhash64(F.sha2(F.col("t").cast("binary"), 256)))
+    if not big.isEmpty():
+        done = scan_giants(big.select("doc", F.col("t").alias("text")).dropDuplicates(["doc"]), path)
+        small = small.unionByName(big.join(done, "doc").select("r", "ids"))
+    return small.select(*[c for c, name in zip(row_columns(docs, "r"), docs.columns) if name.lower() != "ids"], "ids")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded with decoded (string) for ids; null ids give null."""
+    """encoded with decoded (string) for ids; null ids give null. A column decoded is replaced."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,12 +378,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                ids = part.column(1).to_pylist()
-                known = iter(c.decode([x for x in ids if x is not None]))  # a slice at a time: lists of numbers are large
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else next(known) for x in ids], pa.string())], names=["r", "decoded"])
-
-    packed = encoded.select(F.struct(*encoded.columns).alias("r"), "ids")
-    return packed.mapInArrow(run, f"r {packed.schema['r'].dataType.simpleString()}, decoded string").select("r.*", "decoded")
+                ids = part.column(1)
+                ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))
+                flat = np.asarray(pc.fill_null(pc.list_flatten(ids), -1)).astype(np.int64)
+                texts = c.decode_flat(flat, ends)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t if fine else None for t, fine in zip(texts, ids.is_valid().to_pylist())], pa.string())], names=["r", "decoded"])
+
+    packed = encoded.select(as_row(encoded).alias("r"), "ids")
+    out = packed.mapInArrow(run, StructType([packed.schema["r"], StructField("decoded", StringType())]))
+    return out.select(*[c for c, name in zip(row_columns(encoded, "r"), encoded.columns) if name.lower() != "decoded"], "decoded")
 
 
 def piece_digest(docs: DataFrame) -> DataFrame:
