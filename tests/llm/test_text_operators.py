@@ -51,9 +51,25 @@ def test_license_suppression(spark):
     r = licenses.scan(docs(spark, ["Licensed under the Apache License, Version 2.0 (the License)", "SPDX-License-Identifier: MIT", "This work: CC BY-SA 4.0"])).orderBy("doc_id").collect()
     labels = [{x.label for x in row.detections} for row in r]
     assert "apache-2.0" in labels[0] and "mit" in labels[1] and "cc-by-sa-4.0" in labels[2]
-    for row in r:  # none within another of no lower priority
+    extra = [("weak", 1, "omega", "omega", "alpha beta gamma delta omega"), ("strong", 3, "omega", "omega", "omega sigma tau"), ("middle", 2, "rho", "rho", "tau rho"), ("same", 3, "rho", "rho", "rho phi")]
+    odd = licenses.scan(docs(spark, ["alpha beta gamma delta omega sigma tau rho phi"]), extra).first()
+    assert [x.label for x in odd.detections] == ["strong", "same"]
+    for row in [*r, odd]:  # none within another of no lower priority, none overlaps one of a higher priority
         for a in row.detections:
             assert not any(b != a and b.priority >= a.priority and b.first_word <= a.first_word and b.last_word >= a.last_word for b in row.detections)
+            assert not any(b.priority > a.priority and b.first_word <= a.last_word and b.last_word >= a.first_word for b in row.detections)
+
+
+def test_texts_full_of_licenses(spark):
+    at = time.time()
+    r = licenses.license_digest(docs(spark, ["cc by mit license " * 20_000])).first()
+    assert (r.n_words, r.n_base, r.last_word) == (80_000, 20_000, 79_996) and time.time() - at < 40
+
+
+def test_methods_get_their_texts(spark):
+    """At sf0.01 some documents are spliced from chunks and scanned in chunks."""
+    d = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    assert d.where(F.length("text") > tokens.HUGE).count() > 5 and d.where(F.length("text") > pieces.GIANT).count() > 5
 
 
 def test_tokens(spark, real):
@@ -256,13 +272,26 @@ def test_redaction(spark):
 def test_pieces(spark, real):
     lib = pieces.Coder(pieces.model_path()).sp
     texts = [None, "", " ", "  a  b ", "a\nb", "▁x▁▁y", "日本①語", *real[:60]]
-    got = pieces.decode(pieces.encode(docs(spark, texts), giant=2_000)).collect()
-    assert len(got) == len(texts)
+    clash = docs(spark, texts).withColumns({c: F.lit("clash") for c in ("ids", "r", "t", "doc", "no", "decoded", "into", "a b")})
+    out = pieces.decode(pieces.encode(clash, giant=2_000))
+    got = out.collect()
+    assert len(got) == len(texts) and all(r.r == r.t == r.doc == r.no == r["a b"] == "clash" for r in got)
     for r in got:
         t = texts[r.doc_id] or ""
         assert r.ids == lib.encode(t) and r.decoded == lib.decode(lib.encode(t))
 
 
+def test_decoding_any_ids(spark):
+    """Rows of ids that no text gives: controls, unknown numbers, broken bytes, blanks."""
+    lib = pieces.Coder(pieces.model_path()).sp
+    rng = np.random.default_rng(5)
+    byte = [i for i in range(lib.get_piece_size()) if lib.is_byte(i)]
+    rows = [[], [0], [1, 2], byte[:3], byte[200:], *[rng.integers(0, lib.get_piece_size(), 30).tolist() for _ in range(40)], lib.encode("é x")[:-1], lib.encode("  two")]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)] + [(99, None)], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in pieces.decode(df).collect()}
+    assert got.pop(99) is None and got == {i: lib.decode(r) if r else "" for i, r in enumerate(rows)}
+
+
 @pytest.mark.parametrize("text", ["x" * 6_000, "the" * 2_500 + " end", "日本①" * 1_500, "\n" * 3_000 + "ing" * 1_500, "a b  c " * 1_000])
 def test_scan_of_giants(spark, text):
     lib = pieces.Coder(pieces.model_path()).sp
