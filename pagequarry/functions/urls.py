@@ -233,6 +233,27 @@ def normalize_url(raw: Column, base: Column | None = None, keep_fragment: bool =
     return resolve(raw, base if base is not None else F.lit(None).cast("string"))
 
 
+_PLAIN = r"[A-Za-z0-9_~.,!$&'()*+;=@-]"
+_BASE_RX = rf"^(https?://[a-z0-9][a-z0-9.-]*(?::(?!80/|443/)[1-9][0-9]*)?)(/(?:{_PLAIN}*/)*){_PLAIN}*(?:\?[^#]*)?(?:#.*)?$"
+_PATH_RX = rf"^/?{_PLAIN}+(?:/{_PLAIN}+)*/?(?:\?(?:{_PLAIN}|/|:)+)?$"
+_DOTS_RX = r"(?:^|/)\.{1,2}(?:/|\?|$)"
+
+
+def resolve_plain(raw: Column, base: Column) -> Column:
+    """normalize_url() in plain expressions for the common case: a path with or without a leading slash, without dot segments
+    and characters that would be changed, against a clean http(s) base. Null for all else."""
+    clean = raw.rlike(_PATH_RX) & ~raw.rlike(_DOTS_RX) & base.rlike(_BASE_RX) & ~path_of(base).rlike(_DOTS_RX)
+    folder = F.when(raw.startswith("/"), F.lit("")).otherwise(F.regexp_extract(base, _BASE_RX, 2))
+    return F.when(clean, F.concat(F.regexp_extract(base, _BASE_RX, 1), folder, raw))
+
+
+def resolve(raw: Column, base: Column, keep_fragment: bool = False) -> Column:
+    """normalize_url(), with the helper only for what resolve_plain() doesn't cover."""
+    plain = resolve_plain(raw, base)
+    rest = plain.isNull() & raw.isNotNull()
+    return F.coalesce(plain, normalize_url(F.when(rest, raw), F.when(rest, base), keep_fragment))
+
+
 def parse_srcset(c: Column) -> Column:
     """Array of (raw, width, height, density) from the items "URL [n(w|h|x)]" between commas; others are left out.
 

@@ -28,8 +28,9 @@ _SCHEMA = "page_id bigint, url string, el_no int, tag string, parent string, par
 
 
 class _Elements(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, most_script: int | None) -> None:
         super().__init__(convert_charrefs=True)
+        self.most_script = most_script
         self.rows: list[list] = []
         self.open: list[tuple[str, int]] = []
         self.n = 0
@@ -56,13 +57,14 @@ class _Elements(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:
-            self.script[5] = (self.script[5] or "") + data[:MAX_SCRIPT]
+            self.script[5] = (self.script[5] or "") + data[: self.most_script]
 
 
-def html_elements(pages: DataFrame) -> DataFrame:
+def html_elements(pages: DataFrame, most: int | None = None, most_script: int | None = None) -> DataFrame:
     """page_id, url, el_no, tag, parent, parent_no, attrs, text (of scripts) from pages (page_id, url, html).
 
-    The first of an attribute given twice counts; bodies are read up to 8 MB; null html has no elements.
+    The first of an attribute given twice counts; null html has no elements. most, most_script: characters of a body and of each
+    piece of a script that are read (MAX_BODY, MAX_SCRIPT for the usual caps; None: all).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +74,8 @@ def html_elements(pages: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 rows = []
                 for page, url, html in zip(*(batch.column(i).slice(at, 64).to_pylist() for i in range(3))):
-                    parser = _Elements()
-                    parser.feed((html or "")[:MAX_BODY])
+                    parser = _Elements(most_script)
+                    parser.feed((html or "")[:most])
                     rows += [[page, url, *r] for r in parser.rows]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -85,10 +87,32 @@ def _attr(name: str) -> Column:
     return F.col("attrs")[name]
 
 
-def _raw_hits(df: DataFrame, detector: int, source: str, raw: Column) -> DataFrame:
-    """One row per item of raw (array of raw, width, height, density), with its place."""
-    items = df.select("page_id", "url", "el_no", _attr("alt").alias("alt"), _attr("title").alias("title"), F.posexplode(raw).alias("item_no", "x"))
-    return items.select("page_id", "url", F.lit(detector).alias("detector_no"), "el_no", "item_no", F.lit(source).alias("source_type"), F.col("x.raw").alias("raw"), F.col("x.width").alias("width"), F.col("x.height").alias("height"), "alt", "title")
+_ITEM = "struct<detector_no:int,el_no:int,item_no:int,source_type:string,raw:string,width:int,height:int>"
+
+
+def _hits(when: Column, detector: int, source: str, raw: Column, item_from: int = 0, el_from: int = 0) -> Column:
+    """Of one element: an array of what a detector takes from it (raw: array of raw, width, height), with its place."""
+
+    def one(x: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(detector).alias("detector_no"), (F.col("el_no") + el_from).alias("el_no"), (i + item_from).alias("item_no"), F.lit(source).alias("source_type"), x["raw"].alias("raw"), x["width"].alias("width"), x["height"].alias("height")
+        )
+
+    return F.when(when, F.transform(raw, one)).otherwise(F.array().cast(f"array<{_ITEM}>"))
+
+
+def _exploded(elements: DataFrame, *hits: Column) -> DataFrame:
+    """The hits of all elements in one pass over them."""
+    flat = elements.select("page_id", "url", _attr("alt").alias("alt"), _attr("title").alias("title"), F.explode(F.concat(*hits)).alias("x"))
+    return flat.select("page_id", "url", "x.*", "alt", "title")
+
+
+def _attr(name: str) -> Column:
+    return F.col("attrs")[name]
+
+
+def _tag(name: str) -> Column:
+    return F.col("tag") == name
 
 
 def _single(c: Column) -> Column:
@@ -96,60 +120,87 @@ def _single(c: Column) -> Column:
     return F.array(F.struct(c.alias("raw"), null.alias("width"), null.alias("height"), F.lit(None).cast("double").alias("density")))
 
 
-def _lazy(elements: DataFrame) -> DataFrame:
+def _given(c: Column) -> Column:
+    return F.coalesce(c != "", F.lit(False))
+
+
+def _img() -> list[Column]:
+    srcset = F.coalesce(F.nullif(_attr("srcset"), F.lit("")), _attr("data-srcset"))
+    return [_hits(_tag("img"), 1, "srcset", urls.parse_srcset(srcset)), _hits(_tag("img") & _given(_attr("src")), 1, "img", _single(_attr("src")), 10_000)]
+
+
+def _lazy() -> list[Column]:
     own = [F.when(F.trim(F.coalesce(_attr(a), F.lit(""))) != "", F.trim(_attr(a))) for a in LAZY]
     values = F.array_compact(F.array(*own))
     many = lambda v: F.when(v.rlike(r"\s") & ~v.startswith("data:"), urls.parse_srcset(v)).otherwise(_single(v))
-    return _raw_hits(elements.where("tag = 'img'"), 1, "lazy", F.flatten(F.transform(values, many)))
+    return [_hits(_tag("img"), 1, "lazy", F.flatten(F.transform(values, many)), 20_000)]
+
+
+def _picture() -> list[Column]:
+    some = _tag("source") & _attr("srcset").isNotNull()
+    return [_hits(some & (F.col("parent") == "picture"), 2, "picture", urls.parse_srcset(_attr("srcset"))), _hits(some, 3, "picture", urls.parse_srcset(_attr("srcset")))]
+
+
+def _meta() -> list[Column]:
+    content = _tag("meta") & _given(_attr("content"))
+    return [_hits(content & F.coalesce(_attr(k) == v, F.lit(False)), 4, "meta", _single(_attr("content")), el_from=i * 10_000_000) for i, (k, v) in enumerate(META)]
+
+
+def _link_rel() -> list[Column]:
+    rel = F.array_contains(F.split(F.coalesce(_attr("rel"), F.lit("")), r"\s+"), "image_src")
+    return [_hits(_tag("link") & rel & _given(_attr("href")), 5, "link", _single(_attr("href")))]
+
+
+def _anchor() -> list[Column]:
+    return [_hits(_tag("a") & _given(_attr("href")), 6, "link", _single(_attr("href")))]
+
+
+def _input() -> list[Column]:
+    return [_hits(_tag("input") & F.coalesce(F.lower(_attr("type")) == "image", F.lit(False)) & _given(_attr("src")), 7, "other", _single(_attr("src")))]
+
+
+def _background_urls() -> Column:
+    found = F.regexp_extract_all(_attr("style"), F.lit(r"url\(\s*(?:'([^']*)'|\"([^\"]*)\"|([^'\")]*?))\s*\)"), F.lit(0))
+    bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"^url\(\s*['\"]?", ""), r"['\"]?\s*\)$", ""))
+    return F.filter(bare, lambda x: (x != "") & ~x.startswith("data:") & ~F.contains(x, F.lit("var(")))
+
+
+def _background() -> list[Column]:
+    null = F.lit(None).cast("int")
+    items = F.transform(_background_urls(), lambda x: F.struct(x.alias("raw"), null.alias("width"), null.alias("height"), F.lit(None).cast("double").alias("density")))
+    return [_hits(F.contains(F.coalesce(_attr("style"), F.lit("")), F.lit("background")), 8, "background", items)]
 
 
 def detect_img(elements: DataFrame) -> DataFrame:
-    img = elements.where("tag = 'img'")
-    srcset = F.coalesce(F.nullif(_attr("srcset"), F.lit("")), _attr("data-srcset"))
-    first = _raw_hits(img, 1, "srcset", urls.parse_srcset(srcset))
-    second = _raw_hits(img.where(_attr("src") != ""), 1, "img", _single(_attr("src"))).withColumn("item_no", F.col("item_no") + 10_000)
-    return first.unionByName(second)
+    return _exploded(elements, *_img())
 
 
 def detect_lazy(elements: DataFrame) -> DataFrame:
-    return _lazy(elements).withColumn("item_no", F.col("item_no") + 20_000)
+    return _exploded(elements, *_lazy())
 
 
 def detect_picture(elements: DataFrame) -> DataFrame:
-    some = elements.where("tag = 'source'").where(_attr("srcset").isNotNull())
-    inside = _raw_hits(some.where("parent = 'picture'"), 2, "picture", urls.parse_srcset(_attr("srcset")))
-    return inside.unionByName(_raw_hits(some, 3, "picture", urls.parse_srcset(_attr("srcset"))))
+    return _exploded(elements, *_picture())
 
 
 def detect_meta(elements: DataFrame) -> DataFrame:
-    meta = elements.where("tag = 'meta'").where(_attr("content") != "")
-    parts = [_raw_hits(meta.where(_attr(k) == v), 4, "meta", _single(_attr("content"))).withColumn("el_no", F.col("el_no") + i * 10_000_000) for i, (k, v) in enumerate(META)]
-    return reduce(DataFrame.unionByName, parts)
+    return _exploded(elements, *_meta())
 
 
 def detect_link_rel(elements: DataFrame) -> DataFrame:
-    rel = F.array_contains(F.split(F.coalesce(_attr("rel"), F.lit("")), r"\s+"), "image_src")
-    return _raw_hits(elements.where("tag = 'link'").where(rel & (_attr("href") != "")), 5, "link", _single(_attr("href")))
+    return _exploded(elements, *_link_rel())
 
 
 def detect_anchor_images(elements: DataFrame) -> DataFrame:
-    return _raw_hits(elements.where("tag = 'a'").where(_attr("href") != ""), 6, "link", _single(_attr("href")))
+    return _exploded(elements, *_anchor())
 
 
 def detect_input_images(elements: DataFrame) -> DataFrame:
-    return _raw_hits(elements.where("tag = 'input'").where((F.lower(_attr("type")) == "image") & (_attr("src") != "")), 7, "other", _single(_attr("src")))
-
-
-def _background_urls() -> Column:
-    found = F.regexp_extract_all(_attr("style"), F.lit(r"url\(\s*(?:'([^']*)'|\"([^\"]*)\"|([^'\")]*?))\s*\)"), F.lit(0))
-    bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"^url\(\s*['\"]?", ""), r"['\"]?\s*\)$", ""))
-    return F.filter(bare, lambda x: (x != "") & ~x.startswith("data:") & ~F.contains(x, F.lit("var(")))
+    return _exploded(elements, *_input())
 
 
 def detect_background(elements: DataFrame) -> DataFrame:
-    null = F.lit(None).cast("int")
-    items = F.transform(_background_urls(), lambda x: F.struct(x.alias("raw"), null.alias("width"), null.alias("height"), F.lit(None).cast("double").alias("density")))
-    return _raw_hits(elements.where(F.contains(F.coalesce(_attr("style"), F.lit("")), F.lit("background"))), 8, "background", items)
+    return _exploded(elements, *_background())
 
 
 def detect_media_paths(pages: DataFrame) -> DataFrame:
@@ -164,12 +215,12 @@ def detect_images(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
     """Variants of all detectors with page_id, hit_no-making places, img_url, width, height, source_type, alt, title.
 
     A thumbnail is preceded by its full picture. Only http(s) URLs stay; for anchors only those with an image extension.
+    Every page is parsed once: all detectors look at an element in one pass. URLs are resolved in place.
     """
     e = elements if elements is not None else html_elements(pages)
-    parts = [f(e) for f in (detect_img, detect_lazy, detect_picture, detect_meta, detect_link_rel, detect_anchor_images, detect_input_images, detect_background)]
-    raw = reduce(DataFrame.unionByName, [*parts, detect_media_paths(pages)])
-    pairs = raw.select("url", "raw").distinct().withColumn("abs", urls.normalize_url(F.col("raw"), F.col("url")))
-    hits = raw.join(pairs, ["url", "raw"]).where(urls.is_http_url(F.col("abs")))
+    own = _exploded(e, *_img(), *_lazy(), *_picture(), *_meta(), *_link_rel(), *_anchor(), *_input(), *_background())
+    raw = own.unionByName(detect_media_paths(pages))
+    hits = raw.withColumn("abs", urls.resolve(F.col("raw"), F.col("url"))).where(urls.is_http_url(F.col("abs")))
     hits = hits.where((F.col("detector_no") != 6) | urls.extension_from_url(F.col("abs")).isin(urls.IMAGE_EXTENSIONS))
     both = F.array_compact(F.array(urls.expand_thumb_url(F.col("abs")), F.col("abs")))
     return hits.select("page_id", "url", "detector_no", "el_no", "item_no", "source_type", "width", "height", "alt", "title", F.posexplode(both).alias("thumb_no", "img_url"))
@@ -198,14 +249,13 @@ def merge_page_hits(variants: DataFrame) -> DataFrame:
     place = F.struct("detector_no", "el_no", "part")
     one = F.struct(place.alias("p"), "vs", F.nullif("alt", F.lit("")).alias("alt"), F.nullif("title", F.lit("")).alias("title"))
     grouped = per.groupBy("page_id", "first_key").agg(F.array_sort(F.collect_list(one)).alias("els"))
-    start = F.transform(F.col("els")[0]["vs"], lambda x: F.struct(x["v"].alias("v"), x["vkey"].alias("vkey")))
-
-    def add(acc: Column, x: Column) -> Column:
-        have = F.exists(acc, lambda y: y["vkey"] == x["vkey"])
-        return F.when(have, acc).otherwise(F.concat(acc, F.array(F.struct(x["v"].alias("v"), x["vkey"].alias("vkey")))))
-
+    # All of the first element stay; of later ones the first of each new key: one sort by key, one back by place.
+    numbered = lambda vs, later: F.transform(vs, lambda x, i: F.struct(x["vkey"].alias("vkey"), F.lit(later).alias("later"), i.alias("i"), x["v"].alias("v")))
     later = F.flatten(F.transform(F.slice("els", 2, F.size("els")), lambda e: e["vs"]))
-    merged = F.transform(F.aggregate(later, start, add), lambda x: x["v"])
+    both = F.array_sort(F.concat(numbered(F.col("els")[0]["vs"], 0), numbered(later, 1)))
+    kept = F.transform(F.filter(F.transform(both, lambda x, i: F.struct(x.alias("x"), (i > 0).alias("inner"), i.alias("i"))), lambda y: (y["x"]["later"] == 0) | ~y["inner"] | (F.get("keyed", y["i"] - 1)["vkey"] != y["x"]["vkey"])), lambda y: y["x"])
+    merged = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["later"].alias("later"), x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
+    grouped = grouped.withColumn("keyed", both)
     out = grouped.withColumn("variants", merged).withColumn("primary", pick_primary(F.col("variants")))
     text = lambda f: F.get(F.filter(F.transform("els", lambda e: e[f]), lambda x: x.isNotNull()), F.lit(0))
     return out.select(
@@ -280,10 +330,11 @@ MEDIA_PATTERNS = [
 ]
 
 
-def scan_media_urls(responses: DataFrame, patterns: list[str] | None = None) -> DataFrame:
-    """url, media_url: distinct media URLs in body (text up to 4 MB), with escaped slashes undone and no fragment."""
+def scan_media_urls(responses: DataFrame, patterns: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """url, media_url: distinct media URLs in body, with escaped slashes undone and no fragment. Bodies of more than `most`
+    characters are left out (MAX_SCRIPT for the usual cap; None: none)."""
     text = F.replace("body", F.lit("\\/"), F.lit("/"))
-    small = responses.where(F.length("body") <= MAX_SCRIPT).select("url", text.alias("t"))
+    small = (responses if most is None else responses.where(F.length("body") <= most)).select("url", text.alias("t"))
     found = F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in patterns or MEDIA_PATTERNS]))
     return small.select("url", F.explode(F.array_distinct(F.transform(found, urls.without_fragment))).alias("media_url"))
 
@@ -301,23 +352,24 @@ def classify_sniffed(df: DataFrame, url: str = "media_url") -> DataFrame:
     return kept.select("job_id", u.alias("video_url"), container.alias("container"), (hls | dash).alias("is_manifest")).distinct()
 
 
-#: Site rules: host expression, source type, expression with one group, container ("" by extension).
+#: Site rules: host expression, source type, expression with one group, container ("" by extension). The key names are fixed
+#: values; the hosts are tied to a label's beginning.
 SITE_RULES = [
-    (r"rutube\.ru$", "rutube", r'"(?:video_url|hls_url)"\s*:\s*"([^"]+)"', ""),
-    (r"(?:vk\.com|vkvideo\.ru)$", "vk", r'"(?:hls|hls_ondemand|hls_live|hls_live_playback|hls_live_ondemand)"\s*:\s*"([^"]+)"', "hls"),
-    (r"(?:vk\.com|vkvideo\.ru)$", "vk", r'"(?:dash_sep|dash_webm|dash_ondemand|dash_live|dash_uni)"\s*:\s*"([^"]+)"', "dash"),
-    (r"(?:vk\.com|vkvideo\.ru)$", "vk", r'"url(?:240|360|480|720|1080|1440|2160)"\s*:\s*"([^"]+)"', "mp4"),
-    (r"ok\.ru$", "ok", r'"(?:hlsManifestUrl|hlsMasterPlaylistUrl)"\s*:\s*"([^"]+)"', "hls"),
-    (r"coub\.com$", "coub", r'"(?:hd|med|high|low)_url"\s*:\s*"([^"]+)"', "mp4"),
-    (r"dailymotion\.com$", "dailymotion", r'"stream_url"\s*:\s*"([^"]+)"', ""),
-    (r"twitch\.tv$", "twitch", r'(https://usher\.ttvnw\.net/[^"\'\s]+\.m3u8[^"\'\s]*)', "hls"),
-    (r"reddit\.com$", "reddit", r'"contentUrl"\s*:\s*"([^"]+)"', ""),
-    (r"instagram\.com$", "instagram", r'"(?:video_url|playable_url(?:_quality_hd)?)"\s*:\s*"([^"]+)"', "mp4"),
-    (r"(?:twitter|x)\.com$", "twitter", r'"url"\s*:\s*"(https:[^"]+video\.twimg\.com[^"]+)"', ""),
-    (r"facebook\.com$", "facebook", r'"?(?:sd|hd)_src"?\s*:\s*"([^"]+)"', "mp4"),
-    (r"pinterest\.[a-z.]+$", "pinterest", r'(https://v[0-9]*\.pinimg\.com/[^"\'\s]+)', ""),
-    (r"bilibili\.com$", "bilibili", r'"baseUrl"\s*:\s*"([^"]+)"', "mp4"),
-    (r"rumble\.com$", "rumble", r'"url"\s*:\s*"(https:[^"]+(?:rumble|rmbl)[^"]+\.mp4[^"]*)"', "mp4"),
+    (r"(?:^|\.)rutube\.ru$", "rutube", r'"(?:video_url|hls_url)"\s*:\s*"([^"]+)"', ""),
+    (r"(?:^|\.)(?:vk\.com|vk\.ru|vkvideo\.ru)$", "vk", r'"(?:hls|hls_ondemand|hls_live|hls_live_playback|hls_live_ondemand)"\s*:\s*"([^"]+)"', "hls"),
+    (r"(?:^|\.)(?:vk\.com|vk\.ru|vkvideo\.ru)$", "vk", r'"(?:dash_sep|dash_webm|dash_ondemand|dash_live|dash_uni)"\s*:\s*"([^"]+)"', "dash"),
+    (r"(?:^|\.)(?:vk\.com|vk\.ru|vkvideo\.ru)$", "vk", r'"url(?:240|360|480|720|1080|1440|2160)"\s*:\s*"([^"]+)"', "mp4"),
+    (r"(?:^|\.)ok\.ru$", "ok", r'"(?:hlsManifestUrl|hlsMasterPlaylistUrl)"\s*:\s*"([^"]+)"', "hls"),
+    (r"(?:^|\.)coub\.com$", "coub", r'"(?:hd|med|high|low)_url"\s*:\s*"([^"]+)"', "mp4"),
+    (r"(?:^|\.)(?:dailymotion\.com|dai\.ly)$", "dailymotion", r'"stream_url"\s*:\s*"([^"]+)"', ""),
+    (r"(?:^|\.)twitch\.tv$", "twitch", r'(https://usher\.ttvnw\.net/[^"\'\s]+\.m3u8[^"\'\s]*)', "hls"),
+    (r"(?:^|\.)(?:reddit\.com|redd\.it)$", "reddit", r'"contentUrl"\s*:\s*"([^"]+)"', ""),
+    (r"(?:^|\.)instagram\.com$", "instagram", r'"(?:video_url|playable_url(?:_quality_hd)?)"\s*:\s*"([^"]+)"', "mp4"),
+    (r"(?:^|\.)(?:twitter|x)\.com$", "twitter", r'"url"\s*:\s*"(https:[^"]+video\.twimg\.com[^"]+)"', ""),
+    (r"(?:^|\.)facebook\.com$", "facebook", r'"?(?:sd|hd)_src"?\s*:\s*"([^"]+)"', "mp4"),
+    (r"(?:^|\.)pinterest\.[a-z.]+$", "pinterest", r'(https://v[0-9]*\.pinimg\.com/[^"\'\s]+)', ""),
+    (r"(?:^|\.)bilibili\.com$", "bilibili", r'"baseUrl"\s*:\s*"([^"]+)"', "mp4"),
+    (r"(?:^|\.)rumble\.com$", "rumble", r'"url"\s*:\s*"(https:[^"]+(?:rumble|rmbl)[^"]+\.mp4[^"]*)"', "mp4"),
 ]
 
 

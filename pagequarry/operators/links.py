@@ -33,10 +33,10 @@ def raw_links(pages: DataFrame) -> DataFrame:
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
-    """Adds abs_url to (url, href): each pair is resolved once; links that stand absolute already skip the helper."""
-    pairs = links.where(is_followable(F.col("href"))).select("url", "href").distinct()
-    known = pairs.withColumn("abs_url", urls.normalize_url(F.trim("href"), F.col("url")))
-    return links.join(known, ["url", "href"])
+    """Adds abs_url to (url, href), resolved in place; what isn't worth following goes."""
+    href = F.trim("href")
+    absolute = urls.resolve(href, F.col("url"))
+    return links.where(is_followable(F.col("href"))).withColumn("abs_url", absolute)
 
 
 def extract_links(elements: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import urls
 from pagequarry.functions.text import iso_duration_seconds
 
+#: Segments of a playlist and of a representation that are read; each operator takes another number, or None for all.
 MAX_HLS, MAX_DASH = 120_000, 20_000
 
 
@@ -30,65 +31,86 @@ def attribute(line: Column, name: str) -> Column:
 
 
 def _absolute(df: DataFrame, raw: str, out: str) -> DataFrame:
-    """Resolves raw against url; texts that stand absolute already skip the helper."""
-    known = df.where(~F.coalesce(urls.is_http_url(F.col(raw)), F.lit(False))).where(F.col(raw).isNotNull()).select("url", raw).distinct().withColumn(out, urls.normalize_url(F.col(raw), F.col("url"), keep_fragment=True))
-    joined = df.join(known, ["url", raw], "left")
-    return joined.withColumn(out, F.when(urls.is_http_url(F.col(raw)), F.col(raw)).otherwise(F.col(out)))
+    """Resolves raw against url in place, without a shuffle; texts that stand absolute already stay as they are."""
+    r = F.col(raw)
+    http = urls.is_http_url(r)
+    return df.withColumn(out, F.when(http, r).otherwise(urls.resolve(F.when(~http, r), F.col("url"), keep_fragment=True)))
+
+
+_STREAM = r"(?m)^(#EXT-X-STREAM-INF[^\n]*)(?=(?:\n(?:#[^\n]*)?)*\n([^#\n][^\n]*))"
+_AUDIO = r"(?im)^(#EXT-X-MEDIA:[^\n]*TYPE=AUDIO[^\n]*)$"
+
+
+def _hls_entries(manifests: DataFrame) -> DataFrame:
+    """url, kind (0 variant, 1 sound), no, line, abs: the entries of master playlists in one pass over their text, with their
+    URLs resolved. A variant's URL is the next line that is no tag."""
+    ok = manifests.where(F.col("body").rlike("(?i)^#EXTM3U"))
+    b = F.col("lines")
+    ok = ok.select("url", F.regexp_replace("body", r"[ \t]*\r?\n[ \t]*", "\n").alias("lines"))
+    stream = F.arrays_zip(F.regexp_extract_all(b, F.lit(_STREAM), F.lit(1)).alias("line"), F.regexp_extract_all(b, F.lit(_STREAM), F.lit(2)).alias("raw"))
+    sound = F.regexp_extract_all(b, F.lit(_AUDIO), F.lit(1))
+    entry = lambda kind, i, line, raw: F.struct(F.lit(kind).alias("kind"), i.alias("no"), line.alias("line"), raw.alias("raw"))
+    both = F.concat(F.transform(stream, lambda x, i: entry(0, i, x["line"], x["raw"])), F.transform(sound, lambda x, i: entry(1, i, x, attribute(x, "URI"))))
+    entries = ok.select("url", F.explode(both).alias("x")).select("url", "x.*").where("raw is not null")
+    return _absolute(entries, "raw", "abs").where("abs is not null").drop("raw")
+
+
+_VARIANT = ["variant_url", "bandwidth", "width", "height", "codecs", "frame_rate", "audio_group", "label"]
+
+
+def _told(entries: DataFrame) -> DataFrame:
+    """url, kind, no with what a variant's or a track's tag says; every attribute is looked for once."""
+    line = F.col("line")
+    names = {"size": "RESOLUTION", "band": "BANDWIDTH", "codecs": "CODECS", "rate": "FRAME-RATE", "audio": "AUDIO", "group": "GROUP-ID", "default": "DEFAULT"}
+    e = entries.select("url", "kind", "no", F.col("abs").alias("variant_url"), *[attribute(line, tag).alias(n) for n, tag in names.items()])
+    w, h = (F.nullif(F.regexp_extract("size", rx, 1).try_cast("int"), F.lit(0)) for rx in ("^([0-9]+)", "x([0-9]+)"))
+    e = e.withColumns({"width": w, "height": h, "bandwidth": F.coalesce(F.col("band").try_cast("long"), F.lit(0).cast("long"))})
+    size = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
+    label = F.coalesce(size, F.when(F.col("bandwidth") > 0, F.concat(F.floor(F.col("bandwidth") / 1000 + 0.5).cast("string"), F.lit("kbps"))), F.lit("audio"))
+    said = F.coalesce(F.upper("default") == "YES", F.lit(False))
+    group = F.when(F.col("kind") == 0, F.col("audio")).otherwise(F.col("group"))
+    return e.select("url", "kind", "no", "variant_url", "bandwidth", "width", "height", "codecs", F.col("rate").try_cast("double").alias("frame_rate"), group.alias("audio_group"), label.alias("label"), said.alias("said"))
 
 
 def parse_hls_master(manifests: DataFrame) -> DataFrame:
     """url, variant_no, variant_url, bandwidth, width, height, codecs, frame_rate, audio_group, label of master playlists."""
-    lines = hls_lines(manifests)
-    ahead = W.partitionBy("url").orderBy("line_no").rowsBetween(1, W.unboundedFollowing)
-    target = F.first(F.when(~F.col("line").startswith("#"), F.col("line")), ignorenulls=True).over(ahead)
-    inf = lines.withColumn("raw", target).where(F.col("line").startswith("#EXT-X-STREAM-INF") & F.col("raw").isNotNull())
-    size = attribute(F.col("line"), "RESOLUTION")
-    w, h = (F.nullif(F.regexp_extract(size, rx, 1).try_cast("int"), F.lit(0)) for rx in ("^([0-9]+)", "x([0-9]+)"))
-    inf = _absolute(inf, "raw", "variant_url").where("variant_url is not null")
-    bandwidth = F.coalesce(attribute(F.col("line"), "BANDWIDTH").try_cast("long"), F.lit(0).cast("long"))
-    label = F.when(w.isNotNull() & h.isNotNull(), F.concat(w.cast("string"), F.lit("x"), h.cast("string"))).when(bandwidth > 0, F.concat(F.floor(bandwidth / 1000 + 0.5).cast("string"), F.lit("kbps"))).otherwise("audio")
-    order = W.partitionBy("url").orderBy("line_no")
-    return inf.select("url", (F.row_number().over(order) - 1).alias("variant_no"), "variant_url", bandwidth.alias("bandwidth"), w.alias("width"), h.alias("height"), attribute(F.col("line"), "CODECS").alias("codecs"), attribute(F.col("line"), "FRAME-RATE").try_cast("double").alias("frame_rate"), attribute(F.col("line"), "AUDIO").alias("audio_group"), label.alias("label"))
-
-
-def hls_audio_tracks(manifests: DataFrame) -> DataFrame:
-    line = F.col("line")
-    media = hls_lines(manifests).where(line.startswith("#EXT-X-MEDIA:") & line.rlike("(?i)TYPE=AUDIO")).select("url", "line_no", attribute(line, "URI").alias("raw"), attribute(line, "GROUP-ID").alias("audio_group"), (F.upper(attribute(line, "DEFAULT")) == "YES").alias("is_default")).where("raw is not null")
-    return _absolute(media, "raw", "audio_url").where("audio_url is not null")
+    number = (F.row_number().over(W.partitionBy("url").orderBy("no")) - 1).alias("variant_no")
+    return _told(_hls_entries(manifests).where("kind = 0")).select("url", number, *_VARIANT)
 
 
 def hls_audio_groups(manifests: DataFrame) -> DataFrame:
     """url, audio_group, audio_url: the first track of each group, and with a null group the default: the last that says so,
     else the first."""
-    tracks = hls_audio_tracks(manifests)
-    groups = tracks.where("audio_group is not null").groupBy("url", "audio_group").agg(F.min_by("audio_url", "line_no").alias("audio_url"))
-    said = F.when(F.coalesce("is_default", F.lit(False)), F.col("line_no"))
-    fallback = tracks.groupBy("url").agg(F.coalesce(F.max_by(F.when(said.isNotNull(), F.col("audio_url")), said), F.min_by("audio_url", "line_no")).alias("audio_url"))
+    tracks = _told(_hls_entries(manifests).where("kind = 1")).withColumn("last", F.when(F.col("said"), F.col("no")))
+    groups = tracks.where("audio_group is not null").groupBy("url", "audio_group").agg(F.min_by("variant_url", "no").alias("audio_url"))
+    fallback = tracks.groupBy("url").agg(F.coalesce(F.max_by(F.when(F.col("said"), F.col("variant_url")), "last"), F.min_by("variant_url", "no")).alias("audio_url"))
     return groups.unionByName(fallback.select("url", F.lit(None).cast("string").alias("audio_group"), "audio_url"))
 
 
 def hls_variants(manifests: DataFrame) -> DataFrame:
-    """parse_hls_master() with audio_url and is_audio_only; masters without video get their audio tracks as variants."""
-    video, groups = parse_hls_master(manifests), hls_audio_groups(manifests)
-    own = groups.where("audio_group is not null").select("url", "audio_group", F.col("audio_url").alias("_own"))
-    default = groups.where("audio_group is null").select("url", F.col("audio_url").alias("_default"))
-    out = video.join(own, ["url", "audio_group"], "left").join(default, "url", "left").withColumn("audio_url", F.coalesce("_own", "_default")).withColumn("is_audio_only", F.lit(False)).drop("_own", "_default")
-    lonely = hls_audio_tracks(manifests).join(video.select("url").distinct(), "url", "left_anti")
-    null = F.lit(None)
-    audio = lonely.select("url", (F.row_number().over(W.partitionBy("url").orderBy("line_no")) - 1).alias("variant_no"), F.col("audio_url").alias("variant_url"), F.lit(128_000).cast("long").alias("bandwidth"), null.cast("int").alias("width"), null.cast("int").alias("height"), null.cast("string").alias("codecs"), null.cast("double").alias("frame_rate"), "audio_group", F.lit("Audio only").alias("label"), null.cast("string").alias("audio_url"), F.lit(True).alias("is_audio_only"))
-    return out.unionByName(audio)
+    """parse_hls_master() with audio_url and is_audio_only; masters without video get their audio tracks as variants.
 
+    One shuffle: the entries of a playlist meet in one row, where variants look up their sound.
+    """
+    per = _told(_hls_entries(manifests)).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("kind", "no", *_VARIANT, "said"))).alias("entries"))
+    of = lambda kind: F.filter("entries", lambda x: x["kind"] == kind)
+    per = per.select("url", of(0).alias("video"), of(1).alias("sound"))
+    default = F.coalesce(F.get(F.reverse(F.filter("sound", lambda a: a["said"])), F.lit(0))["variant_url"], F.get("sound", F.lit(0))["variant_url"])
+    per = per.withColumn("default", F.when(F.size("sound") > 0, default))
+    rows = per.select("url", "sound", "default", (F.size("video") == 0).alias("is_audio_only"), F.posexplode(F.when(F.size("video") > 0, F.col("video")).otherwise(F.col("sound"))).alias("variant_no", "v"))
+    own = F.when((F.size("sound") > 0) & ~F.col("is_audio_only"), F.coalesce(F.get(F.filter("sound", lambda a: a["audio_group"] == F.col("v.audio_group")), F.lit(0))["variant_url"], F.col("default")))
+    told = {"bandwidth": F.when(F.col("is_audio_only"), F.lit(128_000)).otherwise(F.col("v.bandwidth")).cast("long"), "label": F.when(F.col("is_audio_only"), "Audio only").otherwise(F.col("v.label"))}
+    return rows.select("url", "variant_no", *[told.get(n, F.col(f"v.{n}")).alias(n) for n in _VARIANT], own.alias("audio_url"), "is_audio_only")
 
-def parse_hls_media(manifests: DataFrame) -> DataFrame:
-    """url, seg_no, seg_url, duration, seq, is_init, key_method, key_uri, key_iv, range_start, range_length of media playlists.
+
+def parse_hls_media(manifests: DataFrame, most: int | None = MAX_HLS) -> DataFrame:
+    """At most `most` rows of each (None: all): url, seg_no, seg_url, duration, seq, is_init, key_method, key_uri, key_iv, range_start, range_length of media playlists.
 
     The key in force is the last key tag's; METHOD=NONE ends it. A range without offset goes on where the one before ended;
     a segment without range starts over. A map tag gives a row (duration 0, seq -1) before the next segment.
     """
     line = F.col("line")
-    lines = hls_lines(manifests)
-    masters = lines.where(line.startswith("#EXT-X-STREAM-INF")).select("url").distinct()
-    lines = lines.join(masters, "url", "left_anti")
+    lines = hls_lines(manifests.where(~F.col("body").rlike(r"(?m)^\s*#EXT-X-STREAM-INF")))
     is_segment = ~line.startswith("#")
     down = W.partitionBy("url").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     lines = lines.withColumn("seg", F.coalesce(F.sum(is_segment.cast("int")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -125,7 +147,8 @@ def parse_hls_media(manifests: DataFrame) -> DataFrame:
     both = _absolute(init.unionByName(media), "raw", "seg_url").where("seg_url is not null")
     both = _absolute(both.withColumnRenamed("key_uri", "raw_key"), "raw_key", "key_uri")
     place = W.partitionBy("url").orderBy("seg", "part")
-    return both.withColumn("seg_no", F.row_number().over(place) - 1).where(F.col("seg_no") < MAX_HLS).select("url", "seg_no", "seg_url", "duration", "seq", "is_init", "key_method", "key_uri", "key_iv", "range_start", "range_length")
+    both = both.withColumn("seg_no", F.row_number().over(place) - 1)
+    return (both if most is None else both.where(F.col("seg_no") < most)).select("url", "seg_no", "seg_url", "duration", "seq", "is_init", "key_method", "key_uri", "key_iv", "range_start", "range_length")
 
 
 def hls_info(manifests: DataFrame) -> DataFrame:
@@ -208,12 +231,10 @@ def fill_template(template: Column, rep_id: Column, bandwidth: Column, number: C
 
 
 def _dash_url(df: DataFrame, raw: str, out: str) -> DataFrame:
-    """Resolves raw against the representation's and the document's base."""
+    """Resolves raw against the representation's and the document's base, in place."""
     base = F.coalesce(F.when(urls.is_http_url(F.col("mpd_base")), F.col("mpd_base")), F.col("url"))
     inner = F.when(urls.is_http_url(F.col("rep_base")), F.col("rep_base"))
-    keyed = df.withColumn("_base", F.coalesce(inner, base))
-    pairs = keyed.select("_base", raw).distinct().withColumn(out, urls.normalize_url(F.col(raw), F.col("_base"), keep_fragment=True))
-    return keyed.join(pairs, ["_base", raw]).drop("_base")
+    return df.withColumn(out, urls.resolve(F.col(raw), F.coalesce(inner, base), keep_fragment=True))
 
 
 def parse_dash(manifests: DataFrame) -> DataFrame:
@@ -231,28 +252,53 @@ def parse_dash(manifests: DataFrame) -> DataFrame:
 _KEYS = ["url", "period_no", "set_no", "rep_no"]
 
 
-def _with_init(reps: DataFrame, rows: DataFrame) -> DataFrame:
+def _templates(reps: DataFrame) -> DataFrame:
+    """reps with init_url and media_url: the templates, filled but for number and time and resolved once per representation.
+    What is filled in later is digits, which no resolution changes."""
     i, b = F.col("rep_id"), F.col("bandwidth")
-    init = reps.select(*_KEYS, "rep_id", "mpd_base", "rep_base", F.lit(0).alias("seg_no"), F.lit(True).alias("is_init"), fill_template(F.col("init"), i, b).alias("raw"))
-    return _dash_url(init.unionByName(rows), "raw", "seg_url").select("url", "rep_id", "seg_no", "is_init", "seg_url")
+    init = fill_template(F.col("init"), i, b)
+    media = F.replace(F.replace("media", F.lit("$RepresentationID$"), i), F.lit("$Bandwidth$"), b.cast("string"))
+    widths = {f"{name} width": F.coalesce(F.regexp_extract("media", rf"\${name}%0([0-9]+)d\$", 1), F.lit("")) for name in ("Number", "Time")}
+    return _dash_url(_dash_url(reps.withColumns({"raw init": init, "raw media": media, **widths}), "raw init", "init_url"), "raw media", "media_url")
+
+
+def _spread(reps: DataFrame) -> DataFrame:
+    """reps in as many partitions as a shuffle has: a row may become thousands of segments."""
+    return reps.repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_KEYS)
+
+
+def _segment_url(number: Column, time: Column) -> Column:
+    """media_url with number and time; the widths are read once per representation."""
+    out = F.col("media_url")
+    for name, value in (("Number", number), ("Time", time)):
+        text = value.cast("long").cast("string")
+        width = F.col(f"{name} width")
+        padded = F.lpad(text, F.greatest(F.length(text), F.coalesce(width.try_cast("int"), F.lit(0))), F.lit("0"))
+        out = F.when(width != "", F.replace(out, F.concat(F.lit(f"${name}%0"), width, F.lit("d$")), padded)).otherwise(out)
+        out = F.replace(out, F.lit(f"${name}$"), text)
+    return out
+
+
+def _with_init(reps: DataFrame, rows: DataFrame) -> DataFrame:
+    init = reps.select("url", "rep_id", F.lit(0).alias("seg_no"), F.lit(True).alias("is_init"), F.col("init_url").alias("seg_url"))
+    return init.unionByName(rows.where("media_url is not null").select("url", "rep_id", "seg_no", F.lit(False).alias("is_init"), "seg_url"))
 
 
-def dash_segments(reps: DataFrame) -> DataFrame:
+def dash_segments(reps: DataFrame, most: int | None = MAX_DASH) -> DataFrame:
     """url, rep_id, seg_no, is_init, seg_url by duration and start number: an init row, then one per started duration of the
-    period, 20,000 at most; one if the period's length is unknown."""
-    r = reps.where("init is not null and media is not null and timeline is null and seg_duration > 0")
+    period, `most` at most (None: all); one if the period's length is unknown."""
+    r = _templates(_spread(reps.where("init is not null and media is not null and timeline is null and seg_duration > 0")))
     step = F.col("seg_duration") / F.col("timescale")
     total = F.when(F.col("period_duration") > 0, F.ceil(F.col("period_duration") / step)).otherwise(1).cast("int")
-    k = F.explode(F.sequence(F.lit(1), F.least(total, F.lit(MAX_DASH)))).alias("seg_no")
-    rows = r.select("*", k)
+    rows = r.select("*", F.explode(F.sequence(F.lit(1), total if most is None else F.least(total, F.lit(most)))).alias("seg_no"))
     number = F.col("start_number") + F.col("seg_no") - 1
-    raw = fill_template(F.col("media"), F.col("rep_id"), F.col("bandwidth"), number, F.floor((number - 1) * step + 0.5))
-    return _with_init(r, rows.select(*_KEYS, "rep_id", "mpd_base", "rep_base", "seg_no", F.lit(False).alias("is_init"), raw.alias("raw")))
+    filled = _segment_url(number, F.floor((number - 1) * step + 0.5))
+    return _with_init(r, rows.withColumn("seg_url", filled))
 
 
-def dash_timeline_segments(reps: DataFrame) -> DataFrame:
+def dash_timeline_segments(reps: DataFrame, most: int | None = MAX_DASH) -> DataFrame:
     """The same from a timeline: entries S with t (start), d (duration), r (repeats; below 0 counts as 0)."""
-    r = reps.where("init is not null and media is not null and timeline is not null")
+    r = _templates(_spread(reps.where("init is not null and media is not null and timeline is not null")))
     s = r.select("*", F.posexplode(F.regexp_extract_all("timeline", F.lit(r"(?is)<S\b([^>]*?)/?>"), F.lit(1))).alias("s_no", "s"))
     num = lambda n: xml_attribute(F.col("s"), n).try_cast("long")
     s = s.withColumns({"t": num("t"), "d": F.coalesce(num("d"), F.lit(0)), "r": F.greatest(F.coalesce(num("r"), F.lit(0)), F.lit(0))})
@@ -264,10 +310,9 @@ def dash_timeline_segments(reps: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r") + 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumns({"start": start, "before": before}).where("d > 0")
     k = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r"))).alias("k"))
-    seg_no = (F.col("before") + F.col("k") + 1).cast("int")
-    raw = fill_template(F.col("media"), F.col("rep_id"), F.col("bandwidth"), seg_no, F.col("start") + F.col("k") * F.col("d"))
-    rows = k.where(seg_no <= MAX_DASH).select(*_KEYS, "rep_id", "mpd_base", "rep_base", seg_no.alias("seg_no"), F.lit(False).alias("is_init"), raw.alias("raw"))
-    return _with_init(r, rows)
+    k = k.withColumn("seg_no", (F.col("before") + F.col("k") + 1).cast("int"))
+    filled = _segment_url(F.col("seg_no"), F.col("start") + F.col("k") * F.col("d"))
+    return _with_init(r, (k if most is None else k.where(F.col("seg_no") <= most)).withColumn("seg_url", filled))
 
 
 def best_variant(variants: DataFrame, video_only: bool = False) -> DataFrame:

@@ -85,12 +85,15 @@ FROM {orders}""",
   || '<SegmentTemplate initialization="$RepresentationID$/init.mp4" media="$RepresentationID$/c_$Number%04d$.m4s" timescale="10" duration="300" startNumber="3"/><Representation id="v' || CAST(p_partkey % 3 AS STRING) || '" bandwidth="' || CAST(p_partkey * 10 AS STRING) || '" width="640" height="360"/></AdaptationSet></Period></MPD>' AS body
 FROM {part}""",
 }
+SPREAD = {"hls_master", "dash", "media_pages"}
 TABLES = ["orders", "events", "part", "lineitem", "pages", "customer"]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
+    if name in SPREAD:  # a small file, each row of which becomes a text: dealt out before it grows
+        used = {t: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) for t, df in used.items()}
     return spark.sql(text, **used)
 
 

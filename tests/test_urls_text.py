@@ -94,3 +94,15 @@ def test_names(one):
     assert [one(text.is_obscure_title(col(t))) for t in (None, "Video", "dash_1_2.mpd", "My film")] == [True, True, True, False]
     assert one(text.iso_duration_seconds(col("PT1H2M3.5S"))) == 3723.5
     assert one(text.iso_duration_seconds(col("P1D"))) == 0
+
+
+def test_plain_resolution_equals_the_helper(spark):
+    """Wherever resolve_plain() gives a URL, normalize_url() gives the same one."""
+    raws = ["/a", "b.html", "b/c/", "/a/b?x=1&y=/z:1", "?q", "", "#f", "/a#f", "../up", "./a", "a/../b", "/a/./b", "a/..", "//host/x", "https://o.com/c", "HTTP://O.com", "a:b", "a b", "é", "/%41", "/a//b", "/a\\b", "mailto:x", "a?b#c", "/..a/b", "x.y/..z", "/a?", "a/?b", " /a ", "/a{b}", "/a?b=%20", None, "~u/v-w_x", "/a;b,c!d$e'(f)*+=@"]
+    bases = ["https://x.com/p/q.html", "http://x.com", "https://X.com/a/", "https://x.com:443/a", "http://x.com:80/", "https://x.com:8080/a/b", "https://x.com/a/../b", "https://u:p@x.com/a", "https://x.com/a b/c", "https://x.com/d/e?f=/g/h#i/j", "ftp://x.com/a/", "https://x.com/a/b#c", "", None, "https://ü.com/a", "https://x.com/%41/b"]
+    df = spark.createDataFrame([(r, b) for r in raws for b in bases], "raw string, base string")
+    for keep in (False, True):
+        out = df.select("raw", "base", urls.resolve_plain(F.col("raw"), F.col("base")).alias("plain"), urls.resolve(F.col("raw"), F.col("base"), keep).alias("mixed"), urls.normalize_url(F.col("raw"), F.col("base"), keep).alias("helper")).collect()
+        for r in out:
+            assert r.mixed == r.helper and r.plain in (None, r.helper), r
+        assert sum(r.plain is not None for r in out) > 30
