@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
+from pagequarry.functions.arrays import fold_append
 from pagequarry.operators.dedup import top_by
 from pagequarry.operators.links import page_index
 
@@ -29,14 +30,14 @@ def plan_budget(df: DataFrame, max_bytes: int) -> DataFrame:
     known = df.join(total, "job_id")
     fits = known.where(F.col("_total") <= max_bytes).select(*df.columns, F.lit(True).alias("keep"))
     over = known.where(F.col("_total") > max_bytes)
-    item = F.struct("seq", size.alias("size"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("kept"))
+    item = F.struct(F.col("seq").cast("long").alias("seq"), size.alias("size"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits_in = acc["sum"] + x["size"] <= max_bytes
-        return F.when(fits_in, F.struct((acc["sum"] + x["size"]).alias("sum"), F.concat(acc["kept"], F.array(x["seq"])).alias("kept"))).otherwise(acc)
+    def step(total: Column, x: Column) -> tuple[Column, Column]:
+        fits_in = total + x["size"] <= max_bytes
+        return F.when(fits_in, total + x["size"]).otherwise(total), F.when(fits_in, F.array(x["seq"])).otherwise(F.array().cast("array<bigint>"))
 
-    folded = over.groupBy("job_id").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda a: a["kept"]).alias("kept"))
+    listed = over.groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    folded = listed.select("job_id", fold_append(F.col("items"), F.lit(0).cast("long"), step, "bigint").alias("kept"))
     kept = folded.select("job_id", F.explode("kept").alias("seq"), F.lit(True).alias("_k"))
     decided = over.select(*df.columns).join(kept, ["job_id", "seq"], "left").withColumn("keep", F.coalesce("_k", F.lit(False))).select(*df.columns, "keep")
     return fits.unionByName(decided)

@@ -31,11 +31,15 @@ def _register(name: str, sql: str | None = None, views: str = "") -> Callable[[Q
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from pagequarry.plans import media_queries
+
+    return dict(media_queries.registered()[0])
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from pagequarry.plans import media_queries
+
+    return dict(media_queries.registered()[1])
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +173,9 @@ _ROBOTS = "User-agent: *\nDisallow: /de\nAllow: /de/1\nDisallow: /fr/*5\nDisallo
 
 
 def _robots(spark, d):
-    return _pages(spark, d).select(urls.origin_of(F.col("url")).alias("origin")).distinct().withColumn("body", F.lit(_ROBOTS))
+    """A body per origin; the delay differs."""
+    delay = (F.length("origin") % 3 * 0.5 + 0.5).cast("string")
+    return _pages(spark, d).select(urls.origin_of(F.col("url")).alias("origin")).distinct().withColumn("body", F.replace(F.lit(_ROBOTS), F.lit("delay: 2"), F.concat(F.lit("delay: "), delay)))
 
 
 _PATHQ = f"({_path('url')} || regexp_extract(url, '(\\?[^#]*)', 1))"
@@ -185,7 +191,7 @@ def _(spark, d):
     return links.robots_allowed(_pages(spark, d), links.parse_robots(_robots(spark, d))).select("page_id", "allowed")
 
 
-@_register("crawl_delay_floor", "SELECT 1800.0 AS delay_ms")
+@_register("crawl_delay_floor", f"SELECT max(least(greatest((length({_origin('url')}) % 3 * 0.5 + 0.5) * 1000, 800), 1800)) AS delay_ms FROM pages")
 def _(spark, d):
     return links.crawl_delay_floor(links.parse_robots(_robots(spark, d)), 800, 1800)
 
@@ -382,12 +388,6 @@ def _(spark, d):
     return view(spark, d, "heads").select("id", f.alias("f")).select("id", "f.container", "f.mime", "f.confidence")
 
 
-@_register("image_metadata")
-def _(spark, d):
-    r = _responses(spark, d).withColumn("body", F.when(F.col("seq") % 2 == 1, F.unhex(F.lit("89504E470D0A1A0A0000000D494844520000000A0000000B0806000000"))))
-    return metadata.image_metadata(view(spark, d, "images"), r)
-
-
 @_register("video_figures", "SELECT seq, CASE WHEN duration_sec > 0 AND duration_sec <= 172800 THEN duration_sec END AS duration, CAST(floor(file_size * 8.0 / (CASE WHEN duration_sec > 0 THEN duration_sec END * 1000) + 0.5) AS BIGINT) AS kbps, CASE WHEN http_status IN (401, 403) THEN true ELSE false END AS hotlink, CASE WHEN container = 'unknown' AND coalesce(file_size, 0) = 0 AND NOT is_manifest AND NOT is_blob AND NOT is_live THEN 'failed' ELSE 'ready' END AS status, CAST(nullif(regexp_extract(video_url, 'clen=([0-9]+)', 1), '') AS BIGINT) AS clen FROM videos", "videos")
 def _(spark, d):
     v = metadata.video_status_after_meta(view(spark, d, "videos"))
@@ -452,12 +452,6 @@ def _(spark, d):
     return manifests.segment_plan(seg).groupBy("url").agg((F.max("fetch_no") + 1).cast("long").alias("n"), F.count("range_header").alias("ranged"))
 
 
-@_register("expand_manifests")
-def _(spark, d):
-    media = fixtures.hls_media(spark, d)
-    return manifests.expand_manifests(media.select(F.xxhash64("url").alias("id"), F.col("url").alias("video_url")), media)
-
-
 # --- request logs
 
 
@@ -516,11 +510,6 @@ def _(spark, d):
 # --- plans
 
 
-@_register("plan_budget")
-def _(spark, d):
-    return downloads.plan_budget(view(spark, d, "images").select("job_id", "seq", "file_size"), 20_000_000)
-
-
 @_register("plan_until_total", "SELECT job_id, seq, coalesce(sum(coalesce(file_size, 0)) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 20000000 AS keep FROM images", "images")
 def _(spark, d):
     return downloads.plan_until_total(view(spark, d, "images").select("job_id", "seq", "file_size"), 20_000_000).drop("file_size")
@@ -554,9 +543,9 @@ def _(spark, d):
     return downloads.next_tasks(view(spark, d, "tasks"), 2000, 8).select("job_id", "seq", "priority")
 
 
-@_register("waits", "SELECT job_id, coalesce(greatest(min(CASE WHEN status = 'pending' THEN coalesce(retry_at, 0) END) - 100, 0), 0) AS wait_ms FROM tasks WHERE retry_at IS NOT NULL GROUP BY 1", "tasks")
+@_register("waits", "SELECT job_id, coalesce(greatest(min(CASE WHEN status = 'pending' THEN coalesce(retry_at, 0) END) - 100, 0), 0) AS wait_ms FROM tasks GROUP BY 1", "tasks")
 def _(spark, d):
-    return downloads.ms_until_ready(view(spark, d, "tasks").where("retry_at is not null"), 100)
+    return downloads.ms_until_ready(view(spark, d, "tasks"), 100)
 
 
 @_register("file_names", "SELECT seq, CASE WHEN regexp_matches(n, '(?i)\\.[a-z0-9]{2,5}$') OR extension IS NULL THEN n ELSE n || '.' || extension END AS name FROM (SELECT seq, extension, regexp_extract(image_url, '([^/]+?)(\\?.*)?$', 1) AS n FROM images)", "images")
@@ -641,12 +630,6 @@ def _(spark, d):
     return jobs.apply_patches(view(spark, d, "patches"))
 
 
-@_register("backoff")
-def _(spark, d):
-    r = view(spark, d, "requests").select((F.col("tab_id") % 20).alias("job_id"), F.lit("page").alias("kind"), "seq", "status")
-    return jobs.backoff(r, 800, 60_000)
-
-
 @_register("observation_window", "SELECT tab_id AS page_id, url, min(ts) AS ts FROM (SELECT r.*, min(ts) OVER (PARTITION BY tab_id) AS s FROM requests r) WHERE ts <= s + INTERVAL 100000 SECOND GROUP BY 1, 2", "requests")
 def _(spark, d):
     r = view(spark, d, "requests").select(F.col("tab_id").alias("page_id"), "url", "ts")
@@ -656,14 +639,3 @@ def _(spark, d):
 @_register("readable_figures", "SELECT seq, CASE WHEN width IS NULL OR height IS NULL OR width = 0 OR height = 0 THEN '—' ELSE width || '×' || height END AS size, CASE WHEN file_size IS NULL THEN '—' WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN (CAST(floor(file_size / 1024.0 * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor(file_size / 1024.0 * 10 + 0.5) AS BIGINT) % 10) || ' KB' ELSE (CAST(floor(file_size / 1048576.0 * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor(file_size / 1048576.0 * 10 + 0.5) AS BIGINT) % 10) || ' MB' END AS bytes FROM images", "images")
 def _(spark, d):
     return view(spark, d, "images").select("seq", text.format_resolution(F.col("width"), F.col("height")).alias("size"), text.format_bytes(F.col("file_size")).alias("bytes"))
-
-
-@_register("page_images")
-def _(spark, d):
-    return html.merge_page_hits(html.detect_images(_pages(spark, d)))
-
-
-@_register("site_videos")
-def _(spark, d):
-    rules = [(r"example\.(com|net|org)$", "example", r'href="(/[a-z]+)"', "mp4")]
-    return html.detect_site_videos(_pages(spark, d), rules)

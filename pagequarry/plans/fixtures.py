@@ -78,6 +78,16 @@ FROM {part}""",
   || '#EXT-X-STREAM-INF:BANDWIDTH=' || CAST(CAST(floor(o_totalprice) AS BIGINT) + 1000 AS STRING) || ',RESOLUTION=640x360,CODECS="avc1,mp4a"' || CASE WHEN o_orderkey % 4 = 0 THEN ',AUDIO="a"' ELSE '' END || chr(10) || 'low.m3u8' || chr(10)
   || '#EXT-X-STREAM-INF:BANDWIDTH=' || CAST(CAST(floor(o_totalprice) AS BIGINT) * 2 + 1000 AS STRING) || ',RESOLUTION=1280x720' || chr(10) || 'https://x.example.com/' || CAST(o_orderkey AS STRING) || '/hi.m3u8' || chr(10)
   || '#EXT-X-STREAM-INF:BANDWIDTH=' || CAST(CAST(floor(o_totalprice) AS BIGINT) + 500 AS STRING) || chr(10) || '#EXT-X-OTHER' || chr(10) || '/abs.m3u8' || chr(10) AS body
+FROM {orders}""",
+    "media_pages": """SELECT o_orderkey AS page_id, 'https://site' || CAST(o_custkey % 13 AS STRING) || '.example.com/d/' || CAST(o_orderkey AS STRING) || '.html' AS url,
+  replace('<html><head><meta property="og:image" content="/og/KEY.jpg"><link rel="x image_src" href="/ls/KEY.png"></head><body><img src="/i/KEY.jpg" alt="Alt ' || CAST(o_orderkey % 40 AS STRING) || '"><img srcset="/s/KEY-1.jpg 400w, /s/KEY-2.jpg 800w" src="/s/KEY-0.jpg" title="T">'
+  || '<img data-src="/z/KEY.webp"><picture><source srcset="/p/KEY.avif"></picture><a href="/a/KEY.bmp">x</a><a href="/a/KEY.html">y</a><input type="IMAGE" src="/n/KEY.ico"><div style="background:url(/b/KEY.tiff)"></div><img src="/img/thumb_KEY.jpg"><p>/media/r/KEY.jpg</p>'
+  || '<video src="/v/KEY.mp4" poster="/o/KEY.jpg" title="V KEY"><source src="/v/KEY.m3u8" type="application/x-mpegurl"></video><div style="background-image:url(/w/KEY.webm)"></div><iframe src="/d/KEY.html"></iframe></body></html>', 'KEY', CAST(o_orderkey AS STRING)) AS html
+FROM {orders}""",
+    "site_pages": """SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 0 THEN 'https://m.vk.com/v' WHEN 1 THEN 'https://www.netflix.com/w' WHEN 2 THEN 'https://www.youtube.com/watch' WHEN 3 THEN 'https://x.com/s' ELSE 'https://book.ru/b' END AS url,
+  replace(CASE o_orderkey % 5 WHEN 0 THEN '<script>var p = {{"hls":"https:' || chr(92) || '/' || chr(92) || '/cdn.example.com' || chr(92) || '/KEY.m3u8","url720":"https://cdn.example.com/KEY.mp4?a=1' || chr(92) || 'u0026b=2"}}</script>'
+  WHEN 2 THEN '<script>var ytInitialPlayerResponse = {{"a":"}}","streamingData":{{"hlsManifestUrl":"https://y.example.com/KEY.m3u8","formats":[{{"url":"https://y.example.com/KEY?itag=18","mimeType":"video/mp4","height":360}}],"adaptiveFormats":[{{"mimeType":"video/webm","height":720,"signatureCipher":"s"}}]' || CASE WHEN o_orderkey % 3 = 0 THEN ',"licenseInfos":["w"]' ELSE '' END || '}}}};</script>'
+  ELSE '<script>x = {{"url": "https://video.twimg.com/KEY.mp4", "hlsManifestUrl": "https://cdn.example.com/no.m3u8"}}</script>' END, 'KEY', CAST(o_orderkey AS STRING)) AS html
 FROM {orders}""",
     "dash": """SELECT 'https://d.example.com/' || CAST(p_partkey AS STRING) || '/m.mpd' AS url, p_partkey AS k, p_size AS n,
   '<?xml version="1.0"?><MPD type="' || CASE WHEN p_partkey % 5 = 0 THEN 'dynamic' ELSE 'static' END || '" mediaPresentationDuration="PT' || CAST(p_size AS STRING) || 'M3S"><Period><AdaptationSet mimeType="video/mp4">'

@@ -10,9 +10,10 @@ from pagequarry.functions import urls
 MAX_PAGE, HEAD = 8 << 20, 65536
 
 
-def read_pages(spark: SparkSession, path: str, max_body: int = MAX_PAGE) -> DataFrame:
-    """Parquet of pages; html cut at max_body characters."""
-    return spark.read.parquet(path).withColumn("html", F.left("html", F.lit(max_body)))
+def read_pages(spark: SparkSession, path: str, max_body: int | None = None) -> DataFrame:
+    """Parquet of pages; with max_body (MAX_PAGE for the usual cap), html is cut there."""
+    pages = spark.read.parquet(path)
+    return pages if max_body is None else pages.withColumn("html", F.left("html", F.lit(max_body)))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
