@@ -336,7 +336,7 @@ def _block_keys(block: pa.Table, text: int) -> np.ndarray:
     keys, fresh = np.zeros(0, np.int64), []
     for b in _opened(block):
         fresh.append(grams(b.column(text))[0])
-        if sum(map(len, fresh)) > HELD:
+        if sum(map(len, fresh)) > HELD // 2:
             keys, fresh = different(np.concatenate([keys, *fresh]))[0], []
     return different(np.concatenate([keys, *fresh]))[0]
 
@@ -417,7 +417,11 @@ def perplexity(docs: DataFrame, model: Model, which: str | int = BOTH, size: int
         for kind, s, data in zip(*(told.column(c).to_pylist() for c in ("kind", "shard", "told"))):
             values[kind][:, at[kind][s]] = unpacked(data)
         index = np.cumsum(np.concatenate([[False], of[1:] != of[:-1]])) if len(of) else of
-        cost = -np.log(probabilities(keys, values[GRAMS], values[CONTEXTS][:, index], low[key[0].as_py()]))
+        cost = np.zeros(len(keys))
+        for at_ in range(0, len(keys), 1 << 16):  # a part at a time: the numbers by order take much room
+            some = slice(at_, at_ + (1 << 16))
+            cost[some] = -np.log(probabilities(keys[some], values[GRAMS][:, some], values[CONTEXTS][:, index[some]], low[key[0].as_py()]))
+        values.clear()
         where, out = Places(keys), []
         for b in _opened(block):
             found, starts = grams(b.column(text))

@@ -146,7 +146,8 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def star_links(stars: DataFrame, words: int, percent: int) -> DataFrame:
-    """hub, id, linked for every member of stars (hub, t, id, text); each tile t holds the hub's row too."""
+    """hub, id, linked, alone for every member of stars (hub, t, tiles, id, text); each tile t holds the hub's row too. alone:
+    it is the only member besides the hub."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         hub, ids = key[0].as_py(), table.column("id").to_numpy()
@@ -157,9 +158,10 @@ def star_links(stars: DataFrame, words: int, percent: int) -> DataFrame:
                 both = len(np.intersect1d(centre, s, assume_unique=True))
                 linked[i] = linked.get(i, False) or 100 * both >= percent * (len(centre) + len(s) - both)
         linked.pop(hub, None)
-        return pa.table({"hub": pa.array([hub] * len(linked), pa.int64()), "id": pa.array(list(linked), pa.int64()), "linked": pa.array(list(linked.values()), pa.bool_())})
+        alone = len(linked) == 1 and table.column("tiles")[0].as_py() == 1
+        return pa.table({"hub": pa.array([hub] * len(linked), pa.int64()), "id": pa.array(list(linked), pa.int64()), "linked": pa.array(list(linked.values()), pa.bool_()), "alone": pa.array([alone] * len(linked), pa.bool_())})
 
-    return stars.groupBy("hub", "t").applyInArrow(run, "hub bigint, id bigint, linked boolean")
+    return stars.groupBy("hub", "t").applyInArrow(run, "hub bigint, id bigint, linked boolean, alone boolean")
 
 
 def verified_links(groups: DataFrame, words: int, percent: int) -> DataFrame:
@@ -182,30 +184,32 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return cut(pairs.select("hub", "id"))
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int"))
+
+
 def _tiled(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
     """pairs with the number of tiles that the hub's members make. Only hubs with more than one tile are joined, by hub and a
     salt, so that a large hub's rows are spread."""
     tiles = members.groupBy("hub").agg(F.ceil(F.count("*") / float(TILE)).cast("int").alias(name)).where(F.col(name) > 1)
     salted = tiles.select(F.col("hub").alias("of_hub"), name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
-    salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")
-    joined = pairs.withColumn("salt", salt).join(salted, (F.col("hub") == F.col("of_hub")) & (F.col("salt") == F.col("of_salt")), "left")
+    joined = _salted(pairs).join(salted, (F.col("hub") == F.col("of_hub")) & (F.col("salt") == F.col("of_salt")), "left")
     return joined.select(*pairs.columns, F.coalesce(name, F.lit(1)).alias(name))
 
 
 def links_of_groups(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: links that connect what is linked within the groups; texts: id, text."""
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    dealt = _tiled(pairs, pairs, "tiles").select("hub", place("tiles").alias("t"), "id")
-    stars = dealt.unionByName(dealt.select("hub", "t", F.col("hub").alias("id")).distinct())
+    dealt = _tiled(pairs, pairs, "tiles").select("hub", place("tiles").alias("t"), "tiles", "id")
+    stars = dealt.unionByName(dealt.select("hub", "t", "tiles", F.col("hub").alias("id")).distinct())
     found = cut(star_links(texts.join(stars, "id"), words, percent))
     links = found.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     # What doesn't link with its hub may link with any other member.
-    alone = found.groupBy("hub").agg(F.count("*").alias("k")).where("k = 1").select("hub")
-    failed = cut(found.where("not linked").select("hub", "id").join(alone, "hub", "left_anti"))
+    failed = cut(found.where("not linked and not alone").select("hub", "id"))
     if failed.isEmpty():
         return links
-    hubs = failed.select("hub").distinct()
-    members = found.select("hub", "id").join(hubs, "hub", "left_semi")
+    hubs = failed.select("hub").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = _salted(found.select("hub", "id")).join(hubs, ["hub", "salt"], "left_semi").select("hub", "id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = _tiled(_tiled(failed, failed, "lost"), members, "tiles").select("hub", place("lost").alias("i"), every("tiles").alias("j"), "id")
     cols = _tiled(_tiled(members, members, "tiles"), failed, "lost").select("hub", every("lost").alias("i"), place("tiles").alias("j"), "id")
