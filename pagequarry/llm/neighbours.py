@@ -5,9 +5,10 @@ smallest Euclidean distance d to the query scaled to that norm. m Gaussian proje
 square is d**2 times a chi-square variable of m degrees. A kd-tree over the projections, its splits fitted on a bounded
 sample, deals all vectors out to cells. A query goes to the cells in order of their projected distance: first to the
 nearest few, whose vectors are verified in the original space and give the k-th best distance so far; then to some more and
-at last to all cells that hold a point closer than that with a chance above 1 - confidence by the chi-square test. The others are left out.
-Queries and cells meet in blocks of bounded size by a join on the cell; only the boxes of at most 1024 cells go through the
-driver.
+at last to all cells that hold a point closer than that with a chance above 1 - confidence by the chi-square test. In a cell the
+same test is put to each vector by its own projected distance: only those that pass are verified, the others are left out.
+Queries and cells meet in blocks of bounded size by a join on the cell. The number of cells grows with the table; only the
+boxes of at most 2 ** DEPTH cells and the projections of at most 2 ** SAMPLE_BITS rows go through the driver.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.base import cut
 
-#: Projections, chance to find each neighbour, rows of the sample that the tree is fitted on, rows wanted in a cell, most
-#: cells (2 ** DEPTH), rows of a block, queries of a block.
-PROJECTIONS, CONFIDENCE, SAMPLE, CELL, DEPTH, BLOCK, QUERIES = 8, 0.97, 16_384, 512, 10, 2_048, 4_096
+#: Projections, least chance to find each neighbour, rows wanted in a cell, most cells (2 ** DEPTH), rows of a block, queries
+#: of a block.
+PROJECTIONS, CONFIDENCE, CELL, DEPTH, BLOCK, QUERIES = 8, 0.9, 512, 16, 2_048, 4_096
+#: The tree is fitted on a sample of SAMPLE rows or 16 a cell, whichever is more: at most 2 ** SAMPLE_BITS, 64 MB of projections.
+SAMPLE, SAMPLE_BITS = 16_384, 20
 #: Rows to verify in the first and up to the second round; the third takes all that the test leaves.
 ROUNDS = (400, 4_000)
 SEED = 7
@@ -63,6 +66,10 @@ def cells_of(points: np.ndarray, axes: np.ndarray, splits: np.ndarray, depth: in
     return node - (2**depth - 1)
 
 
+def count_verified(n: int) -> None:
+    """Called with the vectors that a query was held against in a block; tests put an accumulator here."""
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array<double>) of the vectors that take part: not null, without null or non-finite components, not zero, of
     the most frequent length (of the smallest such, if several)."""
@@ -80,18 +87,21 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query among all vectors but itself.
 
-    vectors: vec_id (unique) and embedding; is_query: an SQL condition on vec_id. score is the inner product in double
+    vectors: vec_id and embedding (of rows that repeat a vec_id, the smallest array counts and the others don't); is_query: an SQL condition on vec_id. score is the inner product in double
     precision on the original vectors; ties go to the smaller vec_id. Fewer than k candidates are all returned; without any,
     a query has no rows. Vectors that usable() leaves out are neither queries nor candidates. The first round looks at
     enough cells to verify k rows at least, so a query always gets k neighbours if there are k.
     """
     spark = vectors.sparkSession
     v = usable(vectors)
+    if not v.groupBy("vec_id").count().where("count > 1").isEmpty():
+        v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
     norms = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     top = v.agg(F.max(norms).alias("m"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not top["n"]:
         return spark.createDataFrame([], schema)
+    counted = count_verified
     n, d, longest = top["n"], top["d"], math.sqrt(top["m"])
     depth = min(DEPTH, max(0, math.ceil(math.log2(n / CELL))))
     axis = np.random.default_rng(SEED).standard_normal((d + 1, PROJECTIONS))
@@ -100,8 +110,15 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
         more = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
         return x @ axis[:d] + more[:, None] * axis[d]
 
-    sample = v.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).toPandas()
-    axes, splits = fit_tree(project(np.stack(sample["v"].to_numpy())), depth)
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(project(_matrix(b.column(1), d))), pa.list_(pa.float64()))], names=["vec_id", "p"])
+
+    wanted = min(2**SAMPLE_BITS, max(SAMPLE, 16 * 2**depth))
+    mark = F.xxhash64("vec_id", F.lit(SEED))
+    some = v.where(F.pmod(mark, F.lit(1 << 30)) < F.lit(math.ceil(min(1.0, 1.2 * wanted / n) * (1 << 30))))
+    sample = some.orderBy(mark, "vec_id").limit(wanted).mapInArrow(projected, "vec_id bigint, p array<double>").toPandas()
+    axes, splits = fit_tree(np.stack(sample["p"].to_numpy()), depth)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,6 +133,13 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
     ids, rows = boxes["cell"].to_numpy(), boxes["n"].to_numpy()
     blocks = np.maximum(1, -(-rows // BLOCK))
     test = chi_square_quantile(confidence, PROJECTIONS)
+    # Cells of more than one block, for a join: at most 2 ** DEPTH rows.
+    split = spark.createDataFrame([(int(c), int(t)) for c, t in zip(ids, blocks) if t > 1], "cell bigint, blocks bigint")
+    step = max(1, 2**20 // len(ids))  # queries that are held against all boxes at once
+
+    def reach(worst: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Square of the projected distance beyond which the test leaves points out, by the k-th best product so far."""
+        return test * np.maximum(2 * longest**2 - 2 * longest * worst / size, 0)
 
     def plan(number: int):
         """Cells to visit for each query: the nearest by rows, then further ones as long as the test doesn't rule them out."""
@@ -124,13 +148,15 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
+                for at in range(0, b.num_rows, min(step, 256)):
+                    part = b.slice(at, min(step, 256))
                     q = _matrix(part.column(1), d)
                     size = np.sqrt((q * q).sum(axis=1))
                     p = (q * (longest / size)[:, None]) @ axis[:d]
-                    gap = np.maximum(np.maximum(low[None] - p[:, None], p[:, None] - high[None]), 0)
-                    gap = (gap * gap).sum(axis=2)
+                    gap = np.zeros((len(q), len(ids)))
+                    for a in range(PROJECTIONS):
+                        beside = np.maximum(np.maximum(low[None, :, a] - p[:, a, None], p[:, a, None] - high[None, :, a]), 0)
+                        gap += beside * beside
                     order = np.argsort(gap, axis=1, kind="stable")
                     have = np.cumsum(rows[order], axis=1)
                     nearer = np.zeros(gap.shape, np.int64)  # rows in the cells before each
@@ -138,8 +164,7 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
                     worst = np.asarray(part.column(2)).astype(float)
                     visit = (nearer >= begin) & (nearer < end)
                     if number:
-                        best = 2 * longest**2 - 2 * longest * worst / size
-                        visit &= gap <= test * np.maximum(best, 0)[:, None]
+                        visit &= gap <= reach(worst, size)[:, None]
                     i, c = np.nonzero(visit)
                     times = blocks[c]
                     i, c = np.repeat(i, times), np.repeat(c, times)
@@ -149,23 +174,29 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
         return run
 
     def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Exact inner products of a block's vectors with its queries; of each query the best k that reach its worst so far."""
+        """Exact inner products of a block's vectors with its queries, of those that the test leaves; of each query the best k
+        that reach its worst so far."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             x, x_id = _matrix(right.column("v").combine_chunks(), d), right.column("vec_id").to_numpy()
-            order = np.argsort(x_id, kind="stable")
-            x, x_id = x[order], x_id[order]
-            slack = 1e-10 * longest
+            place = project(x)
+            length = (place * place).sum(axis=1)
+            slack = 1e-9 * longest**2  # distances by products are rounded; points at the edge stay in
             for at in range(0, left.num_rows, 512):
                 part = left.slice(at, 512)
                 q, q_id, worst = _matrix(part.column("q").combine_chunks(), d), part.column("query_id").to_numpy(), part.column("worst").to_numpy()
-                about = q @ x.T
-                about[q_id[:, None] == x_id[None, :]] = -np.inf
-                kth = np.partition(about, -k, axis=1)[:, -k] if len(x_id) > k else np.full(len(q_id), -np.inf)
-                tol = slack * np.sqrt((q * q).sum(axis=1))
-                limit = np.maximum(np.maximum(kth, worst) - tol, -1e308)  # the fast product rounds differently; ties stay in
-                for i in np.flatnonzero((about >= limit[:, None]).any(axis=1)):
-                    c = np.flatnonzero(about[i] >= limit[i])
+                size = np.sqrt((q * q).sum(axis=1))
+                p = (q * (longest / size)[:, None]) @ axis[:d]
+                far = (p * p).sum(axis=1)[:, None] + length[None] - 2 * (p @ place.T)
+                near = (far <= (reach(worst, size) + slack)[:, None]) & (q_id[:, None] != x_id[None, :])
+                for i in range(len(q)):
+                    c = np.flatnonzero(near[i])
+                    if not len(c):
+                        continue
+                    counted(len(c))
+                    about = x[c] @ q[i]
+                    kth = np.partition(about, -k)[-k] if len(c) > k else -np.inf
+                    c = c[about >= max(kth, worst[i]) - 1e-10 * longest * size[i]]  # this product rounds differently; ties stay in
                     score = (x[c] * q[i]).sum(axis=1)
                     best = np.lexsort((x_id[c], -score))[:k]
                     out.append((np.full(len(best), q_id[i]), x_id[c][best], score[best]))
@@ -176,7 +207,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, confidence: float = C
         due = queries.select("query_id", "q", "worst").mapInArrow(plan(number), "query_id bigint, q array<double>, worst double, cell bigint, block bigint")
         due = due.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(asked / QUERIES)))))
         parts = due.select(F.col("cell").alias("of_cell"), F.col("block").alias("of_block"), F.col("part").alias("of_part")).distinct()
-        mine = data.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.element_at(F.create_map(*[F.lit(int(z)) for pair in zip(ids, blocks) for z in pair]), F.col("cell"))))
+        mine = data.join(F.broadcast(split), "cell", "left")
+        mine = mine.withColumn("block", F.pmod(mark, F.coalesce("blocks", F.lit(1))))
         mine = mine.join(parts, (F.col("cell") == F.col("of_cell")) & (F.col("block") == F.col("of_block"))).select("vec_id", "v", "of_cell", "of_block", "of_part")
         return due.groupBy("cell", "block", "part").cogroup(mine.groupBy("of_cell", "of_block", "of_part")).applyInArrow(verify, "query_id bigint, vec_id bigint, score double")
 

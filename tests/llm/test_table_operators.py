@@ -50,6 +50,31 @@ def test_neighbours(spark, shape):
         assert got == want
 
 
+@pytest.mark.parametrize("spread, least, most", [(0.25, 0.9, 0.45), (1.0, 0.9, 0.9)])
+def test_neighbours_left_out(spark, monkeypatch, spread, least, most):
+    """Recall on clustered and on scattered vectors in many cells, and the share of vectors that are verified."""
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    monkeypatch.setattr(neighbours, "ROUNDS", (100, 1_000))
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 8_000)] + spread * rng.normal(size=(8_000, 32))
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(neighbours, "count_verified", seen.add)
+    got = {}
+    for r in neighbours.search(df, "vec_id % 20 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_neighbours(rows, 20)
+    assert sum(len(got[q] & set(want[q])) for q in want) / (20 * len(want)) >= least
+    assert 0 < seen.value / (len(rows) * len(want)) <= most
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 9.0]), (2, [2.0, 0.0]), (20, [1.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(20, 1, 1, 2.0), (20, 2, 2, 2.0)]
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(df, "vec_id % 20 = 0").count() == 0
