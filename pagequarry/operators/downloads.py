@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.functions.arrays import fold_append
+from pagequarry.functions.scans import scan_sorted
 from pagequarry.operators.dedup import top_by
 from pagequarry.operators.links import page_index
 
@@ -22,25 +24,28 @@ def plan_budget(df: DataFrame, max_bytes: int) -> DataFrame:
     """df (job_id, seq, file_size) with keep: in order of seq, a row is kept if it still fits into the job's budget; unknown
     sizes always are and count nothing. A skipped row leaves room for later ones, so this is a fold, not a running sum.
 
-    A job's list holds numbers only (its rows are capped before, see links.cap_images); a running sum of all sizes first
-    settles the jobs that fit as a whole, and these need no list.
+    A running sum of all sizes first settles the jobs that fit as a whole. The rows of the others are sorted by job and seq and
+    pass once, with one number as state, so a job may be of any length.
     """
     size = F.coalesce(F.col("file_size"), F.lit(0)).cast("long")
     total = df.groupBy("job_id").agg(F.sum(size).alias("_total"))
-    known = df.join(total, "job_id")
+    known = df.join(total.withColumnRenamed("job_id", "_job"), F.col("job_id").eqNullSafe(F.col("_job")))
     fits = known.where(F.col("_total") <= max_bytes).select(*df.columns, F.lit(True).alias("keep"))
-    over = known.where(F.col("_total") > max_bytes)
-    item = F.struct(F.col("seq").cast("long").alias("seq"), size.alias("size"))
-
-    def step(total: Column, x: Column) -> tuple[Column, Column]:
-        fits_in = total + x["size"] <= max_bytes
-        return F.when(fits_in, total + x["size"]).otherwise(total), F.when(fits_in, F.array(x["seq"])).otherwise(F.array().cast("array<bigint>"))
-
-    listed = over.groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    folded = listed.select("job_id", fold_append(F.col("items"), F.lit(0).cast("long"), step, "bigint").alias("kept"))
-    kept = folded.select("job_id", F.explode("kept").alias("seq"), F.lit(True).alias("_k"))
-    decided = over.select(*df.columns).join(kept, ["job_id", "seq"], "left").withColumn("keep", F.coalesce("_k", F.lit(False))).select(*df.columns, "keep")
-    return fits.unionByName(decided)
+
+    def decide() -> Callable[[tuple], bool]:
+        left = max_bytes
+
+        def one(row: tuple) -> bool:
+            nonlocal left
+            keep = row[0] <= left
+            left -= row[0] if keep else 0
+            return keep
+
+        return one
+
+    over = known.where(F.col("_total") > max_bytes).select(*df.columns, size.alias("_size"))
+    decided = scan_sorted(over, ["job_id"], ["seq"], ["_size"], decide, "keep", "boolean")
+    return fits.unionByName(decided.select(*df.columns, "keep"))
 
 
 def plan_until_total(df: DataFrame, max_bytes: int) -> DataFrame:

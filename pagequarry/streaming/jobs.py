@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagequarry.functions.scans import scan_sorted
 from pagequarry.operators import netlog, reports
 
 
@@ -50,21 +51,37 @@ def within_observation_window(events: DataFrame, scans: DataFrame, window_ms: in
     return met.drop("started_at") if events.isStreaming else met.groupBy("page_id", "url").agg(F.min("ts").alias("ts"))
 
 
-def _next_factor(factor: Column, status: Column, most: float) -> Column:
-    up = F.when(status.isin(429, 503), factor * 2.0).when(status.isNull(), factor * 1.4).when((status >= 200) & (status < 400), F.greatest(factor * 0.75, F.lit(1.0))).otherwise(factor)
-    return F.least(up, F.lit(most))
+def _next_factor(factor: float, status: int | None, most: float) -> float:
+    if status is None or status != status:
+        factor *= 1.4
+    elif status in (429, 503):
+        factor *= 2
+    elif 200 <= status < 400:
+        factor = max(factor * 0.75, 1.0)
+    return min(factor, most)
 
 
 def backoff(events: DataFrame, min_delay: float, max_backoff: float) -> DataFrame:
     """Per job and kind, the back-off factor after all events (seq, status; null: network error) and the delay it gives.
 
     429 and 503 double it, a network error makes it 1.4 times as large, success takes a quarter off, not below 1; the most
-    is max_backoff / min_delay. A fold over one key's events in order.
+    is max_backoff / min_delay. A key's events are sorted by seq and pass once, with one number as state; the factor of the
+    last one is the result.
     """
     most = max(max_backoff / max(min_delay, 1.0), 1.0)
-    steps = F.array_sort(F.collect_list(F.struct("seq", "status")))
-    factor = F.aggregate(steps, F.lit(1.0), lambda f, x: _next_factor(f, x["status"], most))
-    out = events.groupBy("job_id", "kind").agg(factor.alias("factor"))
+
+    def begin() -> Callable[[tuple], float]:
+        factor = 1.0
+
+        def one(row: tuple) -> float:
+            nonlocal factor
+            factor = _next_factor(factor, row[0], most)
+            return factor
+
+        return one
+
+    passed = scan_sorted(events.select("job_id", "kind", "seq", "status"), ["job_id", "kind"], ["seq"], ["status"], begin, "factor", "double")
+    out = passed.groupBy("job_id", "kind").agg(F.max_by("factor", "seq").alias("factor"))
     return out.withColumn("delay_ms", F.least(F.greatest(F.col("factor") * min_delay, F.lit(float(min_delay))), F.lit(float(max_backoff))))
 
 
@@ -76,7 +93,7 @@ def backoff_stream(events: DataFrame, min_delay: float, max_backoff: float) -> D
         factor = state.get[0] if state.exists else 1.0
         rows = pd.concat(list(frames)).sort_values("seq")
         for s in rows["status"]:
-            factor = min(factor * 1.4 if pd.isna(s) else factor * 2 if s in (429, 503) else max(factor * 0.75, 1.0) if 200 <= s < 400 else factor, most)
+            factor = _next_factor(factor, s, most)
         state.update((factor,))
         yield pd.DataFrame({"job_id": [key[0]], "kind": [key[1]], "factor": [factor], "delay_ms": [min(max(factor * min_delay, min_delay), max_backoff)]})
 

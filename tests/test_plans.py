@@ -20,6 +20,26 @@ def test_budget_is_a_fold(spark):
             assert got[j, s] == fits
 
 
+def test_long_jobs_pass_once(spark):
+    """One job of 200,000 rows, and rows without a job: a row's size is below the budget, so what is left gets ever smaller."""
+    ids = spark.range(200_000).select(F.when(F.col("id") % 100 > 0, 1).alias("job_id"), F.col("id").alias("seq"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("file_size"))
+    got = {(r.job_id, r.seq): (r.file_size, r.keep) for r in downloads.plan_budget(ids, 50_000).collect()}
+    assert len(got) == 200_000
+    for job in (1, None):
+        total = 0
+        for s in range(200_000):
+            if (job, s) in got:
+                size, keep = got[job, s]
+                assert keep == (total + size <= 50_000)
+                total += size * keep
+    e = ids.select("job_id", F.lit("page").alias("kind"), "seq", F.element_at(F.array(*[F.lit(x) for x in (429, 200, 404, None)]), (F.pmod(F.xxhash64("seq"), F.lit(4)) + 1).cast("int")).alias("status"))
+    want = {}
+    for r in sorted(e.collect(), key=lambda r: r.seq):
+        f = want.get(r.job_id, 1.0)
+        want[r.job_id] = min(f * 1.4 if r.status is None else f * 2 if r.status == 429 else max(f * 0.75, 1.0) if r.status == 200 else f, 60)
+    assert {r.job_id: r.factor for r in jobs.backoff(e, 1000, 60_000).collect()} == want
+
+
 def test_retry_and_backoff(spark):
     f = spark.createDataFrame([(1, s, 0, 1, s != 2) for s in range(7)], "job_id int, seq int, failed_at long, retry_count int, retryable boolean")
     assert [r.retry_at for r in downloads.retry_at(f).orderBy("seq").collect()] == [500, 1000, None, 2000, 4000, 8000, 10000]
