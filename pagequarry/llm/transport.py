@@ -1,7 +1,8 @@
 """MPEG transport streams as media columns: bytes packed into 188-byte packets and read back.
 
 The reader parses the program tables (association and map), checks the continuity counters of every stream, puts elementary
-packets together again across transport packets, and notes their timestamps and random-access points. The writer stores a
+packets together again across transport packets, and notes their timestamps (presentation and decoding), clock references and
+random-access points. It finds the packets again after lost or stray bytes. The writer stores a
 payload losslessly as one private elementary stream, so that the round trip can be proven for any bytes.
 """
 
@@ -48,17 +49,28 @@ def _section(table: int, number: int, body: bytes) -> bytes:
     return head + crc32_mpeg(head).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
+def _table_packets(pid: int, section: bytes) -> bytes:
+    """A section in as many packets as it takes; the last is filled up by stuffing bytes."""
     data = b"\x00" + section
-    return bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10]) + data + b"\xff" * (BODY - len(data))
+    data += b"\xff" * (-len(data) % BODY)
+    parts = [data[at : at + BODY] for at in range(0, len(data), BODY)]
+    return b"".join(bytes([SYNC, (0 if i else 0x40) | pid >> 8, pid & 0xFF, 0x10 | i % 16]) + part for i, part in enumerate(parts))
 
 
 #: The program tables are the same for all streams of the writer.
-TABLES = _table_packet(0, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
+TABLES = _table_packets(0, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packets(
     PMT_PID, _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 )
 
 
+#: Fixed values of the format: stream ids whose elementary packets have no long header.
+PLAIN_IDS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
+
+
+def _ticks(stamp: bytes) -> int:
+    return (stamp[0] >> 1 & 7) << 30 | stamp[1] << 22 | stamp[2] >> 1 << 15 | stamp[3] << 7 | stamp[4] >> 1
+
+
 def _stamp(pts: int) -> bytes:
     return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 0xFF, 0x01 | pts >> 14 & 0xFE, pts >> 7 & 0xFF, 0x01 | pts << 1 & 0xFE])
 
@@ -103,42 +115,92 @@ def write_stream(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """One elementary stream as read: its bytes, and per elementary packet the place in them, timestamp and access flag."""
+    """One elementary stream as read: its bytes, and per elementary packet the place in them, presentation time, access flag
+    and decoding time (that of presentation if it has none of its own)."""
 
     pid: int
     kind: int
     data: bytes = b""
-    units: list[tuple[int, int | None, bool]] = field(default_factory=list)  # offset, timestamp, random access
+    units: list[tuple[int, int | None, bool, int | None]] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)  # clock references, in ticks of 27 MHz
     lost: int = 0  # breaks of the continuity counter
     packets: int = 0
 
 
+def _packets(media: bytes, wrong: list[str]) -> np.ndarray:
+    """The transport packets as rows of bytes. A packet counts if it begins with the sync byte and one follows it in one of the
+    next two places, or the stream ends there; else the next such place is looked for, and the bytes between are left out. So
+    a packet before stray bytes is left out too: it looks like one that lost some."""
+    b = np.frombuffer(media, np.uint8)
+    grid = b[: len(b) // PACKET * PACKET].reshape(-1, PACKET)
+    if len(b) % PACKET == 0 and (grid[:, 0] == SYNC).all():
+        return grid
+    sync = np.concatenate([b == SYNC, np.zeros(2 * PACKET + 1, bool)])
+    here = np.arange(max(len(b) - PACKET + 1, 0))
+    fine = np.flatnonzero(sync[here] & (sync[here + PACKET] | sync[here + 2 * PACKET] | (here + PACKET == len(b))))
+    taken, at = [], 0
+    while (i := int(np.searchsorted(fine, at))) < len(fine):
+        taken.append(int(fine[i]))
+        at = taken[-1] + PACKET
+    if outside := len(b) - PACKET * len(taken):
+        wrong.append(f"{outside} bytes outside packets")
+    return b[np.array(taken, np.int64)[:, None] + np.arange(PACKET)] if taken else grid[:0]
+
+
 def read_stream(media: bytes) -> tuple[list[Stream], list[str]]:
-    """The elementary streams of the programs, and what is wrong with the bytes (empty if nothing)."""
+    """The elementary streams of the programs, and what is wrong with the bytes (empty if nothing). Packets that carry the
+    error flag are left out, scrambled ones have no payload; both are told."""
     wrong: list[str] = []
-    if len(media) % PACKET:
-        wrong.append("not a whole number of packets")
-    p = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
-    if (p[:, 0] != SYNC).any():
-        wrong.append("sync byte missing")
-        p = p[p[:, 0] == SYNC]
+    p = _packets(media, wrong)
+    if bad := int((p[:, 1] & 0x80 != 0).sum()):
+        wrong.append(f"{bad} packets with the error flag")
+        p = p[p[:, 1] & 0x80 == 0]
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     # Where the payload begins: after the adaptation field if there is one; at the end if there is no payload.
     begin = np.where(p[:, 3] & 0x20, 5 + p[:, 4].astype(np.int32), 4)
     begin = np.where(p[:, 3] & 0x10, np.minimum(begin, PACKET), PACKET)
+    scrambled = (p[:, 3] & 0xC0 != 0) & (pid != 0x1FFF)
+    if scrambled.any():
+        wrong.append(f"{int(scrambled.sum())} scrambled packets")
+        begin = np.where(scrambled, PACKET, begin)
     access = (p[:, 3] & 0x20 != 0) & (p[:, 4] > 0) & (p[:, 5] & 0x40 != 0)
 
     def sections(of: int, table: int) -> Iterator[bytes]:
-        for i in np.flatnonzero((pid == of) & (p[:, 1] & 0x40 != 0)):
-            body = p[i, begin[i] :].tobytes()
-            body = body[1 + body[0] :] if body else b""
-            n = (int.from_bytes(body[1:3], "big") & 0xFFF) + 3
-            if not body or body[0] != table:
+        """Bodies of the sections of a table, which may go over several packets, or share one."""
+        open_, last = b"", b""
+
+        def whole(data: bytes) -> tuple[list[bytes], bytes]:
+            out = []
+            while len(data) >= 3 and data[0] != 0xFF and (n := (int.from_bytes(data[1:3], "big") & 0xFFF) + 3) <= len(data):
+                out.append(data[:n])
+                data = data[n:]
+            return out, data if data[:1] != b"\xff" else b""
+
+        found: list[bytes] = []
+        for i in np.flatnonzero((pid == of) & (begin < PACKET)):
+            raw = p[i].tobytes()
+            if raw == last:  # sent twice
+                continue
+            last, body = raw, raw[begin[i] :]
+            if raw[1] & 0x40:
+                done, rest = whole(open_ + body[1 : 1 + body[0]]) if open_ else ([], b"")
+                if rest:
+                    wrong.append(f"section of {of} is broken")
+                found += done
+                open_ = body[1 + body[0] :]
+            elif open_:
+                open_ += body
+            done, open_ = whole(open_)
+            found += done
+        if open_:
+            wrong.append(f"section of {of} is broken")
+        for one in found:
+            if one[0] != table:
                 continue
-            if n > len(body) or crc32_mpeg(body[:n]):
+            if len(one) < 12 or crc32_mpeg(one):
                 wrong.append(f"section of {of} is broken")
             else:
-                yield body[8 : n - 4]
+                yield one[8:-4]
 
     maps = {}
     for body in sections(0, 0):
@@ -159,6 +221,9 @@ def read_stream(media: bytes) -> tuple[list[Stream], list[str]]:
 
 def _elementary(p: np.ndarray, begin: np.ndarray, access: np.ndarray, own: np.ndarray, pid: int, kind: int, wrong: list[str]) -> Stream:
     s = Stream(pid, kind, packets=len(own))
+    for i in own[(p[own, 3] & 0x20 != 0) & (p[own, 4] >= 7) & (p[own, 5] & 0x10 != 0)]:
+        clock = int.from_bytes(p[i, 6:12].tobytes(), "big")
+        s.clocks.append((clock >> 15) * 300 + (clock & 0x1FF))
     own = own[begin[own] < PACKET]
     if not len(own):
         return s
@@ -175,16 +240,19 @@ def _elementary(p: np.ndarray, begin: np.ndarray, access: np.ndarray, own: np.nd
     parts, at = [], 0
     for j, i in enumerate(starts):
         a, b = int(ends[i] - size[i]), int(ends[starts[j + 1]] - size[starts[j + 1]]) if j + 1 < len(starts) else len(raw)
-        if raw[a : a + 3] != b"\x00\x00\x01" or b - a < 9:
+        head = raw[a : a + 19]
+        plain = len(head) >= 6 and head[3] in PLAIN_IDS
+        if head[:3] != b"\x00\x00\x01" or b - a < (6 if plain else 9):
             wrong.append(f"elementary packet {j} of {pid} has no start code")
             continue
-        told = int.from_bytes(raw[a + 4 : a + 6], "big")
-        skip = 9 + raw[a + 8]
-        stamp = raw[a + 9 : a + 14]
-        pts = (stamp[0] >> 1 & 7) << 30 | stamp[1] << 22 | stamp[2] >> 1 << 15 | stamp[3] << 7 | stamp[4] >> 1 if raw[a + 7] & 0x80 else None
+        told = int.from_bytes(head[4:6], "big")
+        skip = 6 if plain else 9 + head[8]
+        flags = 0 if plain else head[7]
+        pts = _ticks(head[9:14]) if flags & 0x80 and skip >= 14 and len(head) >= 14 else None
+        dts = _ticks(head[14:19]) if flags & 0xC0 == 0xC0 and skip >= 19 and len(head) >= 19 else pts
         if told and told + 6 != b - a:
             wrong.append(f"elementary packet {j} of {pid} has {b - a - 6} bytes, not {told}")
-        s.units.append((at, pts, bool(access[own[i]])))
+        s.units.append((at, pts, bool(access[own[i]]), dts))
         parts.append(raw[a + skip : min(b, a + 6 + told) if told else b])
         at += len(parts[-1])
     s.data = b"".join(parts)
@@ -193,7 +261,8 @@ def _elementary(p: np.ndarray, begin: np.ndarray, access: np.ndarray, own: np.nd
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns but text, with n_bytes, media (binary): the text in UTF-8 (null: empty), filled up by bytes 0 to a
-    positive multiple of 64, as a transport stream. Rows are stored each by itself."""
+    positive multiple of 64, as a transport stream. Rows are stored each by itself. Columns of docs with these two names give
+    way."""
 
     def pack(t: str | None) -> tuple[int, bytes]:
         raw = (t or "").encode()
@@ -206,45 +275,50 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 n, media = zip(*map(pack, part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["r", "n_bytes", "media"])
 
-    packed = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("r"), text)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_bytes", "media")]).alias("r"), text)
     return packed.mapInArrow(run, f"r {packed.schema['r'].dataType.simpleString()}, n_bytes bigint, media binary").select("r.*", "n_bytes", "media")
 
 
-_READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, streams int, packets bigint, lost bigint, timestamps array<bigint>, access_points array<bigint>, problems array<string>, feature string"
+_READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, streams int, packets bigint, lost bigint, timestamps array<bigint>, decoding_timestamps array<bigint>, clock_references array<bigint>, access_points array<bigint>, problems array<string>, feature string"
 
 
 def read(stored: DataFrame, media: str = "media") -> DataFrame:
     """stored's columns but media, with what a reader finds in it.
 
-    payload_*: the bytes of all elementary streams in order (their length, SHA-256, CRC-32 of the last 64); timestamps in
-    ticks of 90 kHz and access_points as offsets into the payload; lost: breaks of the counters; problems: what is wrong.
-    A null or broken stream gives what could be read and its problems. feature sums it up as text.
+    payload_*: the bytes of all elementary streams in order (their length, SHA-256, CRC-32 of the last 64); timestamps
+    (of decoding: those of presentation where there are no others) in ticks of 90 kHz, clock_references in ticks of 27 MHz,
+    access_points as offsets into the payload; lost: breaks of the counters; problems: what is wrong.
+    A null or broken stream gives what could be read and its problems. feature sums it up as text. Columns
+    of stored with the names of these give way.
     """
 
     def look(m: bytes | None) -> tuple:
         streams, wrong = read_stream(m or b"")
         payload = b"".join(s.data for s in streams)
         stamps = [u[1] for s in streams for u in s.units if u[1] is not None]
+        decoding = [u[3] for s in streams for u in s.units if u[3] is not None]
+        clocks = [c for s in streams for c in s.clocks]
         points = [u[0] for s in streams for u in s.units if u[2]]
         lost, packets = sum(s.lost for s in streams), sum(s.packets for s in streams)
         seen = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8)
         feature = f"units={sum(len(s.units) for s in streams)};packets={packets};lost={lost};pts={stamps[0] if stamps else '-'}..{stamps[-1] if stamps else '-'};access={len(points)};bytes={'/'.join(map(str, seen))}"
-        return (len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-64:]), len(m or b""), hashlib.sha256(m or b"").hexdigest(), len(streams), packets, lost, stamps, points, wrong, feature)
+        return (len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-64:]), len(m or b""), hashlib.sha256(m or b"").hexdigest(), len(streams), packets, lost, stamps, decoding, clocks, points, wrong, feature)
 
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 cols = zip(*map(look, part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["r", *[x.split(" ")[0] for x in _READ.split(", ")]])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["r", *names])
 
-    packed = stored.select(F.struct(*[c for c in stored.columns if c != media]).alias("r"), media)
-    return packed.mapInArrow(run, f"r {packed.schema['r'].dataType.simpleString()}, {_READ}").select("r.*", *[x.split(" ")[0] for x in _READ.split(", ")])
+    names = [x.split(" ")[0] for x in _READ.split(", ")]
+    packed = stored.select(F.struct(*[F.col(f"`{c}`") for c in stored.columns if c not in (media, *names)]).alias("r"), media)
+    return packed.mapInArrow(run, f"r {packed.schema['r'].dataType.simpleString()}, {_READ}").select("r.*", *names)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: every text stored as a transport stream and read back."""
     out = read(store(docs.select("doc_id", "text")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "access_points")

@@ -102,6 +102,58 @@ def test_stream_round_trip(n):
     assert [u[1] for u in streams[0].units] == [3600 * i for i in range(-(-n // transport.UNIT))]
 
 
+def test_clashing_columns_of_streams(spark):
+    df = spark.createDataFrame([(1, "abc", "m", "n", "p", "f")], "doc_id long, text string, media string, n_bytes string, packets string, feature string")
+    stored = transport.store(df)
+    assert sorted(stored.columns) == sorted(set(stored.columns)) and stored.first()["n_bytes"] == 3
+    out = transport.read(stored)
+    assert sorted(out.columns) == sorted(set(out.columns)) and out.first()["packets"] == 1
+
+
+def test_tables_over_several_packets():
+    """A program map of many streams takes several packets; the last stream of it is the one with data."""
+    raw = random.Random(5).randbytes(5_000)
+    media = transport.write_stream(raw)
+    streams = [(0x06, 0x200 + i) for i in range(60)] + [(transport.STREAM_TYPE, transport.DATA_PID)]
+    body = (0xE000 | transport.DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + b"".join(bytes([k]) + (0xE000 | i).to_bytes(2, "big") + b"\xf0\x00" for k, i in streams)
+    tables = transport._table_packets(transport.PMT_PID, transport._section(2, transport.PROGRAM, body))
+    assert len(tables) == 2 * 188
+    found, wrong = transport.read_stream(media[:188] + tables + media[376:])
+    assert wrong == [] and len(found) == 61 and found[-1].data == raw
+    _, wrong = transport.read_stream(media[:188] + tables[:188] + media[376:])
+    assert wrong == ["section of 256 is broken"]
+
+
+@pytest.mark.parametrize("at, length", [(188 * 40 + 7, -1), (188 * 40, 5), (188 * 40, 188 * 3 + 11)])
+def test_streams_find_packets_again(at, length):
+    """After a lost byte, or before stray ones, one packet is missing: from outside, both look like a packet of a wrong length."""
+    raw = random.Random(9).randbytes(50_000)
+    media = transport.write_stream(raw)
+    broken = media[:at] + media[at + 1 :] if length < 0 else media[:at] + bytes(length) + media[at:]
+    (s,), wrong = transport.read_stream(broken)
+    assert s.lost == 1 and len(raw) - len(s.data) == 184 and s.data[:5_000] == raw[:5_000] and s.data[-40_000:] == raw[-40_000:]
+    assert f"{188 + length} bytes outside packets" in wrong
+
+
+def test_flags_and_times_of_packets():
+    media = bytearray(transport.write_stream(bytes(100)))
+    both = b"\x00\x00\x01\xe0" + (3 + 10 + 4).to_bytes(2, "big") + b"\x80\xc0\x0a" + bytes([transport._stamp(9000)[0] | 0x10]) + transport._stamp(9000)[1:] + transport._stamp(5400) + b"data"
+    clock = (123 << 15 | 0x7E00 | 45).to_bytes(6, "big")
+    fill = transport.PACKET - 4 - 1 - 7 - len(both)
+    packet = bytes([0x47, 0x41, 0x01, 0x31, 7 + fill, 0x50]) + clock + b"\xff" * fill + both
+    (s,), wrong = transport.read_stream(bytes(media) + packet)
+    assert wrong == [] and s.units[1] == (100, 9000, True, 5400) and s.clocks == [123 * 300 + 45] and s.data == bytes(100) + b"data"
+    plain = b"\x00\x00\x01\xbe\x00\x03xyz"
+    fill = transport.PACKET - 4 - 2 - len(plain)
+    packet = bytes([0x47, 0x41, 0x01, 0x31, 1 + fill, 0]) + b"\xff" * fill + plain
+    (s,), wrong = transport.read_stream(bytes(media) + packet)
+    assert wrong == [] and s.units[1] == (100, None, False, None) and s.data[100:] == b"xyz"
+    media[2 * 188 + 3] |= 0x80
+    assert transport.read_stream(bytes(media))[1] == ["1 scrambled packets"]
+    media[2 * 188 + 1] |= 0x80
+    assert transport.read_stream(bytes(media))[1] == ["1 packets with the error flag"]
+
+
 def test_damaged_streams():
     media = transport.write_stream(bytes(90_000))
     assert transport.read_stream(media[: 188 * 40] + media[188 * 41 :])[0][0].lost == 1
