@@ -29,7 +29,7 @@ from pagequarry.llm.base import cut, keep
 A, ORDER, EDGE, LOW = 257, 6, 256, 2
 #: Bytes of text of a block and of a slice, different n-grams of a shard, different n-grams that a task holds, blocks that ask
 #: one copy of a shard.
-BLOCK, SLICE, SHARD, HELD, ASKERS = 32 << 20, 1 << 20, 1 << 18, 1 << 22, 512
+BLOCK, SLICE, SHARD, HELD, ASKERS = 32 << 20, 1 << 20, 1 << 18, 1 << 21, 512
 #: Models by the folds that they are trained on: all but fold 0, all but fold 1, both.
 BUT_0, BUT_1, BOTH = 0, 1, 2
 GRAMS, CONTEXTS = 0, 1
@@ -81,7 +81,7 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """The different keys, ascending, and the sums of their values."""
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # they come in ascending runs
     s = keys[order]
     if not len(s):
         return (s, *values)
@@ -151,9 +151,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
         fresh: list[np.ndarray] = []
 
         def told() -> Iterator[pa.RecordBatch]:
-            key, n0, n1 = summed(keys >> 1, np.where(keys & 1, 0, n), np.where(keys & 1, n, 0))
-            for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in (key, n0, n1)], names=["key", "n0", "n1"])
+            for at in range(0, len(keys), 100_000):  # a key cut in two is summed up with the tasks' keys
+                k, many = keys[at : at + 100_000], n[at : at + 100_000]
+                columns = summed(k >> 1, np.where(k & 1, 0, many), np.where(k & 1, many, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "n0", "n1"])
 
         def gathered() -> tuple[np.ndarray, ...]:
             key, many = different(np.concatenate([np.zeros(0, np.int64), *fresh]))
