@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system. Spark uses its workers again, and the C library (glibc; others have
+    no such call) keeps most of what is freed, so an executor would go on holding what its largest tasks took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, made longer until df has no such column (upper and lower case count as equal, as in Spark)."""
     taken = {c.lower() for c in df.columns}

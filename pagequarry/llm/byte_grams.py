@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from pagequarry.llm.base import cut, keep
+from pagequarry.llm.base import cut, give_back, keep
 
 A, ORDER, EDGE, LOW = 257, 6, 256, 2
 #: Bytes of text of a block and of a slice, different n-grams of a shard, different n-grams that a task holds, blocks that ask
@@ -172,6 +172,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         keys, n = keys[:0], n[:0]
         keys, n = gathered()
         yield from told()
+        give_back()
 
     counted = docs.select("text", F.col("fold").cast("int")).mapInArrow(run, "key bigint, n0 bigint, n1 bigint")
     return counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -339,7 +340,9 @@ def _block_keys(block: pa.Table, text: int) -> np.ndarray:
         fresh.append(grams(b.column(text))[0])
         if sum(map(len, fresh)) > HELD // 2:
             keys, fresh = different(np.concatenate([keys, *fresh]))[0], []
-    return different(np.concatenate([keys, *fresh]))[0]
+    keys, fresh = different(np.concatenate([keys, *fresh]))[0], []
+    give_back()
+    return keys
 
 
 def perplexity(docs: DataFrame, model: Model, which: str | int = BOTH, size: int | None = None) -> DataFrame:
@@ -422,13 +425,16 @@ def perplexity(docs: DataFrame, model: Model, which: str | int = BOTH, size: int
         for at_ in range(0, len(keys), 1 << 16):  # a part at a time: the numbers by order take much room
             some = slice(at_, at_ + (1 << 16))
             cost[some] = -np.log(probabilities(keys[some], values[GRAMS][:, some], values[CONTEXTS][:, index[some]], low[key[0].as_py()]))
-        values.clear()
+        del told, context, of, index, values
+        give_back()
         where, out = Places(keys), []
         for b in _opened(block):
             found, starts = grams(b.column(text))
             total = np.concatenate([[0.0], np.cumsum(cost[where.find(found)])])
             n = np.diff(starts)
             out.append(pa.Table.from_batches([b]).append_column("n_grams", pa.array(n, pa.int64())).append_column("perplexity", pa.array(np.exp((total[starts[1:]] - total[starts[:-1]]) / n))))
+        del keys, cost, where
+        give_back()
         return pa.concat_tables(out)
 
     tagged = few.select(*[F.col(f"`{c}`") for c in names], (F.col(which) if isinstance(which, str) else F.lit(which)).cast("int").alias("model of the row"))
