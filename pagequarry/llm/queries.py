@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import licenses, mixing, near_dedup, neighbours, pieces, pii, quality, tokens, transport, warc
+from pagequarry.llm import conversations, licenses, mixing, near_dedup, neighbours, pieces, pii, quality, tokens, transport, warc
 from pagequarry.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tag", "dup", "copies", "skey")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_pii_spans": op9_pii_spans,
         "op10_source_mix": op10_source_mix,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
