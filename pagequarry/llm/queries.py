@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import conversations, licenses, mixing, near_dedup, neighbours, pieces, pii, quality, tokens, transport, warc
+from pagequarry.llm import centroids, conversations, licenses, mixing, near_dedup, neighbours, pieces, pii, quality, tokens, transport, warc
 from pagequarry.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tag", "dup", "copies", "skey")
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digest(table(spark, sf_dir, "conversations"))
 
@@ -68,9 +72,28 @@ def queries() -> dict[str, Query]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_pii_spans": op9_pii_spans,
         "op10_source_mix": op10_source_mix,
+        "op12_centroid_clusters": op12_centroid_clusters,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
 
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """op12 in SQL: all distances, round by round."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INTEGER AS j, x FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT v.r, min(row({far}, c.j)) AS b FROM v, c{n} c GROUP BY v.r)")
+        if n < rounds:
+            parts.append(f"""s{n} AS (SELECT j, list(m ORDER BY i) AS x FROM (SELECT j, i, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END::BIGINT AS m
+  FROM (SELECT b[2] AS j, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{n} JOIN v USING (r), generate_series(1, 64) g(i) GROUP BY 1, 2)) GROUP BY j)""")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(s.x, c.x) AS x FROM c{n} c LEFT JOIN s{n} s USING (j))")
+    return f"""WITH {', '.join(parts)} SELECT v.vec_id, c.j AS cluster, b[1]::BIGINT AS distance, (sum(b[1]) OVER (PARTITION BY c.j))::BIGINT AS cluster_inertia,
+  (sum(b[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.j = b[2]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_centroid_clusters": _clusters_sql()}
