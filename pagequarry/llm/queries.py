@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import centroids, conversations, licenses, mixing, near_dedup, neighbours, pieces, pii, quality, tokens, transport, warc
+from pagequarry.llm import centroids, conversations, licenses, mixing, near_dedup, neighbours, pieces, pii, pitman_yor, quality, tokens, transport, warc
 from pagequarry.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tag", "dup", "copies", "skey")
 
 
+def op11_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_pii_spans": op9_pii_spans,
         "op10_source_mix": op10_source_mix,
+        "op11_pitman_yor_scores": op11_pitman_yor_scores,
         "op12_centroid_clusters": op12_centroid_clusters,
         "op13_conversation_repair": op13_conversation_repair,
     }
