@@ -27,7 +27,7 @@ from pagequarry.llm.base import keep
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 NOTHING = " "
 #: Turns and bytes of text of a chunk, turns of a range of the sort, characters of a text that decide its range.
-CHUNK, CHUNK_BYTES, RANGE, LEAD = 1024, 4 << 20, 200_000, 64
+CHUNK, CHUNK_BYTES, RANGE, LEAD = 1024, 4 << 20, 20_000, 64
 BLANK, REPEATED, CUT_OFF, FINE = "blank", "duplicate", "truncated", "fine"
 
 Cell = dict[str, tuple[int, str, tuple]]
@@ -162,9 +162,10 @@ def chunks_of(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        no, size = 0, 0
+        done: list[list] = []
+        no, size, told_size = 0, 0, 0
 
-        def out() -> pa.RecordBatch:
+        def finish() -> None:
             nonlocal no, size, held
             faults = [f for x in held for f in (x["fault"], *[BLANK if x["fault"] == BLANK else REPEATED] * (x["n"] > 1))]
             counts = [x["n"] if x["fault"] == BLANK else 0 for x in held], [x["n"] if x["fault"] == REPEATED else x["n"] - 1 if x["fault"] != BLANK else 0 for x in held], [x["fault"] == CUT_OFF for x in held]
@@ -182,17 +183,29 @@ def chunks_of(turns: DataFrame) -> DataFrame:
             wrong = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])) + sum(x["n"] - 1 for x in held)
             row = [held[0]["c1"], held[0]["c2"], held[0]["part"], no, held[0]["conv_id"], [{k: x[k] for k in ("role", "text", "n")} for x in held], [{"shape": s, "cost": c, "audit": a} for s, (c, a, _) in cell.items()]]
             row += [min(known, default=None), max(known, default=None), len(set(known)), known[0] if known else None, known[-1] if known else None, *map(sum, counts), wrong, [initials[0], initials[-1]]]
+            done.append(row)
             no, size, held = no + 1, 0, []
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+        def told() -> pa.RecordBatch:
+            nonlocal told_size
+            out = pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*done), schema)], schema=schema)
+            done.clear()
+            told_size = 0
+            return out
 
         for b in batches:
             for x in b.to_pylist():
                 if held and (len(held) >= CHUNK or size > CHUNK_BYTES or (x["c1"], x["c2"]) != (held[-1]["c1"], held[-1]["c2"])):
-                    yield out()
+                    told_size += size
+                    finish()
+                    if len(done) >= CHUNK or told_size > CHUNK_BYTES:
+                        yield told()
                 held.append(x)
                 size += len(x["text"])
         if held:
-            yield out()
+            finish()
+        if done:
+            yield told()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -205,8 +218,7 @@ def chunks_of(turns: DataFrame) -> DataFrame:
 def verdicts(chunks: DataFrame) -> DataFrame:
     """One row per conversation: figures, cost, audit, and edits: part, no, audit and shape of each chunk."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (r["part"], r["no"]))
+    def verdict(rows: list[dict]) -> dict:
         cost, audit, shapes = chosen(combined([{e["shape"]: (e["cost"], e["audit"], (e["shape"],)) for e in r["cell"]} for r in rows]))
         cells = [{e["shape"]: e["audit"] for e in r["cell"]} for r in rows]
         edits = [{"part": r["part"], "no": r["no"], "audit": c[s], "shape": s} for r, c, s in zip(rows, cells, shapes)]
@@ -214,15 +226,28 @@ def verdicts(chunks: DataFrame) -> DataFrame:
         known = [r for r in rows if r["low"] is not None]
         distinct = sum(r["n_turns"] for r in known) - sum(a["high_end"] == b["low_end"] for a, b in zip(known, known[1:]))
         illegal = sum(r["illegal"] for r in rows) + sum(a["initials"][1] + b["initials"][0] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
-        out = {"c1": rows[0]["c1"], "c2": rows[0]["c2"], "gaps": high - low + 1 - distinct if known else 0, **{k: sum(r[k] for r in rows) for k in (BLANK, REPEATED, CUT_OFF)}, "illegal": illegal, "cost": cost, "audit": audit, "edits": edits}
-        return pa.Table.from_pylist([out], schema=schema)
+        return {"c1": rows[0]["c1"], "c2": rows[0]["c2"], "gaps": high - low + 1 - distinct if known else 0, **{k: sum(r[k] for r in rows) for k in (BLANK, REPEATED, CUT_OFF)}, "illegal": illegal, "cost": cost, "audit": audit, "edits": edits}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            done = []
+            for x in b.to_pylist():
+                if held and (x["c1"], x["c2"]) != (held[-1]["c1"], held[-1]["c2"]):
+                    done.append(verdict(held))
+                    held = []
+                held.append(x)
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([verdict(held)], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     ddl = f"c1 boolean, c2 string, gaps bigint, {BLANK} bigint, {REPEATED} bigint, {CUT_OFF} bigint, illegal bigint, cost bigint, audit string, edits array<struct<part:int,no:bigint,audit:string,shape:string>>"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return keep(chunks.drop("turns", "conv_id").groupBy("c1", "c2").applyInArrow(run, ddl))
+    rows = chunks.drop("turns", "conv_id").repartition("c1", "c2").sortWithinPartitions("c1", "c2", "part", "no")
+    return keep(rows.mapInArrow(run, ddl))
 
 
 def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,15 +267,11 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(b.num_rows):
-                row = b.slice(at, 1)
-                x = row.select(["turns", "audit", "shape", "part", "no"]).to_pylist()[0]
-                one = ((t["role"], t["text"]) for t in x["turns"] for _ in range(t["n"]))
-                left = list(apply_edits(one, x["audit"], x["shape"][:1]))
-                n = len(left)
-                same = [pa.array([v] * n, row.schema.field(c).type) for c in ("c1", "c2", "part", "no", "conv_id") for v in row.column(c).to_pylist()]
-                own = [pa.array(list(range(n)), pa.int64()), *(pa.array([y[k] for y in left], pa.string()) for k in range(3))]
-                yield pa.RecordBatch.from_arrays([*same, *own], names=["c1", "c2", "part", "no", "conv_id", "i", "role", "text", "edit"])
+            left = [list(apply_edits(((t["role"], t["text"]) for t in turns for _ in range(t["n"])), audit, shape[:1])) for turns, audit, shape in zip(*(b.column(c).to_pylist() for c in ("turns", "audit", "shape")))]
+            of = pa.array([i for i, x in enumerate(left) for _ in x], pa.int32())
+            own = [pa.array([i for x in left for i in range(len(x))], pa.int64()), *(pa.array([y[k] for x in left for y in x], pa.string()) for k in range(3))]
+            keys = ["c1", "c2", "part", "no", "conv_id"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in keys), *own], names=[*keys, "i", "role", "text", "edit"])
 
     return found, both.mapInArrow(run, f"c1 boolean, c2 string, part int, no bigint, conv_id {conv}, i bigint, role string, text string, edit string")
 
