@@ -9,10 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
+from pagequarry.functions.arrays import fold_append
 from pagequarry.functions.scans import scan_sorted
+from pagequarry.functions.tables import blocks_in_order, keep
 from pagequarry.operators.dedup import top_by
 from pagequarry.operators.links import page_index
 
+#: Rows of a block of a download plan.
+BUDGET_BLOCK = 20_000
+
 
 def route_downloads(cands: DataFrame) -> DataFrame:
     """action: none (downloaded), metadata (it failed there), download."""
@@ -20,34 +25,71 @@ def route_downloads(cands: DataFrame) -> DataFrame:
     return cands.withColumn("action", F.when(F.col("status") == "downloaded", "none").when(failed_meta, "metadata").otherwise("download"))
 
 
-def plan_budget(df: DataFrame, max_bytes: int) -> DataFrame:
+def plan_budget(df: DataFrame, max_bytes: int, rows: int = BUDGET_BLOCK) -> DataFrame:
     """df (job_id, seq, file_size) with keep: in order of seq, a row is kept if it still fits into the job's budget; unknown
     sizes always are and count nothing. A skipped row leaves room for later ones, so this is a fold, not a running sum.
 
-    A running sum of all sizes first settles the jobs that fit as a whole. The rows of the others are sorted by job and seq and
-    pass once, with one number as state, so a job may be of any length.
+    Jobs that fit as a whole are settled by their sums. The others' rows are dealt into blocks of about `rows` in order; a block's
+    sum and smallest size tell, with what is left before it, whether it fits as a whole or not at all. Only where neither
+    holds are its rows gone through, one such block of each job a round, to learn what is left after it. Such blocks are few: each
+    takes from the budget until nothing that it holds fits. At last every block is decided by itself, side by side with all
+    others, from what is left before it; so a job of any length is spread over tasks. Rows that agree in job_id and seq come in any
+    order; a null job is a job.
     """
     size = F.coalesce(F.col("file_size"), F.lit(0)).cast("long")
     total = df.groupBy("job_id").agg(F.sum(size).alias("_total"))
     known = df.join(total.withColumnRenamed("job_id", "_job"), F.col("job_id").eqNullSafe(F.col("_job")))
     fits = known.where(F.col("_total") <= max_bytes).select(*df.columns, F.lit(True).alias("keep"))
+    over = known.where(F.col("_total") > max_bytes).select(*df.columns, size.alias("_size"), F.struct("job_id").alias("_key"))
+    dealt = blocks_in_order(over, ["job_id", "seq"], rows, "_block")
+    own = F.when(F.col("_size") <= max_bytes, F.col("_size"))  # what is larger never counts
+    sums = keep(dealt.groupBy("_key", "_block").agg(F.coalesce(F.sum(own), F.lit(0)).alias("total"), F.min(F.when(own > 0, own)).alias("least")))
+    opened = None
+    while True:
+        told = sums.withColumn("after", F.lit(None).cast("long")) if opened is None else sums.join(opened, ["_key", "_block"], "left")
+        before = keep(_left_before(told, max_bytes))
+        due = before.where("stuck").select("_key", "_block", "left")
+        if due.isEmpty():
+            break
+        through = dealt.select("_key", "_block", "seq", "_size").join(due, ["_key", "_block"]).groupBy("_key", "_block").agg(F.array_sort(F.collect_list(F.struct("seq", "_size"))).alias("r"), F.first("left").alias("left"))
+        after = F.aggregate("r", F.col("left"), lambda left, x: F.when(x["_size"] <= left, left - x["_size"]).otherwise(left))
+        opened = keep(through.select("_key", "_block", after.alias("after")) if opened is None else opened.unionByName(through.select("_key", "_block", after.alias("after"))))
 
     def decide() -> Callable[[tuple], bool]:
-        left = max_bytes
+        left = None
 
         def one(row: tuple) -> bool:
             nonlocal left
+            left = row[1] if left is None else left
             keep = row[0] <= left
             left -= row[0] if keep else 0
             return keep
 
         return one
 
-    over = known.where(F.col("_total") > max_bytes).select(*df.columns, size.alias("_size"))
-    decided = scan_sorted(over, ["job_id"], ["seq"], ["_size"], decide, "keep", "boolean")
+    started = dealt.join(before.select("_key", "_block", "left"), ["_key", "_block"])
+    decided = scan_sorted(started, ["_key", "_block"], ["seq"], ["_size", "left"], decide, "keep", "boolean")
     return fits.unionByName(decided.select(*df.columns, "keep"))
 
 
+def _left_before(sums: DataFrame, max_bytes: int) -> DataFrame:
+    """_key, _block, left, stuck: what is left of a job's budget before each block of sums (_key, _block, total, least, after), up to
+    the first block that has to be gone through. after: what is left after it, if that is known. One row of three numbers per block."""
+    row = F.struct("_block", "total", "least", "after")
+    state = F.struct(F.lit(max_bytes).cast("long").alias("left"), F.lit(False).alias("stuck"))
+
+    def step(s, x):
+        whole, none = x["total"] <= s["left"], x["least"].isNull() | (x["least"] > s["left"])
+        after = F.coalesce(x["after"], F.when(whole, s["left"] - x["total"]).when(none, s["left"]))
+        stuck = s["stuck"] | after.isNull()
+        out = F.struct(x["_block"].alias("_block"), s["left"].alias("left"), after.isNull().alias("stuck"))
+        said = F.when(s["stuck"], F.array().cast("array<struct<_block:int,left:bigint,stuck:boolean>>")).otherwise(F.array(out))
+        return F.struct(F.coalesce(after, s["left"]).alias("left"), stuck.alias("stuck")), said
+
+    told = sums.groupBy("_key").agg(F.array_sort(F.collect_list(row)).alias("b"))
+    return told.select("_key", F.explode(fold_append(F.col("b"), state, step, "struct<_block:int,left:bigint,stuck:boolean>")).alias("x")).select("_key", "x.*")
+
+
 def plan_until_total(df: DataFrame, max_bytes: int) -> DataFrame:
     """df with keep: true until the rows before hold more than max_bytes."""
     before = F.sum(F.coalesce(F.col("file_size"), F.lit(0))).over(W.partitionBy("job_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))

@@ -5,12 +5,11 @@ Pages with media are made from orders, one element of each kind to a page, so th
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
+from pagequarry.functions.tables import new_path
 from pagequarry.operators import dedup, downloads, html, links, manifests, metadata
 from pagequarry.plans import catalog, fixtures
 from pagequarry.plans.catalog import _CANON, _EDGES, _JOBS, _MIME, _ONE, _PATHQ, _SIZE, _domain, _edges, _ext, _first_sql, _jobs, _pages, _register, _responses, _robots
@@ -19,12 +18,6 @@ from pagequarry.sources import sinks
 from pagequarry.streaming import jobs
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder}/files-{uuid.uuid4().hex}"
-
-
 # --- images and videos of pages
 
 _MEDIA = "SELECT page_id, url, regexp_extract(url, '^(https://[^/]+)', 1) AS o, CAST(page_id AS STRING) AS k FROM media_pages"
@@ -266,21 +259,21 @@ def _(spark, d):
 
 @_register("url_list_file", "SELECT image_url AS value FROM images WHERE selected", "images")
 def _(spark, d):
-    path = scratch(spark)
+    path = new_path(spark)
     sinks.write_url_list(view(spark, d, "images"), path)
     return spark.read.text(path)
 
 
 @_register("csv_file", "SELECT image_url, source_page_url, CAST(width AS VARCHAR) AS width, CAST(file_size AS VARCHAR) AS file_size, extension, status FROM images", "images")
 def _(spark, d):
-    path = scratch(spark)
+    path = new_path(spark)
     sinks.write_candidates_csv(view(spark, d, "images"), path)
     return spark.read.option("header", True).csv(path).select("image_url", "source_page_url", "width", "file_size", "extension", "status")
 
 
 @_register("json_file", "SELECT CAST(seq AS VARCHAR) AS id, image_url, width, mime_type FROM images", "images")
 def _(spark, d):
-    path = scratch(spark)
+    path = new_path(spark)
     sinks.write_candidates_json(view(spark, d, "images").withColumn("id", F.col("seq").cast("string")), path)
     return spark.read.schema("id string, image_url string, width long, mime_type string").json(path)
 
@@ -289,7 +282,7 @@ def _(spark, d):
 def _(spark, d):
     from pagequarry.sources import readers
 
-    path = scratch(spark)
+    path = new_path(spark)
     sinks.save_snapshot({"candidates": view(spark, d, "images").select("job_id", "seq", "image_url", "selected", "status", "fingerprint")}, path)
     return readers.restore_snapshot(spark, path)["candidates"].select(F.col("job_id").cast("long").alias("job_id"), "seq", "selected", "status")
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagequarry.functions.scans import scan_sorted
+from pagequarry.functions.tables import blocks_in_order
 from pagequarry.operators import netlog, reports
 
 
@@ -51,53 +51,83 @@ def within_observation_window(events: DataFrame, scans: DataFrame, window_ms: in
     return met.drop("started_at") if events.isStreaming else met.groupBy("page_id", "url").agg(F.min("ts").alias("ts"))
 
 
-def _next_factor(factor: float, status: int | None, most: float) -> float:
-    if status is None or status != status:
-        factor *= 1.4
-    elif status in (429, 503):
-        factor *= 2
-    elif 200 <= status < 400:
-        factor = max(factor * 0.75, 1.0)
-    return min(factor, most)
+#: Events of a block, blocks that are combined at once.
+BACKOFF_BLOCK, FAN = 20_000, 1_000
 
 
-def backoff(events: DataFrame, min_delay: float, max_backoff: float) -> DataFrame:
-    """Per job and kind, the back-off factor after all events (seq, status; null: network error) and the delay it gives.
+def _step(status: Column, most: float) -> Column:
+    """What an event does to the factor, as the map x -> least(high, greatest(low, times * x))."""
+    times = F.when(status.isNull(), 1.4).when(status.isin(429, 503), 2.0).when(status.between(200, 399), 0.75).otherwise(1.0)
+    low = F.when(status.between(200, 399), 1.0).otherwise(0.0)
+    return F.struct(times.alias("times"), F.least(low, F.lit(most)).alias("low"), F.lit(most).alias("high"))
 
-    429 and 503 double it, a network error makes it 1.4 times as large, success takes a quarter off, not below 1; the most
-    is max_backoff / min_delay. A key's events are sorted by seq and pass once, with one number as state; the factor of the
-    last one is the result.
-    """
-    most = max(max_backoff / max(min_delay, 1.0), 1.0)
 
-    def begin() -> Callable[[tuple], float]:
-        factor = 1.0
+def _clamp(m: Column, x: Column) -> Column:
+    return F.least(m["high"], F.greatest(m["low"], m["times"] * x))
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The map that applies one after the other: such maps are closed under this, whatever their number."""
+    return F.struct((second["times"] * first["times"]).alias("times"), _clamp(second, first["low"]).alias("low"), _clamp(second, first["high"]).alias("high"))
+
+
+def _composed(maps: Column, most: float) -> Column:
+    """The maps of an array (place first, m), one after the other, as one."""
+    same = F.struct(F.lit(1.0).alias("times"), F.lit(0.0).alias("low"), F.lit(most).alias("high"))
+    return F.aggregate(F.array_sort(maps), same, lambda acc, x: _then(acc, x["m"]))
+
 
-        def one(row: tuple) -> float:
-            nonlocal factor
-            factor = _next_factor(factor, row[0], most)
-            return factor
+def backoff_maps(events: DataFrame, most: float, rows: int = BACKOFF_BLOCK, fan: int = FAN) -> DataFrame:
+    """job_id, kind, m: all events of a key (seq, status) as one map. Blocks of about `rows` events in order of seq are folded side by
+    side, and their maps combined in a tree, `fan` at once; so a key of any length is spread over tasks. Events that agree in seq
+    go by status, nulls first, within a block."""
+    keys = ["job_id", "kind"]
+    some = events.select(*keys, "seq", F.when(~F.isnan(F.col("status").cast("double")), F.col("status")).cast("int").alias("status"))
+    dealt = blocks_in_order(some, [*keys, "seq", "status"], rows)
+    maps = dealt.groupBy(*keys, "block").agg(_composed(F.collect_list(F.struct("seq", "status", _step(F.col("status"), most).alias("m"))), most).alias("m"))
+    blocks = max(1, dealt.agg(F.max("block")).first()[0] or 0) + 1
+    while blocks > 1:
+        blocks = -(-blocks // fan)
+        maps = maps.groupBy(*keys, F.floor(F.col("block") / fan).cast("int").alias("block")).agg(_composed(F.collect_list(F.struct(F.col("block").alias("at"), "m")), most).alias("m"))
+    return maps.select(*keys, "m")
 
-        return one
 
-    passed = scan_sorted(events.select("job_id", "kind", "seq", "status"), ["job_id", "kind"], ["seq"], ["status"], begin, "factor", "double")
-    out = passed.groupBy("job_id", "kind").agg(F.max_by("factor", "seq").alias("factor"))
-    return out.withColumn("delay_ms", F.least(F.greatest(F.col("factor") * min_delay, F.lit(float(min_delay))), F.lit(float(max_backoff))))
+def _delay(factor: Column, min_delay: float, max_backoff: float) -> Column:
+    return F.least(F.greatest(factor * min_delay, F.lit(float(min_delay))), F.lit(float(max_backoff)))
+
+
+def backoff(events: DataFrame, min_delay: float, max_backoff: float, rows: int = BACKOFF_BLOCK) -> DataFrame:
+    """Per job and kind, the back-off factor after all events (seq, status; null: network error) and the delay it gives.
+
+    429 and 503 double it, a network error makes it 1.4 times as large, success takes a quarter off, not below 1; the most
+    is max_backoff / min_delay. Nothing is kept of single events but what backoff_maps() makes of them.
+    """
+    most = max(max_backoff / max(min_delay, 1.0), 1.0)
+    factor = _clamp(F.col("m"), F.lit(1.0))
+    return backoff_maps(events, most, rows).select("job_id", "kind", factor.alias("factor"), _delay(factor, min_delay, max_backoff).alias("delay_ms"))
 
 
 def backoff_stream(events: DataFrame, min_delay: float, max_backoff: float) -> DataFrame:
-    """The streaming twin: the factor after each micro-batch, per job and kind; state is one number per key."""
+    """The streaming twin: the factor after each micro-batch, per job and kind; state is the map of all events so far, three
+    numbers per key. A micro-batch's events of a key are taken in order of seq."""
     most = max(max_backoff / max(min_delay, 1.0), 1.0)
 
+    def step(status: float | None) -> tuple[float, float]:
+        if status is None or status != status:
+            return 1.4, 0.0
+        return (2.0, 0.0) if status in (429, 503) else (0.75, 1.0) if 200 <= status < 400 else (1.0, 0.0)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        factor = state.get[0] if state.exists else 1.0
-        rows = pd.concat(list(frames)).sort_values("seq")
+        times, low, high = state.get if state.exists else (1.0, 0.0, most)
+        rows = pd.concat([f[["seq", "status"]] for f in frames]).sort_values("seq")
         for s in rows["status"]:
-            factor = _next_factor(factor, s, most)
-        state.update((factor,))
+            a, least = step(s)
+            times, low, high = a * times, min(most, max(least, a * low)), min(most, max(least, a * high))
+        state.update((times, low, high))
+        factor = min(high, max(low, times))
         yield pd.DataFrame({"job_id": [key[0]], "kind": [key[1]], "factor": [factor], "delay_ms": [min(max(factor * min_delay, min_delay), max_backoff)]})
 
-    return events.groupBy("job_id", "kind").applyInPandasWithState(run, "job_id long, kind string, factor double, delay_ms double", "factor double", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job_id", "kind").applyInPandasWithState(run, "job_id long, kind string, factor double, delay_ms double", "times double, low double, high double", "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_logs(logs: DataFrame, level: str = "info", categories: list[str] | None = None, q: str = "") -> DataFrame:
