@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
+from pagequarry.functions.arrays import sums_before
 from pagequarry.functions.text import iso_duration_seconds
 
-#: Segments of a playlist and of a representation that are read; each operator takes another number, or None for all.
+#: The usual ceilings for segments of a playlist and of a representation; operators read all unless they are given one.
 MAX_HLS, MAX_DASH = 120_000, 20_000
+#: Segments that one row is expanded to at once.
+_PIECE = 10_000
 
 
 def hls_lines(manifests: DataFrame) -> DataFrame:
@@ -37,17 +40,22 @@ def _absolute(df: DataFrame, raw: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(http, r).otherwise(urls.resolve(F.when(~http, r), F.col("url"), keep_fragment=True)))
 
 
-_STREAM = r"(?m)^(#EXT-X-STREAM-INF[^\n]*)(?=(?:\n(?:#[^\n]*)?)*\n([^#\n][^\n]*))"
+#: Lines of a master that are a variant's tag or no tag; no group is repeated, so a playlist may have any number of lines.
+_STREAM = r"(?dm)^(#EXT-X-STREAM-INF[^\n]*+|[^#\n][^\n]*+)$"
 _AUDIO = r"(?im)^(#EXT-X-MEDIA:[^\n]*TYPE=AUDIO[^\n]*)$"
 
 
 def _hls_entries(manifests: DataFrame) -> DataFrame:
     """url, kind (0 variant, 1 sound), no, line, abs: the entries of master playlists in one pass over their text, with their
-    URLs resolved. A variant's URL is the next line that is no tag."""
+    URLs resolved. A variant's URL is the next line that is no tag: the one with the number of such lines before it."""
     ok = manifests.where(F.col("body").rlike("(?i)^#EXTM3U"))
     b = F.col("lines")
     ok = ok.select("url", F.regexp_replace("body", r"[ \t]*\r?\n[ \t]*", "\n").alias("lines"))
-    stream = F.arrays_zip(F.regexp_extract_all(b, F.lit(_STREAM), F.lit(1)).alias("line"), F.regexp_extract_all(b, F.lit(_STREAM), F.lit(2)).alias("raw"))
+    ok = ok.select("url", "lines", F.regexp_extract_all(b, F.lit(_STREAM), F.lit(1)).alias("stream"))
+    is_tag = lambda x: x.startswith("#")
+    ok = ok.withColumns({"plain": F.filter("stream", lambda x: ~is_tag(x)), "before": sums_before(F.transform("stream", lambda x: (~is_tag(x)).cast("long")))})
+    tagged = F.filter(F.arrays_zip(F.col("stream").alias("line"), F.col("before").alias("before")), lambda x: is_tag(x["line"]))
+    stream = F.transform(tagged, lambda x: F.struct(x["line"].alias("line"), F.get("plain", x["before"].cast("int")).alias("raw")))
     sound = F.regexp_extract_all(b, F.lit(_AUDIO), F.lit(1))
     entry = lambda kind, i, line, raw: F.struct(F.lit(kind).alias("kind"), i.alias("no"), line.alias("line"), raw.alias("raw"))
     both = F.concat(F.transform(stream, lambda x, i: entry(0, i, x["line"], x["raw"])), F.transform(sound, lambda x, i: entry(1, i, x, attribute(x, "URI"))))
@@ -103,8 +111,8 @@ def hls_variants(manifests: DataFrame) -> DataFrame:
     return rows.select("url", "variant_no", *[told.get(n, F.col(f"v.{n}")).alias(n) for n in _VARIANT], own.alias("audio_url"), "is_audio_only")
 
 
-def parse_hls_media(manifests: DataFrame, most: int | None = MAX_HLS) -> DataFrame:
-    """At most `most` rows of each (None: all): url, seg_no, seg_url, duration, seq, is_init, key_method, key_uri, key_iv, range_start, range_length of media playlists.
+def parse_hls_media(manifests: DataFrame, most: int | None = None) -> DataFrame:
+    """All rows of each, or `most` at most: url, seg_no, seg_url, duration, seq, is_init, key_method, key_uri, key_iv, range_start, range_length of media playlists.
 
     The key in force is the last key tag's; METHOD=NONE ends it. A range without offset goes on where the one before ended;
     a segment without range starts over. A map tag gives a row (duration 0, seq -1) before the next segment.
@@ -284,19 +292,26 @@ def _with_init(reps: DataFrame, rows: DataFrame) -> DataFrame:
     return init.unionByName(rows.where("media_url is not null").select("url", "rep_id", "seg_no", F.lit(False).alias("is_init"), "seg_url"))
 
 
-def dash_segments(reps: DataFrame, most: int | None = MAX_DASH) -> DataFrame:
+def _numbered(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row of df n times, name numbering its copies from 1; in two steps, so that no array is long."""
+    pieces = df.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _PIECE))).alias("_piece"))
+    one = F.sequence(F.col("_piece") * _PIECE + 1, F.least(F.col("_n"), (F.col("_piece") + 1) * _PIECE))
+    return pieces.select(*df.columns, F.explode(one).alias(name))
+
+
+def dash_segments(reps: DataFrame, most: int | None = None) -> DataFrame:
     """url, rep_id, seg_no, is_init, seg_url by duration and start number: an init row, then one per started duration of the
-    period, `most` at most (None: all); one if the period's length is unknown."""
+    period, `most` at most if that is given; one if the period's length is unknown."""
     r = _templates(_spread(reps.where("init is not null and media is not null and timeline is null and seg_duration > 0")))
     step = F.col("seg_duration") / F.col("timescale")
-    total = F.when(F.col("period_duration") > 0, F.ceil(F.col("period_duration") / step)).otherwise(1).cast("int")
-    rows = r.select("*", F.explode(F.sequence(F.lit(1), total if most is None else F.least(total, F.lit(most)))).alias("seg_no"))
+    total = F.when(F.col("period_duration") > 0, F.ceil(F.col("period_duration") / step)).otherwise(1).cast("long")
+    rows = _numbered(r, total if most is None else F.least(total, F.lit(most)), "seg_no").withColumn("seg_no", F.col("seg_no").cast("int"))
     number = F.col("start_number") + F.col("seg_no") - 1
     filled = _segment_url(number, F.floor((number - 1) * step + 0.5))
     return _with_init(r, rows.withColumn("seg_url", filled))
 
 
-def dash_timeline_segments(reps: DataFrame, most: int | None = MAX_DASH) -> DataFrame:
+def dash_timeline_segments(reps: DataFrame, most: int | None = None) -> DataFrame:
     """The same from a timeline: entries S with t (start), d (duration), r (repeats; below 0 counts as 0)."""
     r = _templates(_spread(reps.where("init is not null and media is not null and timeline is not null")))
     s = r.select("*", F.posexplode(F.regexp_extract_all("timeline", F.lit(r"(?is)<S\b([^>]*?)/?>"), F.lit(1))).alias("s_no", "s"))
@@ -309,7 +324,7 @@ def dash_timeline_segments(reps: DataFrame, most: int | None = MAX_DASH) -> Data
     start = F.coalesce(F.first("t").over(run), F.lit(0)) + F.coalesce(F.sum("whole").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r") + 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumns({"start": start, "before": before}).where("d > 0")
-    k = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r"))).alias("k"))
+    k = _numbered(s, F.col("r") + 1, "k").withColumn("k", F.col("k") - 1)
     k = k.withColumn("seg_no", (F.col("before") + F.col("k") + 1).cast("int"))
     filled = _segment_url(F.col("seg_no"), F.col("start") + F.col("k") * F.col("d"))
     return _with_init(r, (k if most is None else k.where(F.col("seg_no") <= most)).withColumn("seg_url", filled))
