@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
+from pagequarry.sources import heads
 
-MAX_PAGE, HEAD = 8 << 20, 65536
+MAX_PAGE, HEAD = 8 << 20, heads.HEAD
 
 
 def read_pages(spark: SparkSession, path: str, max_body: int | None = None) -> DataFrame:
@@ -29,10 +30,10 @@ def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("body"))
 
 
-def read_media_heads(spark: SparkSession, glob: str, n: int = HEAD) -> DataFrame:
-    """url (the file), size, body: the first n bytes of each file."""
-    files = spark.read.format("binaryFile").load(glob)
-    return files.select(F.col("path").alias("url"), F.col("length").alias("size"), F.substring("content", 1, n).alias("body"))
+def read_media_heads(spark: SparkSession, path: str, n: int = HEAD, offset: int = 0) -> DataFrame:
+    """url (the file), size, body: n bytes of each file, from an offset on; no more is read of it."""
+    spark.dataSource.register(heads.MediaHeads)
+    return spark.read.format("media_heads").option("n", n).option("offset", offset).load(path)
 
 
 def restore_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -8,9 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagequarry.functions.tables import blocks_in_order
 from pagequarry.operators import netlog, reports
@@ -25,21 +29,80 @@ def apply_patches(patches: DataFrame, known: DataFrame | None = None, fields: li
     return some.groupBy("id").agg(*last)
 
 
-def upsert_stream(patches: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str):
-    """Merges each micro-batch of patches into a table: read() gives it (None at first), write() replaces it."""
+class _Upsert(StatefulProcessor):
+    """Keeps the fields of each known id; a micro-batch touches the ids of its patches only."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        old = read()
-        rows = batch if old is None else old.withColumns({"ts": F.lit(0).cast(batch.schema["ts"].dataType), "seq": F.lit(-1).cast(batch.schema["seq"].dataType)}).unionByName(batch, allowMissingColumns=True)
-        write(apply_patches(rows))
+    def __init__(self, key: str, fields: list[str], schema: StructType):
+        self.key, self.fields = key, fields
+        self.kept = StructType([schema[c] for c in fields] + [StructField("_patches", LongType())])
 
-    return patches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("row", self.kept)
+
+    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timer) -> None:
+        self.state.update((*self._row(initial.iloc[-1:])[0], 0))
+
+    def _row(self, frame: pd.DataFrame) -> list[tuple]:
+        """Rows of the fields, with None for what is missing."""
+        return list(zip(*[pa.array(frame[c], t.type, from_pandas=True).to_pylist() for c, t in zip(self.fields, self.arrow())]))
+
+    def arrow(self) -> pa.Schema:
+        return to_arrow_schema(StructType(self.kept.fields[:-1]))
+
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return  # a patch of an unknown id
+        *now, n = self.state.get()
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
+        for patch in self._row(rows):
+            now = [b if b is not None else a for a, b in zip(now, patch)]
+        n += len(rows)
+        self.state.update((*now, n))
+        columns = [pa.array([key[0]]), *(pa.array([v], t.type) for v, t in zip(now, self.arrow())), pa.array([n], pa.int64())]
+        yield pa.Table.from_arrays(columns, names=[self.key, *self.fields, "patches"]).to_pandas(types_mapper=_nullable)
+
+    def close(self) -> None:
+        pass
+
+
+def _nullable(kind: pa.DataType):
+    """Whole numbers and flags stay what they are beside nulls."""
+    return {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}.get(kind)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def upsert_stream(patches: DataFrame, known: DataFrame) -> DataFrame:
+    """A stream of rows as they become: id, the fields of known, patches (how many it has had), one row per id and micro-batch.
+
+    known (id, fields) is the state at the start; patches (id, ts, seq, fields) of other ids are ignored; a null leaves a field as
+    it is. Within a micro-batch, patches go by ts and seq. The state is one row per known id, in a state store that needs the
+    session's spark.sql.streaming.stateStore.providerClass to be RocksDB's (run_to_end() sees to it).
+    """
+    fields = [c for c in known.columns if c != "id"]
+    out = StructType([known.schema["id"], *(known.schema[c] for c in fields), StructField("patches", LongType())])
+    rows = patches.select("id", "ts", "seq", *fields)
+    return rows.groupBy("id").transformWithStateInPandas(_Upsert("id", fields, known.schema), out, "Append", "None", known.groupBy("id"))
+
+
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream over all that is there, appending its rows to Parquet files. With the checkpoint of an earlier run it goes on
+    where that one ended, and what was written then is not written again."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def stream_candidates(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """New media candidates of a request stream, one per tab and storage key, when first seen."""
     c = netlog.network_candidates(netlog.filter_network_log(requests))
-    return c.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tab_id", "storage_key"])
+    return c.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tab_id", "storage_key"])
 
 
 def within_observation_window(events: DataFrame, scans: DataFrame, window_ms: int) -> DataFrame:
@@ -133,3 +196,17 @@ def backoff_stream(events: DataFrame, min_delay: float, max_backoff: float) -> D
 def stream_logs(logs: DataFrame, level: str = "info", categories: list[str] | None = None, q: str = "") -> DataFrame:
     """A log stream, filtered as filter_logs() does; to be appended."""
     return reports.filter_logs(logs, level, categories, q)
+
+
+def append_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch to a folder of its own number, in place of what is there: a batch that is played again changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def append_logs(logs: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends a log stream to path to its end, each line once whatever fails in between."""
+    logs.writeStream.foreachBatch(append_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

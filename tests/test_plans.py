@@ -113,13 +113,3 @@ def test_streams_match_their_twins(spark, tmp_path):
     logs = spark.createDataFrame([("info", "c", "m", None), ("debug", "c", "m", None)], "level string, category string, message string, ref string")
     logs.write.parquet(str(tmp_path / "l"))
     assert _drain(jobs.stream_logs(spark.readStream.schema(logs.schema).parquet(str(tmp_path / "l"))), "logs").count() == 1
-
-
-def test_upserts(spark, tmp_path):
-    p = spark.createDataFrame([(1, "2024-01-01 00:00:01", 1, 5, None), (1, "2024-01-01 00:00:02", 2, None, "x"), (2, "2024-01-01 00:00:01", 3, 7, None)], "id long, t string, seq long, width int, status string").select("id", F.to_timestamp("t").alias("ts"), "seq", "width", "status")
-    p.write.parquet(str(tmp_path / "p"))
-    out: list = []
-    q = jobs.upsert_stream(spark.readStream.schema(p.schema).parquet(str(tmp_path / "p")), lambda: out[-1] if out else None, lambda df: out.append(spark.createDataFrame(df.collect(), df.schema)), str(tmp_path / "c"))
-    q.awaitTermination(120)
-    assert {tuple(r) for r in out[-1].select("id", "width", "status").collect()} == {(1, 5, "x"), (2, 7, None)}
-    assert {tuple(r) for r in jobs.apply_patches(p).select("id", "width", "status").collect()} == {(1, 5, "x"), (2, 7, None)}
