@@ -31,13 +31,13 @@ def _register(name: str, sql: str | None = None, views: str = "") -> Callable[[Q
 
 
 def queries() -> dict[str, Query]:
-    from pagequarry.plans import file_queries, media_queries  # noqa: F401  they register themselves
+    from pagequarry.plans import file_queries, media_queries, site_queries  # noqa: F401  they register themselves
 
     return dict(media_queries.registered()[0])
 
 
 def oracle_sql() -> dict[str, str]:
-    from pagequarry.plans import file_queries, media_queries  # noqa: F401  they register themselves
+    from pagequarry.plans import file_queries, media_queries, site_queries  # noqa: F401  they register themselves
 
     return dict(media_queries.registered()[1])
 
