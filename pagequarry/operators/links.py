@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
+from pagequarry.functions.tables import keep
 from pagequarry.operators.dedup import top_by
 
 SKIP = r"(?i)^(#|javascript:|mailto:|tel:|sms:|data:|blob:|file:|ftp:|chrome:|about:|edge:|vbscript:)"
@@ -93,15 +94,22 @@ def _rule_regex(pattern: Column) -> Column:
 def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """pages with allowed: the longest matching rule of the origin decides, an allow among equals; none: allowed.
 
-    A literal rule is as long as its text; one with * matches to the end of the path, so the path's length counts.
+    A literal rule is as long as its text; one with * matches to the end of the path, so the path's length counts. Literal rules
+    are met by equal texts: a path is cut at the lengths that its origin's rules have, and the pieces are joined with the rules, so
+    that the rules of a host, however many, never meet all its URLs. Only rules with * or $ are held against every path.
     """
     ask = pages.select(F.col(url).alias("_u")).distinct().withColumn("origin", urls.origin_of(F.col("_u")))
     path = F.concat(urls.path_of(F.col("_u")), F.regexp_extract("_u", r"(\?[^#]*)", 1))
     ask = ask.withColumn("path", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
-    own = rules.where("kind in ('allow', 'disallow') and pattern <> ''").select("origin", "kind", "pattern", _rule_regex(F.col("pattern")).alias("rx"), F.col("pattern").rlike(r"\*|\$$").alias("wild"))
-    met = ask.join(own, "origin").where(F.when(F.col("wild"), F.expr("regexp_like(path, rx)")).otherwise(F.expr("startswith(path, pattern)")))
-    length = F.when(F.col("wild"), F.expr("length(regexp_extract(path, rx, 0))")).otherwise(F.length("pattern"))
-    best = met.groupBy("_u").agg(F.max(F.struct(length.alias("n"), (F.col("kind") == "allow").alias("allow"))).alias("b"))
+    own = rules.where("kind in ('allow', 'disallow') and pattern <> ''").withColumn("wild", F.col("pattern").rlike(r"\*|\$$"))
+    each = own.groupBy("origin", "pattern", "wild").agg(F.bool_or(F.col("kind") == "allow").alias("allow"))
+    literal, wild = each.where("not wild"), each.where("wild").withColumn("rx", _rule_regex(F.col("pattern")))
+    lengths = literal.groupBy("origin").agg(F.collect_set(F.length("pattern")).alias("lengths"))
+    cuts = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    pieces = ask.join(lengths, "origin").select("_u", "origin", F.explode(cuts).alias("pattern"))
+    met = pieces.join(literal, ["origin", "pattern"]).select("_u", F.length("pattern").alias("n"), "allow")
+    wildly = ask.join(wild, "origin").where(F.expr("regexp_like(path, rx)")).select("_u", F.expr("length(regexp_extract(path, rx, 0))").alias("n"), "allow")
+    best = met.unionByName(wildly).groupBy("_u").agg(F.max(F.struct("n", "allow")).alias("b"))
     return pages.join(best.select(F.col("_u").alias(url), F.col("b.allow").alias("allowed")), url, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
@@ -109,18 +117,26 @@ def is_html_content_type(c: Column) -> Column:
     return c.isNull() | (c == "") | F.lower(c).rlike(r"text/html|application/xhtml|^text/")
 
 
-def expand_frontier(edges: DataFrame, jobs: DataFrame, rules: DataFrame | None = None, scope: str = "all", max_depth: int = MAX_DEPTH, cut=lambda df: df) -> DataFrame:
-    """job_id, url, depth of the pages that a job reaches from its root_url over edges (src_url, dst_url).
+def expand_frontier(edges: DataFrame, jobs: DataFrame, rules: DataFrame | None = None, scope: str = "all", max_depth: int = MAX_DEPTH, max_pages: int | None = None, cut=keep) -> DataFrame:
+    """job_id, url, depth of the pages that a job reaches from its root_url over edges (src_url, dst_url and, where there is an order
+    of arrival, seq).
 
-    Links of one level that are in scope, not seen before and allowed make the next; there are at most max_depth rounds.
-    cut may write each round to a table to shorten the lineage.
+    Links of one level that are in scope, not seen before and allowed make the next; there are at most max_depth rounds. With
+    max_pages, a job's pages are taken level by level in order of arrival, then URL, and what robots rules reject holds its
+    place; the root counts. cut writes the links once and each level to a table, so that a level reads the last one only.
     """
-    links = edges.select(urls.canonical_url(F.col("src_url")).alias("src"), urls.canonical_url(F.col("dst_url")).alias("dst")).distinct()
-    level = jobs.select("job_id", urls.canonical_url(F.col("root_url")).alias("url"), F.lit(0).alias("depth"))
-    seen = level
+    order = [F.min("seq").alias("seq")] if "seq" in edges.columns else [F.lit(0).alias("seq")]
+    links = cut(edges.groupBy(urls.canonical_url(F.col("src_url")).alias("src"), urls.canonical_url(F.col("dst_url")).alias("dst")).agg(*order))
+    level = cut(jobs.select("job_id", urls.canonical_url(F.col("root_url")).alias("url"), F.lit(0).alias("depth")))
+    seen, places = level, level.groupBy("job_id").agg(F.count("*").alias("taken"))
     for depth in range(1, max_depth + 1):
-        reached = level.join(links, level["url"] == links["src"]).select("job_id", F.col("dst").alias("url")).distinct()
+        reached = level.join(links, level["url"] == links["src"]).groupBy("job_id", F.col("dst").alias("url")).agg(F.min("seq").alias("seq"))
         new = in_scope(reached, jobs, scope, "url").join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
+        if max_pages is not None:
+            first = top_by(new, ["job_id"], [F.col("seq"), F.col("url")], max_pages)  # so many rows of a job at most
+            number = F.row_number().over(W.partitionBy("job_id").orderBy("seq", "url"))
+            new = cut(first.withColumn("number", number).join(places, "job_id").where(F.col("number") + F.col("taken") <= max_pages).select("job_id", "url", "seq"))
+            places = cut(places.unionByName(new.groupBy("job_id").agg(F.count("*").alias("taken"))).groupBy("job_id").agg(F.sum("taken").alias("taken")))
         if rules is not None:
             new = robots_allowed(new, rules).where("allowed").drop("allowed")
         level = cut(new.select("job_id", "url", F.lit(depth).alias("depth")))

@@ -224,6 +224,18 @@ def _(spark, d):
     return links.expand_frontier(_edges(pages), _jobs(pages), links.parse_robots(_robots(spark, d)), "site")
 
 
+@_register(
+    "frontier_capped",
+    f"""WITH {_EDGES}, {_JOBS}, e AS (SELECT DISTINCT {_CANON('src_url')} AS s, {_CANON('dst_url')} AS t FROM edges), r AS (SELECT job_id, {_CANON('root_url')} AS url FROM jobs),
+a AS (SELECT * FROM (SELECT job_id, t AS url, row_number() OVER (PARTITION BY job_id ORDER BY t) AS n FROM (SELECT DISTINCT job_id, t FROM r JOIN e ON e.s = r.url WHERE t <> r.url)) WHERE n <= 4),
+b AS (SELECT * FROM (SELECT job_id, t AS url, row_number() OVER (PARTITION BY job_id ORDER BY t) + (SELECT count(*) FROM a x WHERE x.job_id = y.job_id) AS n FROM (SELECT DISTINCT job_id, t FROM a JOIN e ON e.s = a.url WHERE (job_id, t) NOT IN (SELECT job_id, url FROM a UNION ALL SELECT job_id, url FROM r)) y) WHERE n <= 4)
+SELECT job_id, url, 0 AS depth FROM r UNION ALL SELECT job_id, url, 1 FROM a UNION ALL SELECT job_id, url, 2 FROM b""",
+)
+def _(spark, d):
+    pages = _pages(spark, d)
+    return links.expand_frontier(_edges(pages), _jobs(pages), max_pages=5)
+
+
 @_register("visited_pages", _first_sql("(SELECT job_id, seq, source_page_url AS url, CASE WHEN seq % 5 <> 0 THEN 'https://' || source_domain || '/?utm_source=a' END AS final_url FROM images)", f"job_id, {_CANON('coalesce(final_url, url)')}", "seq", "job_id, seq"), "images")
 def _(spark, d):
     i = view(spark, d, "images").select("job_id", "seq", F.col("source_page_url").alias("url"), F.when(F.col("seq") % 5 != 0, F.concat(F.lit("https://"), "source_domain", F.lit("/?utm_source=a"))).alias("final_url"))

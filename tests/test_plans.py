@@ -84,6 +84,32 @@ def test_sinks_and_snapshot(spark, tmp_path):
     assert back["seen_keys"].count() == 2
 
 
+def test_frontier_with_a_cap(spark):
+    """Levels read tables only; rejected pages hold their place; order of arrival decides."""
+    edges = spark.createDataFrame([("https://x.com/0", f"https://x.com/{n}", s) for s, n in enumerate("edcba")] + [("https://x.com/e", "https://x.com/z", 9)], "src_url string, dst_url string, seq int")
+    job = spark.createDataFrame([(1, "https://x.com/0"), (2, "https://x.com/e")], "job_id int, root_url string")
+    rules = links.parse_robots(spark.createDataFrame([("https://x.com", "User-agent: *\nDisallow: /d")], "origin string, body string"))
+    got = links.expand_frontier(edges, job, rules, max_pages=4)
+    assert sorted((r.job_id, r.url[-1], r.depth) for r in got.collect()) == [(1, "0", 0), (1, "c", 1), (1, "e", 1), (2, "e", 0), (2, "z", 1)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_rules_of_one_host(spark):
+    """5,000 literal rules and 50,000 URLs of one host: no plan node makes pairs of them all."""
+    n = 5_000
+    body = "User-agent: *\n" + "".join(f"{'Allow' if k % 3 else 'Disallow'}: /p/{k}\n" for k in range(n))
+    rules = links.parse_robots(spark.createDataFrame([("https://x.com", body)], "origin string, body string"))
+    pages = spark.range(50_000).select(F.concat(F.lit("https://x.com/p/"), F.col("id").cast("string")).alias("url"), "id")
+    got = links.robots_allowed(pages, rules)
+    bad = {r.id for r in got.where("not allowed").collect()}
+
+    def refused(path):
+        known = [int(path[:c]) for c in range(1, 5) if path[0] != "0" or path == "0" for _ in [0] if c <= len(path) and int(path[:c]) < n]
+        return bool(known) and max(known) % 3 == 0
+
+    assert bad == {k for k in range(50_000) if refused(str(k))}
+
+
 def test_responses_and_files(spark, tmp_path):
     spark.createDataFrame([({"Content-Type": "x", "A": "1"},)], "headers map<string,string>").write.parquet(str(tmp_path / "r"))
     assert readers.read_responses(spark, str(tmp_path / "r")).first().headers == {"content-type": "x", "a": "1"}
