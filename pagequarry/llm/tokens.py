@@ -4,7 +4,8 @@ The tokenizer never joins text across white space: its pre-tokens hold none, so
 words between white space, and words recur. Documents of up to two chunks are counted that way from a memo of words. A longer one is
 cut into overlapping chunks that are encoded with offsets; two neighbours are spliced at a boundary between tokens that
 lies at white space inside their overlap, after which both give the same tokens up to the end of the earlier chunk's last
-whole word. Where there is none, the overlap is doubled, in the end up to the whole rest of the document.
+whole word. A chunk goes on until its overlap holds white space; where the two don't agree, the overlap is doubled, and then the
+chunk itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,22 +58,42 @@ class WordCounter:
         return [sum(map(memo.__getitem__, ws)) for ws in split]
 
     def spliced(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-        """Count of a huge text from overlapping chunks."""
-        total, at, a, wide = 0, 0, self._encode(text, 0, min(chunk, len(text))), overlap
+        """Count of a huge text from overlapping chunks. A chunk goes on until its overlap holds white space, and what has no stable
+        boundary is encoded again at twice the length, so the work is in proportion to the text whatever it looks like."""
+        total, at, wide = 0, 0, overlap
+        a = self._encode(text, 0, self._end(text, chunk, overlap))
         while a[1] < len(text):  # a: start, end, token starts, ids; tokens before `at` are counted
-            start = max(at, a[1] - wide)
-            b = self._encode(text, start, min(start + max(chunk, 2 * wide), len(text)))
+            start = max(at, self._back(text, a[1], wide))
+            b = self._encode(text, start, self._end(text, max(start + max(chunk, 2 * wide), a[1] + 1), overlap))
             cut = self._common(text, a, b)
             if cut is None and start > at:
                 wide *= 2
                 continue
-            if cut is None:  # not one boundary in all of a: encode it together with the next chunk
-                a = self._encode(text, at, min(a[1] + chunk, len(text)))
+            if cut is None:  # not one boundary in all of a: twice as much at once
+                a = self._encode(text, at, self._end(text, at + 2 * (a[1] - at), overlap))
                 continue
             total += bisect_left(a[2], cut) - bisect_left(a[2], at)
             at, a, wide = cut, b, overlap
         return total + len(a[2]) - bisect_left(a[2], at)
 
+    @staticmethod
+    def _end(text: str, end: int, overlap: int) -> int:
+        """Where a chunk that should end at end does: there, if white space stands twice in the overlap before it, else behind the
+        second white space that follows, else with the text."""
+        end = min(end, len(text))
+        if end == len(text) or len(list(islice(SPACE.finditer(text, max(end - overlap, 0), end), 2))) == 2:
+            return end
+        after = [m.end() for m in islice(SPACE.finditer(text, end), 2)]
+        return after[1] if len(after) == 2 else len(text)
+
+    @staticmethod
+    def _back(text: str, end: int, wide: int) -> int:
+        """Where the next chunk begins: wide before end, or more where white space doesn't stand twice in between."""
+        start = max(end - wide, 0)
+        while start > 0 and len(list(islice(SPACE.finditer(text, start, end), 2))) < 2:
+            start = max(end - 2 * (end - start), 0)
+        return start
+
     def _encode(self, text: str, start: int, end: int) -> tuple[int, int, list[int], list[int]]:
         e = self.tok.encode(text[start:end], add_special_tokens=False)
         return start, end, [start + s for s, _ in e.offsets], e.ids
@@ -87,13 +109,16 @@ class WordCounter:
         if len(spaces) < 2:
             return None
         last = spaces[-1]
-        ours, theirs = ((bisect_left(x[2], last), x) for x in (a, b))
-        for first in spaces[:-1]:
-            ranges = [(slice(bisect_left(x[2], first), end), x) for end, x in (ours, theirs)]
-            (mine, mine_ids), (other, other_ids) = ((x[2][r], x[3][r]) for r, x in ranges)
-            if mine and mine == other and mine_ids == other_ids:
-                return first
-        return None
+        mine, other = bisect_left(a[2], last), bisect_left(b[2], last)
+        same = 0  # tokens before the last white space that agree, counted from there back
+        while same < min(mine, other) and a[2][mine - same - 1] == b[2][other - same - 1] and a[3][mine - same - 1] == b[3][other - same - 1]:
+            same += 1
+        if not same:
+            return None
+        # Behind the first token that differs, if there is one: a token of a or b before the common ones.
+        free = max([x[2][n - same - 1] for x, n in ((a, mine), (b, other)) if n > same], default=-1)
+        first = next((p for p in spaces[:-1] if p > free and bisect_left(a[2], p) < mine), None)
+        return first
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, huge: int = HUGE) -> DataFrame:
