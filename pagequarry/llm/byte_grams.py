@@ -5,7 +5,7 @@ counts are dealt to shards by their last three symbols. All shorter suffixes of
 shard, so a shard knows the counts of orders 6 to 3 by itself. Totals of contexts are summed up in shards of their own, dealt
 out likewise. Orders 1 and 2 have at most 257**2 entries, which every task gets.
 
-Documents are packed into blocks of about 12 MB of text. A block asks each shard once for each different n-gram and each
+Documents are packed into blocks of about 20 MB of text. A block asks each shard once for each different n-gram and each
 different context that it has; however often an n-gram occurs, a block asks for it once, so that no shard has more to do for a
 common one. The counts that come back meet the block's texts, where they become probabilities, and sums per document.
 A model is trained on the texts of fold 0, of fold 1 or of both; one set of shards serves all three.
@@ -27,9 +27,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pagequarry.llm.base import cut, give_back, keep
 
 A, ORDER, EDGE, LOW = 257, 6, 256, 2
-#: Bytes of text of a block and of a slice, different n-grams of a shard, different n-grams that a task holds, blocks that ask
-#: one copy of a shard.
-BLOCK, SLICE, SHARD, HELD, ASKERS = 12 << 20, 1 << 20, 1 << 18, 1 << 21, 512
+#: Bytes of text of a block, of a task that counts and of a slice, different n-grams of a shard, different n-grams that a task
+#: holds, blocks that ask one copy of a shard.
+BLOCK, COUNTED, SLICE, SHARD, HELD, ASKERS = 20 << 20, 32 << 20, 1 << 20, 1 << 18, 1 << 22, 512
 #: Models by the folds that they are trained on: all but fold 0, all but fold 1, both.
 BUT_0, BUT_1, BOTH = 0, 1, 2
 GRAMS, CONTEXTS = 0, 1
@@ -338,7 +338,7 @@ def _block_keys(block: pa.Table, text: int) -> np.ndarray:
     keys, fresh = np.zeros(0, np.int64), []
     for b in _opened(block):
         fresh.append(grams(b.column(text))[0])
-        if sum(map(len, fresh)) > HELD // 2:
+        if sum(map(len, fresh)) > HELD // 4:
             keys, fresh = different(np.concatenate([keys, *fresh]))[0], []
     keys, fresh = different(np.concatenate([keys, *fresh]))[0], []
     give_back()

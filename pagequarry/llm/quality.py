@@ -31,7 +31,8 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         good &= F.coalesce(F.col("toxic"), F.lit(0)) == 0
     ids = labels.where(good).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
-    return docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "text")
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "text")
+    return texts if few else keep(texts)  # what a shuffle gives comes in another order when it is made again
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by their content, and the perplexities that the thresholds come from are given by the model of the other fold. Without
     trusted texts every n-gram costs the same and nothing is rejected.
     """
-    trusted = keep(trusted_texts(docs, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
+    trusted = trusted_texts(docs, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     bytes_of = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")
     size, known = docs.agg(bytes_of).first()["n"], trusted.agg(bytes_of).first()["n"]
-    counts = byte_grams.train(trusted.coalesce(max(1, -(-known // byte_grams.BLOCK))))
+    counts = byte_grams.train(trusted.coalesce(max(1, -(-known // byte_grams.COUNTED))))
     scored = byte_grams.perplexity(trusted, counts, "fold", known)
     return Model(counts, thresholds(scored.select("lang", "n_grams", "perplexity")), size)
 
