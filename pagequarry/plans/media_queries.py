@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
 from pagequarry.functions.tables import new_path
-from pagequarry.operators import dedup, downloads, html, links, manifests, metadata
+from pagequarry.operators import dedup, downloads, html, links, manifests, metadata, reports
 from pagequarry.plans import catalog, fixtures
 from pagequarry.plans.catalog import _CANON, _EDGES, _JOBS, _MIME, _ONE, _PATHQ, _SIZE, _domain, _edges, _ext, _first_sql, _jobs, _pages, _register, _responses, _robots
 from pagequarry.plans.fixtures import view, view_sql
@@ -266,6 +266,43 @@ def _(spark, d):
     return jobs.backoff(r, 800, 60_000)
 
 
+# --- branches that no other query reaches
+
+
+@_register("history_search", "SELECT page_id AS job_id, url AS root_url FROM pages WHERE contains(lower(url), 'example.net/e')")
+def _(spark, d):
+    h = _pages(spark, d).select(F.col("page_id").alias("job_id"), F.col("url").alias("root_url"))
+    return reports.history_search(h, "  Example.NET/E ")
+
+
+@_register("failure_messages", "SELECT seq, CASE seq % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'network' WHEN 2 THEN 'canceled' WHEN 3 THEN 'disk' ELSE 'unknown' END AS code, seq % 6 < 2 AS retryable FROM tasks", "tasks")
+def _(spark, d):
+    said = F.element_at(F.array(*[F.lit(m) for m in ("Request timed out", "connection RESET", "Canceled by user", "no Space left", "?", "")]), (F.col("seq") % 6 + 1).cast("int"))
+    f = downloads.classify_failure(F.lit(None).cast("int"), said)
+    return view(spark, d, "tasks").select("seq", f["code"].alias("code"), f["retryable"].alias("retryable"))
+
+
+@_register("signature_skips", "SELECT seq, CASE WHEN is_drm THEN 'drm' WHEN is_blob THEN 'mse_blob' WHEN contains(video_url, 'token=3') THEN 'signature' END AS reason FROM videos", "videos")
+def _(spark, d):
+    needs = F.contains(F.col("video_url"), F.lit("token=3"))
+    return view(spark, d, "videos").select("seq", downloads.video_skip_reason(F.col("is_drm"), F.col("is_blob"), needs).alias("reason"))
+
+
+@_register("video_before_sound", "SELECT 'https://d.example.com/' || p_partkey || '/s.mpd' AS url, CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'v' END AS rep_id, CASE WHEN p_partkey % 3 = 0 THEN 900000 ELSE p_partkey END AS bandwidth FROM part")
+def _(spark, d):
+    k = F.col("p_partkey").cast("string")
+    video = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit('<AdaptationSet mimeType="video/mp4"><Representation id="v" bandwidth="'), k, F.lit('"/></AdaptationSet>'))).otherwise("")
+    body = F.concat(F.lit("<MPD><Period>"), video, F.lit('<AdaptationSet mimeType="audio/mp4"><Representation id="a" bandwidth="900000"/></AdaptationSet></Period></MPD>'))
+    m = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("https://d.example.com/"), k, F.lit("/s.mpd")).alias("url"), body.alias("body"))
+    return manifests.best_variant(manifests.parse_dash(m), video_only=True).select("url", "rep_id", "bandwidth")
+
+
+@_register("composed_names", "SELECT seq, 'Café ' || seq || '.mp4' AS name FROM videos", "videos")
+def _(spark, d):
+    raw = F.concat(F.lit("--Cafe\u0301 \U0001f600\u200b"), F.col("seq").cast("string"), F.lit(".mp4.. "))
+    return view(spark, d, "videos").select("seq", text.sanitize_filename(raw, "video", compose=True).alias("name"))
+
+
 # --- files: written to the shared folder and read back
 
 
