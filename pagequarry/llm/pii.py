@@ -1,13 +1,16 @@
 """Personal data: candidate spans from high-recall generators, scored by boosted trees, in DataFrame functions only.
 
 Generators propose overlapping spans of five kinds. A strict expression per kind, with its check (octets, Luhn, number of
-digits, a key word before a secret), gives spans that always stay, the base of the first four kinds among them; looser
-expressions give further candidates. Trees over format and context
-features (digits, separators, length, check, neighbours, key words before the span; of a form without country codes and
-with the separators of obfuscated addresses made plain) learn which candidates look like base spans. Loose candidates are
-unlabelled: they count as negatives by a small weight, and not at all where they overlap a strict span. The threshold of a kind
-is the score that all but a twentieth of its strict spans reach. A loose candidate above it that overlaps no strict span is
-added. The trees are fitted to a contingency table of the features over all rows.
+digits, a key word before a secret), gives the base spans of the first four kinds, which always stay, and secrets; looser
+expressions give further candidates. Trees over format and context features (digits, separators, length, check, form,
+neighbours, key words before the span; of a form without country codes and with the separators of obfuscated addresses made
+plain) decide on secrets and on loose candidates.
+
+The labels are planted: spans of known forms, and decoys that the generators propose too but that are no personal data, are
+put between stretches of the corpus's own texts and go through the same generators. All rows of the corpus count as well:
+base spans as positives, loose candidates, which nobody has labelled, as negatives by a small weight, both together by no
+more weight than the plants. A quarter of the plants is held out from the trees; the threshold of a kind is the lowest score
+down to which PRECISION of the held-out plants are personal data. The trees are fitted to contingency tables of the features.
 """
 
 from __future__ import annotations
@@ -37,16 +40,28 @@ STRICT = (
 LOOSE = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}",
     r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3})(?![0-9A-Fa-f:])",
-    r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
+    r"(?<![0-9])(?:[0-9]{4}(?:[._/][0-9]{4}){3}|[0-9]{13,19}+)(?![0-9])",
     r"(?<![0-9+.-])(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ /.-]|[0-9]{3}[.-])[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3}(?![0-9])",
     r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|(?:AKIA|ghp_|sk-)[A-Za-z0-9_-]{16,64}+)(?![A-Za-z0-9+/_-])",
 )
 #: Text of which every match holds some; an expression is tried only where one of them is found.
 GATES = (("@",), (".",), None, ("+",), ("=", ":"))
-LOOSE_GATES = (("(dot)", "[dot]", " dot "), (":", "[.]"), (".", "_", "/"), None, ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"))
+LOOSE_GATES = (("(dot)", "[dot]", " dot "), (":", "[.]"), tuple("0123456789"), None, ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"))
 CONTEXT = (r"(?i)mail|contact|write|reach", r"(?i)\bip\b|server|host|addr|node", r"(?i)card|visa|credit|carte|karte|tarjeta", r"(?i)tel|phone|call|fax|mobil|whatsapp|fon", r"(?i)token|secret|passw|key|auth|bearer")
-FEATURES = ("kind", "valid", "digits", "seps", "size", "near", "before", "after")
+FEATURES = ("kind", "valid", "digits", "seps", "size", "form", "near", "before", "after")
 BEFORE = 32
+#: Forms of a kind that say much by themselves, as expressions on plain values; form is the number of those that fit.
+FORMS = (
+    (r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at)$",),
+    (":", "[A-Fa-f]"),
+    ("^[0-9]{4}[^0-9]",),
+    (r"^[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$",),
+    ("^(?:AKIA|ghp_|sk-)", "^(?:.{16}|.{20}|.{32}|.{40}|.{64})$"),
+)
+#: Planted rows of each form; stretches of the corpus that they stand in, and their length; every FOLDS-th plant is held out.
+PLANTS, CONTEXTS, STRETCH, FOLDS = 128, 256, 80, 4
+#: Share of personal data among the held-out plants that a kind's threshold lets through.
+PRECISION = 0.95
 #: Weight, as negatives, of loose candidates that may be personal data for all that is known.
 UNLABELLED = 0.1
 
@@ -72,16 +87,20 @@ def _located(text: Column, matches: Column, rx: str) -> Column:
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def _luhn(v: Column) -> Column:
-    """13 to 19 digits with a right check digit."""
-    digits = F.reverse(F.regexp_replace(v, "[^0-9]", ""))
+def _luhn_sum(digits: Column) -> Column:
+    """The sum of a number of up to 19 digits given from its last to its first."""
 
     def add(acc: Column, i: Column) -> Column:
         d = F.substr(digits, i, F.lit(1)).cast("int")
         return acc + F.when(i % 2 == 1, d).when(d < 5, 2 * d).otherwise(2 * d - 9)
 
     n = F.length(digits)
-    return n.between(13, 19) & (F.aggregate(F.when(n.between(13, 19), F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1))), F.lit(0), add) % 10 == 0)
+    return F.aggregate(F.when(n.between(1, 19), F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1))), F.lit(0), add)
+
+
+def _luhn(v: Column) -> Column:
+    """13 to 19 digits with a right check digit."""
+    return let(F.reverse(F.regexp_replace(v, "[^0-9]", "")), lambda digits: F.length(digits).between(13, 19) & (_luhn_sum(digits) % 10 == 0))
 
 
 def _valid(kind: int, v: Column) -> Column:
@@ -126,10 +145,8 @@ def _plain(kind: int, v: Column) -> Column:
 
 
 def _featured(spans: Column, kind: int, strict: bool) -> Column:
-    def one(x: Column) -> Column:
-        v = _plain(kind, x["v"])
+    def one(x: Column, v: Column, valid: Column) -> Column:
         digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-        valid = _valid(kind, x["v"])
         return F.struct(
             F.lit(kind).alias("kind"),
             x["s"].alias("s"),
@@ -139,15 +156,16 @@ def _featured(spans: Column, kind: int, strict: bool) -> Column:
             _bucket(digits, 1, 9, 12, 14, 17).alias("digits"),
             _bucket(F.length(F.regexp_replace(v, r"[\p{L}\p{N}]", "")), 1, 3, 5).alias("seps"),
             _bucket(F.length(v), 8, 12, 16, 24).alias("size"),
+            reduce(lambda a, b: a + b, [v.rlike(rx).cast("int") for rx in FORMS[kind]]).alias("form"),
             x["pre"].rlike(CONTEXT[kind]).cast("int").alias("near"),
             _side(F.right(x["pre"], F.lit(1))).alias("before"),
             _side(x["post"]).alias("after"),
         )
 
-    return F.transform(spans, one)
+    return F.transform(spans, lambda x: let(_plain(kind, x["v"]), lambda v: let(_valid(kind, x["v"]), lambda valid: one(x, v, valid))))
 
 
-_SPAN = "struct<kind:int,s:bigint,e:bigint,strict:boolean,valid:int,digits:int,seps:int,size:int,near:int,before:int,after:int,over:boolean>"
+_SPAN = "struct<kind:int,s:bigint,e:bigint,strict:boolean,valid:int,digits:int,seps:int,size:int,form:int,near:int,before:int,after:int,over:boolean>"
 _FAR = 1 << 62
 
 
@@ -198,24 +216,137 @@ class Model:
     thresholds: tuple[float, ...]
 
 
-def train(with_cands: DataFrame, keep: float = 0.95) -> Model:
-    """Trees and thresholds from all candidates of all rows; no candidates give a model that adds nothing."""
-    apart = F.filter("cands", lambda c: c["strict"] | (c["valid"] == 0) | ~c["over"])
-    c = with_cands.select(F.explode(apart).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    rows = c.agg(F.count("*").alias("n"), F.sum(F.col("c.strict").cast("long")).alias("pos")).orderBy(*FEATURES).collect()
-    x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=int).reshape(-1, len(FEATURES))
-    n, pos = np.array([r["n"] for r in rows], dtype=float), np.array([r["pos"] for r in rows], dtype=float)
-    n = pos + (n - pos) * np.where(x[:, FEATURES.index("valid")] == 1, UNLABELLED, 1.0)
-    trees = fit(FEATURES, x, n, pos)
+#: What is planted: kind, whether it is personal data, the words before it, and the span. # stands for a digit, ^ for a hexadecimal one, *
+#: for a small letter, ? and ! for a letter or digit (! a large one), % for the right check digit and & for a wrong one.
+PLANTED = (
+    (0, True, "mail ", "****** (at) ***** (dot) com"),
+    (0, True, "", "****[at]*******[dot]org"),
+    (0, True, "write to ", "***** at ****** dot de"),
+    (0, False, "", "***** at **** dot ******"),
+    (0, False, "look ", "*** at *** dot *****"),
+    (1, True, "", "2001:db8:^^^^:^^^^:^^^:^^^^:^^^^:a^^^"),
+    (1, True, "server ", "1##[.]##[.]1##[.]#"),
+    (1, True, "", "##[.]1##[.]#[.]1##"),
+    (1, False, "", "##:##:##:##:##:##:##:##"),
+    (1, False, "", "9##[.]##[.]1##[.]8##"),
+    (2, True, "card ", "4###.####.####.###%"),
+    (2, True, "", "5###_####_####_###%"),
+    (2, True, "card 12 ", "4##############%"),
+    (2, True, "31 ", "5##############%"),
+    (2, False, "", "4###.####.####.###&"),
+    (2, False, "no ", "4##############&"),
+    (3, True, "call ", "(###) ###-####"),
+    (3, True, "", "(###) ###-####"),
+    (3, True, "phone ", "0## #### ####"),
+    (3, True, "fax ", "0###/####-##"),
+    (3, True, "tel ", "###-###-####"),
+    (3, True, "", "###.###.####"),
+    (3, False, "sum ", "###-##-#####"),
+    (3, False, "", "###.####.##"),
+    (3, False, "", "0## ### ### ###"),
+    (3, False, "page ", "0#.0#.20##"),
+    (4, True, "token = '", "^" * 40),
+    (4, True, "password=", "^" * 18),
+    (4, True, "secret: ", "?" * 24),
+    (4, True, "api_key = ", "?" * 32),
+    (4, True, "", "AKIA" + "!" * 16),
+    (4, True, "", "ghp_" + "?" * 36),
+    (4, True, "key ", "sk-" + "?" * 40),
+    (4, False, "commit ", "^" * 40),
+    (4, False, "sum ", "^" * 32),
+    (4, False, "etag ", "^" * 64),
+    (4, False, "secret: ", "********-*********-#"),
+    (4, False, "token: ", "*******/******_*****#"),
+)
+
+
+def _filled(template: Column, seed: Column) -> Column:
+    """The template with characters by the hash of seed in their places."""
+    hexes = F.concat(*[F.sha2(F.concat_ws(":", seed, F.lit(i)).cast("binary"), 256) for i in range(2)])
+
+    def one(c: Column, h: Column) -> Column:
+        letter = F.translate(h, "01234567", "GhJkMnPq")
+        made = F.when(c == "#", F.translate(h, "abcdef", "246813")).when(c == "^", h).when(c == "*", F.translate(h, "0123456789", "rstuvwxyzm"))
+        return made.when(c == "?", letter).when(c == "!", F.upper(letter)).otherwise(c)
+
+    chars = F.split(template, "")
+    span = F.array_join(F.zip_with(chars, F.slice(F.split(hexes, ""), 1, F.size(chars)), one), "")
+
+    def checked(v: Column) -> Column:
+        off = let(F.reverse(F.concat(F.regexp_replace(v, "[^0-9]", ""), F.lit("0"))), _luhn_sum)
+        digit = lambda more: F.pmod(F.lit(more) - off, F.lit(10)).cast("string")
+        return F.when(v.rlike("[%&]"), F.replace(F.replace(v, F.lit("%"), digit(0)), F.lit("&"), digit(3))).otherwise(v)
+
+    return let(span, checked)
+
+
+def contexts(docs: DataFrame) -> DataFrame:
+    """One row, contexts: STRETCH characters from somewhere in each of CONTEXTS different texts, by hash; none, if docs is empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    mark = F.xxhash64(text, F.lit(5))
+    at = F.pmod(F.xxhash64(text, F.lit(9)), F.greatest(F.length(text) - STRETCH, F.lit(1)).cast("long")).cast("int")
+    some = docs.select(mark.alias("mark"), F.substr(text, at + 1, F.lit(STRETCH)).alias("context")).distinct().orderBy("mark", "context").limit(CONTEXTS)
+    return some.agg(F.array_sort(F.collect_list("context")).alias("contexts")).where(F.size("contexts") > 0)
+
+
+def plants(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """kind, personal, s, e, held, text: PLANTS rows of each form in stretches of docs' texts; the same for the same texts. No rows for no
+    docs; null and empty texts give empty stretches."""
+    rows = contexts(docs).select("contexts", F.explode(F.sequence(F.lit(0), F.lit(PLANTS - 1))).alias("j"))
+    stretch = F.element_at("contexts", F.pmod(F.col("j"), F.size("contexts")) + 1)
+    forms = [F.struct(*[F.lit(v).alias(f) for f, v in zip(("no", "kind", "personal", "cue", "template"), (no, *form))]) for no, form in enumerate(PLANTED)]
+    rows = rows.select("j", stretch.alias("stretch"), F.explode(F.array(*forms)).alias("p"))
+    rows = rows.withColumn("span", _filled(F.col("p.template"), F.concat_ws(":", F.lit(salt), "j", "p.no")))
+    half = STRETCH * 2 // 3
+    start = F.concat(F.substring("stretch", 1, half), F.lit(" "), F.col("p.cue"))
+    end = F.element_at(F.array(*[F.lit(x) for x in (" ", ". ", ", ", "\n", "' ")]), F.pmod(F.col("j") + F.col("p.no"), F.lit(5)) + 1)
+    s = F.length(start).cast("long")
+    held = F.pmod(F.col("j"), F.lit(FOLDS)) == FOLDS - 1
+    return rows.select("p.kind", "p.personal", s.alias("s"), (s + F.length("span")).alias("e"), held.alias("held"), F.concat(start, "span", end, F.substring("stretch", half + 1, STRETCH)).alias("text"))
+
+
+def with_plants(docs: DataFrame, *keep: Column) -> DataFrame:
+    """keep, cands and its plant of all rows of docs (its plant is null) and of the plants in their texts (keep is null). All go through
+    one and the same search; the result must be cut before use."""
+    planted = cut(plants(docs)).select(F.struct("kind", "personal", "s", "e", "held").alias("its plant"), "text")
+    rows = docs.select(*keep, F.lit(None).cast(planted.schema["its plant"].dataType).alias("its plant"), F.col("text"))
+    rows = rows.unionByName(planted, allowMissingColumns=True)
+    return candidates(rows, *[F.col(c) for c in rows.columns[:-1]])
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """c (candidate), label, held from the plants in found: a planted span that a generator found as it was planted is 1, what
+    overlaps a decoy is 0; base spans, which stay whatever the trees say, and what lies elsewhere are left out."""
+    c = found.where(F.col("its plant").isNotNull()).select("its plant", F.explode("cands").alias("c"))
+    own = lambda f: F.col("its plant")[f]
+    exact = (F.col("c.kind") == own("kind")) & (F.col("c.s") == own("s")) & (F.col("c.e") == own("e"))
+    meets = (F.col("c.s") < own("e")) & (F.col("c.e") > own("s"))
+    c = c.where(~(F.col("c.strict") & (F.col("c.kind") < 4)) & F.when(own("personal"), exact).otherwise(meets))
+    return c.select("c", own("personal").cast("int").alias("label"), own("held").alias("held"))
+
+
+def _counted(rows: DataFrame, label: Column, *by: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, numbers of rows and of positives, and by, of the candidates c; bounded by the features' ranges."""
+    table = rows.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], *by).agg(F.count("*").alias("rows of it"), F.sum(label).alias("good of it")).collect()
+    table = np.array(sorted(tuple(float(v) for v in r) for r in table)).reshape(-1, len(FEATURES) + len(by) + 2)
+    return table[:, : len(FEATURES)].astype(int), table[:, -2], table[:, -1], table[:, len(FEATURES) : -2]
+
+
+def train(found: DataFrame, precision: float = PRECISION) -> Model:
+    """Trees and thresholds from the plants and from all candidates of all rows of with_plants(); a kind whose held-out plants don't
+    reach the precision gets nothing added, and so do all kinds without docs."""
+    x, n, pos, held = _counted(labelled(found), F.col("label"), F.col("held").cast("int").alias("held"))
+    held = held[:, 0] == 1
+    apart = F.filter("cands", lambda c: F.when(c["strict"], c["kind"] < 4).otherwise((c["valid"] == 0) | ~c["over"]))
+    seen, rows, base, _ = _counted(found.where(F.col("its plant").isNull()).select(F.explode(apart).alias("c")), F.col("c.strict").cast("int"))
+    rows = base + (rows - base) * np.where(seen[:, FEATURES.index("valid")] == 1, UNLABELLED, 1.0)
+    share = min(1.0, n[~held].sum() / max(rows.sum(), 1.0))
+    trees = fit(FEATURES, np.concatenate([x[~held], seen]), np.concatenate([n[~held], share * rows]), np.concatenate([pos[~held], share * base]))
     score, thresholds = trees.predict(x), []
     for kind in range(len(KINDS)):
-        own = (x[:, 0] == kind) & (pos > 0)
-        order = np.argsort(score[own], kind="stable")
-        if not len(order):
-            thresholds.append(2.0)
-            continue
-        reached = np.cumsum(pos[own][order]) > (1 - keep) * pos[own].sum()
-        thresholds.append(float(score[own][order][reached][0]))
+        own = held & (x[:, 0] == kind) & (x[:, FEATURES.index("valid")] == 1)
+        level = [s for s in np.unique(score[own]) if pos[own & (score >= s)].sum() >= precision * n[own & (score >= s)].sum()]
+        thresholds.append(float(level[0]) - 1e-9 if level else 2.0)
     return Model(trees, tuple(thresholds))
 
 
@@ -223,11 +354,11 @@ _FOUND = "struct<kind:int,s:bigint,e:bigint,base:boolean,strict:boolean,score:do
 
 
 def spans_column(model: Model) -> Column:
-    """Of the column cands: kind (number), s, e, base, strict, score, sorted by kind and start: strict spans and those that
+    """Of the column cands: kind (number), s, e, base, strict, score, sorted by kind and start: base spans and those that
     pass. Of loose spans that overlap one another, the first of the longest stays."""
     limit = lambda kind: F.element_at(F.array(*[F.lit(t) for t in model.thresholds]), kind + 1)
     scored = F.transform("cands", lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("minus_e"), c["kind"].alias("kind"), c["strict"].alias("strict"), (~c["over"] & (c["valid"] == 1)).alias("free"), model.trees.column(c).alias("score")))
-    passing = F.filter(scored, lambda c: c["strict"] | (c["free"] & (c["score"] >= limit(c["kind"]))))
+    passing = F.filter(scored, lambda c: (c["strict"] & (c["kind"] < 4)) | ((c["strict"] | c["free"]) & (c["score"] >= limit(c["kind"]))))
 
     def choose(end: Column, x: Column) -> tuple[Column, Column]:
         e = -x["minus_e"]
@@ -241,8 +372,8 @@ def spans_column(model: Model) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every row; the candidates are found once, kept in the checkpoint folder, and scored from there."""
-    found = cut(candidates(docs, F.col("doc_id")))
-    return found.select("doc_id", spans_column(train(found)).alias("spans"))
+    found = cut(with_plants(docs, F.col("doc_id")))
+    return found.where(F.col("its plant").isNull()).select("doc_id", spans_column(train(found)).alias("spans"))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -295,9 +426,9 @@ def redact(docs: DataFrame) -> DataFrame:
     Where spans overlap, the one that starts first (the longest of those) names the replacement and all are removed. All other
     columns stay, whatever their names. The candidates are found once; they and the rows are kept in the shared folder.
     """
-    found = keep(candidates(docs, as_row(docs).alias("row")))
+    found = keep(with_plants(docs, as_row(docs).alias("row")))
     model = train(found)
-    spanned = found.select("row", spans_column(model).alias("spans"))
+    spanned = found.where(F.col("its plant").isNull()).select("row", spans_column(model).alias("spans"))
     done = spanned.select("row", _redacted(F.col("row")["text"], F.col("spans")).alias("new text"))
     out = []
     for c, column in zip(docs.columns, row_columns(docs, "row")):
