@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key from which a join spreads them by a salt, and the number of salts.
+HOT, SALTS = 1 << 14, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of the license contract, after ASCII lower-casing; and words split at ASCII white space.
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,6 +47,23 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
+    """rows joined ("inner" or "left") with table, which has one row per keys; the columns of rows, then those of table.
+
+    Keys with over HOT rows are joined by keys and a salt of the column by, so that no task gets all rows of one key. heavy:
+    those keys, if they are known; else they are counted. Rows with a null key find nothing.
+    """
+    if heavy is None:
+        heavy = rows.groupBy(*keys).agg(F.count("*").alias("n rows")).where(F.col("n rows") > HOT)
+    found = cut(table.join(heavy.select(*keys), keys, "left_semi"))
+    own, new = [F.col(f"`{c}`") for c in rows.columns], [F.col(f"`{c}`") for c in table.columns if c not in keys]
+    if found.isEmpty():
+        return rows.join(table, keys, how).select(*own, *new)
+    copies = found.select("*", F.lit(True).alias("is heavy"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt of row"))
+    salted = rows.withColumn("salt of row", F.pmod(F.xxhash64(by, F.lit(1)), F.lit(SALTS)).cast("int")).join(copies, [*keys, "salt of row"], "left")
+    return salted.where("`is heavy`").select(*own, *new).unionByName(salted.where("`is heavy` is null").select(*own).join(table, keys, how).select(*own, *new))
+
+
 def give_back() -> None:
     """Returns a Python worker's freed memory to the system. Spark uses its workers again, and the C library (glibc; others have
     no such call) keeps most of what is freed, so an executor would go on holding what its largest tasks took."""

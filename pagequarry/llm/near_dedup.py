@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.base import cut, unused
+from pagequarry.llm.base import HOT, SALTS, cut, join_spread, unused
 from pagequarry.llm.shingles import _mix, set_names, shingle_sets
 
-SLOTS, TILE, SALTS = 1 << 20, 384, 32
+SLOTS, TILE = 1 << 20, 384
 #: Bands and rows: a pair at 0.85 is missed with a chance of 1e-6 (36 x 7); for a threshold of 0.8, 40 x 6 gives 5e-6.
 BANDING = {85: (36, 7), 80: (40, 6)}
 
@@ -179,9 +179,9 @@ def verified_links(groups: DataFrame, words: int, percent: int) -> DataFrame:
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """hub, id: the members of each group of representatives (id, keys) but the hub itself."""
     keyed = cut(reps.select("id", F.explode("keys").alias("key")))
-    bucket = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    pairs = keyed.join(bucket, "key").where("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("shared"))
-    return cut(pairs.select("hub", "id"))
+    bucket = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1))
+    met = join_spread(keyed, bucket.drop("n"), ["key"], "id", heavy=bucket.where(F.col("n") > HOT))
+    return cut(met.where("id <> hub").select("hub", "id").distinct())
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -222,11 +222,12 @@ def components(links: DataFrame) -> DataFrame:
     of their label, so rounds grow with the logarithm of the longest path; each round is cut off in the checkpoint folder."""
     both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("c")))
+    busy = cut(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("b"))
     while True:
-        heard = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("c").alias("h"))
-        step = label.join(heard, label["id"] == heard["a"], "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("h", "c")).alias("c"))
-        far = label.select(F.col("id").alias("of"), F.col("c").alias("further"))
-        new = cut(step.join(far, F.col("c") == F.col("of"), "left").select("id", "old", F.least("c", F.coalesce("further", "c")).alias("c")))
+        heard = join_spread(both, label.select(F.col("id").alias("b"), "c"), ["b"], "a", heavy=busy).groupBy("a").agg(F.min("c").alias("h"))
+        step = cut(label.join(heard, label["id"] == heard["a"], "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("h", "c")).alias("c")))
+        far = label.select(F.col("id").alias("c"), F.col("c").alias("further"))
+        new = cut(join_spread(step, far, ["c"], "id", "left").select("id", "old", F.least("c", F.coalesce("further", "c")).alias("c")))
         label = new.select("id", "c")
         if new.where("c <> old").isEmpty():
             return label.select("id", F.col("c").alias("component"))
@@ -244,15 +245,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     all_rows = cut(signed(docs, words, bands, rows))
     name = ["n", "h1", "h2"]
     known = all_rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = cut(known.groupBy(*name).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    reps = cut(known.groupBy(*name).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("id").isNotNull())
     links = links_of_groups(candidate_pairs(reps), texts, words, percent)
     # Documents that are given twice with different texts connect their sets.
-    same = known.select(*name, "doc_id").join(reps.select(*name, "id"), name).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    twice = known.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("k")).where("k > 1").select(F.col("doc_id").alias("b"))
-    label = components(links.union(same.join(twice, "b", "left_semi").select("a", "b")))
+    heavy = cut(reps.where(F.col("copies") > HOT).select(*name))
+    twice = known.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("k")).where("k > 1").select("doc_id")
+    same = join_spread(known.select(*name, "doc_id").join(twice, "doc_id", "left_semi"), reps.select(*name, "id"), name, "doc_id", heavy=heavy)
+    label = components(links.union(same.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))))
     class_of = reps.select(*name, "id").join(label, "id", "left").select(*name, F.coalesce("component", "id").alias("component"))
-    out = all_rows.join(class_of, name, "left")
+    # Rows without words have no class to find: they don't travel.
+    worded = join_spread(all_rows.select("doc_id", *name).where("n > 0"), class_of, name, "doc_id", "left", heavy)
+    out = worded.unionByName(all_rows.where("n = 0").select("doc_id", *name, F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.llm import mixing, near_dedup, neighbours, queries, transport, warc
+from pagequarry.llm import base, mixing, near_dedup, neighbours, queries, transport, warc
 from pagequarry.llm.shingles import shingle_sets
 from tests.conftest import DATA
 
@@ -211,6 +211,31 @@ def test_near_duplicates(spark, n, percent):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+@pytest.mark.parametrize("hot", [3, 1 << 14])
+def test_join_spread(spark, monkeypatch, hot):
+    monkeypatch.setattr(base, "HOT", hot)
+    rows = spark.createDataFrame([(i, None if i % 11 == 0 else 7 if i % 3 == 0 else i % 40, "x") for i in range(200)], "id long, k long, name string")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 30, 7)] + [(99, "v99")], "k long, v string")
+    for how in ("inner", "left"):
+        got = base.join_spread(rows, table, ["k"], "id", how)
+        assert got.columns == ["id", "k", "name", "v"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", how).select("id", "k", "name", "v").collect()))
+    assert base.join_spread(rows.limit(0), table, ["k"], "id", "left").count() == 0
+
+
+def test_frequent_keys_are_spread(spark, monkeypatch):
+    """One set, one band key and one component hold most rows: joins go by salts and find the same."""
+    for module in (base, near_dedup):
+        monkeypatch.setattr(module, "HOT", 4)
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:i] + ["odd"] + words[i + 1 :]) for i in (0, 1, 58, 59)]
+    rows = [(i, " ".join(words)) for i in range(20)] + [(20 + i, near[i % 4] + f" end{i % 3}") for i in range(24)] + [(50 + i, t) for i, t in enumerate(["", None, "one two three four", "   ", "one two three four"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 3, 85).collect()} == brute_components(rows, 3, 85)
+    star = spark.createDataFrame([(5, i) for i in range(6, 40)] + [(39, 1), (100, 101)], "a long, b long")
+    assert {(r.id, r.component) for r in near_dedup.components(star).collect()} == {(i, 1) for i in [1, *range(5, 40)]} | {(100, 100), (101, 100)}
+
+
 def test_tiles_and_components(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 7)
     rng = random.Random(2)
