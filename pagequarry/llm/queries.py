@@ -100,5 +100,31 @@ def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
   (sum(b[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.j = b[2]"""
 
 
+#: op6 in SQL: pairs that share a shingle, counted whole; smallest ids passed on over links until nothing changes. Documents
+#: with equal sets go as one, so that a group of copies isn't expanded into pairs.
+_DUPLICATES_SQL = r"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS MATERIALIZED (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END) AS s FROM w),
+r AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM d WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+u AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM r),
+p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(id, c) AS (SELECT id, id FROM r UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.id),
+m AS MATERIALIZED (SELECT id, min(c) AS c FROM c GROUP BY id)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id)::BIGINT AS component_id, coalesce(d.doc_id = coalesce(m.c, d.doc_id), true) AS kept
+FROM d LEFT JOIN r ON r.s = d.s LEFT JOIN m ON m.id = r.id"""
+
+#: op7 in SQL: SHA-1 in hexadecimal digits, five of them four letters of base32.
+_ARCHIVES_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((('0x' || substr(x, (5 * (i // 4) + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END::BIGINT AS refers_to, 0::INTEGER AS n_problems
+FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_centroid_clusters": _clusters_sql()}
+    return {"op6_near_duplicates": _DUPLICATES_SQL, "op7_warc_archives": _ARCHIVES_SQL, "op12_centroid_clusters": _clusters_sql()}

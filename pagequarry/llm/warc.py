@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.base import cut
+from pagequarry.llm.base import HOT, cut, join_spread
 
 #: Magic numbers of the format: the skippable frame of the dictionary, a data frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -136,13 +136,14 @@ def plan_records(pages: DataFrame, min_bytes: int = 0, prefix: str = "urn:page:"
     hashed = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     small = hashed.select("page_id", "sha", F.length("payload").cast("long").alias("n"))
     first = small.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"))
-    again = first.where(F.col("rows") > 1).drop("rows")
+    again = cut(first.where(F.col("rows") > 1))
     # Digests that come once are not in again; where it is small, Spark sends it to the pages and their payloads stay put.
-    return hashed.join(again, (hashed["sha"] == again["sha"]) & (F.length("payload") == again["n"]), "left").select(
+    sized = hashed.withColumn("n", F.length("payload").cast("long"))
+    return join_spread(sized, again.drop("rows"), ["sha", "n"], "page_id", "left", again.where(F.col("rows") > HOT)).select(
         "page_id",
         "url",
         "payload",
-        F.length("payload").cast("long").alias("payload_bytes"),
+        F.col("n").alias("payload_bytes"),
         F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"),
     )
 
