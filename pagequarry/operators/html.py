@@ -107,10 +107,6 @@ def _exploded(elements: DataFrame, *hits: Column) -> DataFrame:
     return flat.select("page_id", "url", "x.*", "alt", "title")
 
 
-def _attr(name: str) -> Column:
-    return F.col("attrs")[name]
-
-
 def _tag(name: str) -> Column:
     return F.col("tag") == name
 
