@@ -6,8 +6,10 @@ detector looks at. The detectors are DataFrame operations on those rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,9 +30,10 @@ _SCHEMA = "page_id bigint, url string, el_no int, tag string, parent string, par
 
 
 class _Elements(HTMLParser):
-    def __init__(self, most_script: int | None) -> None:
+    def __init__(self, most_script: int | None, wanted: Callable[[str, str], bool]) -> None:
         super().__init__(convert_charrefs=True)
         self.most_script = most_script
+        self.wanted = wanted
         self.rows: list[list] = []
         self.open: list[tuple[str, int]] = []
         self.n = 0
@@ -40,9 +43,10 @@ class _Elements(HTMLParser):
         found: dict[str, str] = {}
         for k, v in attrs:
             found.setdefault(k, v or "")
-        if tag in TAGS or "background" in found.get("style", ""):
+        self.script = None if tag == "script" else self.script
+        if self.wanted(tag, found.get("style", "")):
             parent = self.open[-1] if self.open else ("", -1)
-            self.rows.append([self.n, tag, parent[0], parent[1], list(found.items()), None])
+            self.rows.append([self.n, tag, parent[0], parent[1], found, None])
             self.script = self.rows[-1] if tag == "script" else self.script
         if tag not in VOID:
             self.open.append((tag, self.n))
@@ -60,25 +64,98 @@ class _Elements(HTMLParser):
             self.script[5] = (self.script[5] or "") + data[: self.most_script]
 
 
-def html_elements(pages: DataFrame, most: int | None = None, most_script: int | None = None) -> DataFrame:
+_WS = r"[ \t\n\r\f]"
+_ATTRIBUTE = rf"{_WS}++([A-Za-z_:@][-A-Za-z0-9_:.@]*+)(?:=(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++)))?"
+_BARE_ATTRIBUTE = re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE)
+#: A tag, a comment or a document type in its regular form; the empty last branch stands for anything else after "<".
+_TOKEN = re.compile(rf"<(?:([A-Za-z][-A-Za-z0-9:_]*+)((?:{_BARE_ATTRIBUTE})*+){_WS}*+(/?)>|/([A-Za-z][-A-Za-z0-9:_]*+){_WS}*+>|!--[^-]*+(?:-[^-][^-]*+)*+-->|!(?i:doctype)[^>]*+>|())")
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_RAW_END = {tag: re.compile(rf"(?i)</\s*{tag}\s*>") for tag in ("script", "style")}
+
+
+def _regular_elements(html: str, wanted: Callable[[str, str], bool]) -> list[list] | None:
+    """The rows of _Elements for regular HTML, in one expression's pass over its tags; None where something else is met, for
+    which the tokenizer's rules are needed."""
+    rows, opened, n, at, token = [], [], 0, 0, _TOKEN.search
+    while (m := token(html, at)) is not None:
+        at = m.end()
+        tag, attrs, closed, end, other = m.groups()
+        if tag is not None:
+            tag = tag.lower()
+            row = None
+            style = "background" in attrs
+            if style or wanted(tag, ""):
+                found: dict[str, str] = {}
+                for k, a, b, c in _ATTRIBUTES.findall(attrs):
+                    v = a or b or c
+                    found.setdefault(k.lower(), unescape(v) if "&" in v else v)
+                if not style or wanted(tag, found.get("style", "")):
+                    parent = opened[-1] if opened else ("", -1)
+                    row = [n, tag, parent[0], parent[1], found, None]
+                    rows.append(row)
+            if tag not in VOID:
+                opened.append((tag, n))
+            n += 1
+            if closed:
+                end = tag
+            elif tag in _RAW_END:
+                stop = _RAW_END[tag].search(html, at)
+                if stop is None:
+                    return None
+                if row is not None and tag == "script":
+                    row[5] = html[at : stop.start()] or None
+                at, end = stop.end(), tag
+        elif other is not None:
+            return None
+        if end is not None:
+            end = end.lower()
+            if opened and opened[-1][0] == end:
+                opened.pop()
+            elif any(t == end for t, _ in opened):
+                while opened.pop()[0] != end:
+                    pass
+    return rows
+
+
+def html_elements(pages: DataFrame, most: int | None = None, most_script: int | None = None, tags: set[str] | None = None) -> DataFrame:
     """page_id, url, el_no, tag, parent, parent_no, attrs, text (of scripts) from pages (page_id, url, html).
 
     The first of an attribute given twice counts; null html has no elements. most, most_script: characters of a body and of each
-    piece of a script that are read (MAX_BODY, MAX_SCRIPT for the usual caps; None: all).
+    piece of a script that are read (MAX_BODY, MAX_SCRIPT for the usual caps; None: all). tags: the elements that are asked for,
+    by name, "style" for all with a background (None: those of all detectors); numbers and parents don't depend on it.
     """
+    names_wanted, styled = TAGS if tags is None else frozenset(tags), tags is None or "style" in tags
+
+    def wanted(tag: str, style: str) -> bool:
+        return tag in names_wanted or (styled and "background" in style)
+
+    def elements_of(html: str) -> list[list]:
+        rows = _regular_elements(html, wanted) if most_script is None else None
+        if rows is None:
+            parser = _Elements(most_script, wanted)
+            parser.feed(html)
+            rows = parser.rows
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
         names = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = []
-                for page, url, html in zip(*(batch.column(i).slice(at, 64).to_pylist() for i in range(3))):
-                    parser = _Elements(most_script)
-                    parser.feed((html or "")[:most])
-                    rows += [[page, url, *r] for r in parser.rows]
+                part = batch.slice(at, 64)
+                rows, page = [], []
+                for i, html in enumerate(part.column(2).to_pylist()):
+                    found = elements_of((html or "")[:most])
+                    rows += found
+                    page += [i] * len(found)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    el_no, tag, parent, parent_no, attrs, text = zip(*rows)
+                    ends = [0]
+                    for x in attrs:
+                        ends.append(ends[-1] + len(x))
+                    keys, values = (pa.array([y for x in attrs for y in of(x)], pa.string()) for of in (dict.keys, dict.values))
+                    told = [pa.array(el_no, pa.int32()), pa.array(tag, pa.string()), pa.array(parent, pa.string()), pa.array(parent_no, pa.int32()), pa.MapArray.from_arrays(pa.array(ends, pa.int32()), keys, values), pa.array(text, pa.string())]
+                    of_page = pa.array(page, pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(of_page), part.column(1).take(of_page).cast(pa.string()), *told], names=names)
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, _SCHEMA)
 
@@ -214,7 +291,10 @@ def detect_images(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
     Every page is parsed once: all detectors look at an element in one pass. URLs are resolved in place.
     """
     e = elements if elements is not None else html_elements(pages)
-    own = _exploded(e, *_img(), *_lazy(), *_picture(), *_meta(), *_link_rel(), *_anchor(), *_input(), *_background())
+    # An element is looked at by the detectors of its own tag only.
+    kinds = [("img", _img() + _lazy()), ("source", _picture()), ("meta", _meta()), ("link", _link_rel()), ("a", _anchor()), ("input", _input())]
+    by_tag = reduce(lambda rest, kind: F.when(_tag(kind[0]), F.concat(*kind[1])).otherwise(rest), kinds, F.array().cast(f"array<{_ITEM}>"))
+    own = _exploded(e, by_tag, *_background())
     raw = own.unionByName(detect_media_paths(pages))
     hits = raw.withColumn("abs", urls.resolve(F.col("raw"), F.col("url"))).where(urls.is_http_url(F.col("abs")))
     hits = hits.where((F.col("detector_no") != 6) | urls.extension_from_url(F.col("abs")).isin(urls.IMAGE_EXTENSIONS))
@@ -277,11 +357,14 @@ MANIFEST = r"(?i)\.m3u8(\?|$)|\.mpd(\?|$)"
 def detect_videos(elements: DataFrame) -> DataFrame:
     """page_id, video_url, source_type, container, mime_type, is_manifest, thumbnail_url, title of <video> and its <source>s;
     each URL once per page, sources before the video's own src."""
-    v = elements.where("tag = 'video'").select("page_id", "url", F.col("el_no").alias("video_no"), _attr("src").alias("own"), _attr("poster").alias("poster"), F.coalesce(F.nullif(_attr("title"), F.lit("")), _attr("aria-label")).alias("title"), _attr("type").alias("type"))
-    s = elements.where("tag = 'source' and parent = 'video'").select("page_id", F.col("parent_no").alias("video_no"), "el_no", _attr("src").alias("raw"), _attr("type").alias("type")).where("raw <> ''")
-    children = s.join(v.drop("type", "own"), ["page_id", "video_no"]).select("page_id", "url", "video_no", "el_no", "raw", "type", "poster", "title", F.lit("source").alias("kind"))
-    direct = v.where("own <> ''").select("page_id", "url", "video_no", F.lit(2_000_000_000).alias("el_no"), F.col("own").alias("raw"), "type", "poster", "title", F.lit("video").alias("kind"))
-    both = children.unionByName(direct).withColumn("video_url", urls.normalize_url(F.col("raw"), F.col("url"), keep_fragment=True)).where("video_url is not null")
+    e = elements.where("tag = 'video' or (tag = 'source' and parent = 'video')")
+    video = F.col("tag") == "video"
+    shown = F.struct(_attr("poster").alias("poster"), F.coalesce(F.nullif(_attr("title"), F.lit("")), _attr("aria-label")).alias("title"))
+    # One shuffle by page serves both the look-up of a source's video and the choice among equal URLs.
+    e = e.select("page_id", "url", F.when(video, F.col("el_no")).otherwise(F.col("parent_no")).alias("video_no"), "el_no", _attr("src").alias("raw"), _attr("type").alias("type"), F.when(video, "video").otherwise("source").alias("kind"), F.when(video, shown).alias("shown")).repartition("page_id")
+    of_video = W.partitionBy("page_id", "video_no").orderBy("el_no").rowsBetween(W.unboundedPreceding, 0)
+    both = e.withColumn("shown", F.first("shown").over(of_video)).where("raw <> ''").select("page_id", "url", "video_no", F.when(F.col("kind") == "video", F.lit(2_000_000_000)).otherwise(F.col("el_no")).alias("el_no"), "raw", "type", "shown.*", "kind")
+    both = both.withColumn("video_url", urls.normalize_url(F.col("raw"), F.col("url"), keep_fragment=True)).where("video_url is not null")
     w = W.partitionBy("page_id", "video_url").orderBy("video_no", "el_no")
     one = both.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     u, by_type = F.col("video_url"), F.coalesce(F.col("type"), F.lit("")).rlike(r"(?i)mpegurl|dash\+xml") & (F.col("kind") == "source")

@@ -49,18 +49,18 @@ _VIDEO_SQL = """SELECT page_id, o || '/v/' || k || '.m3u8' AS video_url, 'hls-js
 
 @_register("page_videos", f"WITH m AS ({_MEDIA}) {_VIDEO_SQL}", "media_pages")
 def _(spark, d):
-    return html.detect_videos(html.html_elements(view(spark, d, "media_pages")))
+    return html.detect_videos(html.html_elements(view(spark, d, "media_pages"), tags={"video", "source"}))
 
 
 @_register("iframe_videos", f"WITH m AS ({_MEDIA}), v AS ({_VIDEO_SQL}) SELECT page_id, url AS iframe_src, video_url, source_type FROM v JOIN m USING (page_id)", "media_pages")
 def _(spark, d):
     pages = view(spark, d, "media_pages")
-    return html.detect_iframe_videos(html.html_elements(pages), pages).select("page_id", "iframe_src", "video_url", "source_type")
+    return html.detect_iframe_videos(html.html_elements(pages, tags={"iframe", "video", "source"}), pages).select("page_id", "iframe_src", "video_url", "source_type")
 
 
 @_register("background_videos", f"WITH m AS ({_MEDIA}) SELECT page_id, o || '/w/' || k || '.webm' AS video_url, 'background' AS source_type, 'webm' AS container FROM m", "media_pages")
 def _(spark, d):
-    return html.detect_background_videos(html.html_elements(view(spark, d, "media_pages")))
+    return html.detect_background_videos(html.html_elements(view(spark, d, "media_pages"), tags={"style"}))
 
 
 @_register("site_videos", "SELECT page_id, 'https://cdn.example.com/' || page_id || '.m3u8' AS video_url, 'vk' AS source_type, 'hls' AS container FROM site_pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'https://cdn.example.com/' || page_id || '.mp4?a=1&b=2', 'vk', 'mp4' FROM site_pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'https://video.twimg.com/' || page_id || '.mp4', 'twitter', 'mp4' FROM site_pages WHERE page_id % 5 = 3", "site_pages")
