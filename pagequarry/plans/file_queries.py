@@ -31,8 +31,11 @@ def _(spark, d):
     k = F.col("s_suppkey").cast("string")
     body = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), (F.col("s_suppkey") + 1000).cast("string"), F.lit("\n720p.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=9000\nv"), k, F.lit(".m3u8"))
     path = new_path(spark)
-    spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("k"), body.alias("value")).write.partitionBy("k").text(path)
-    found = manifests.parse_hls_master(readers.read_manifests(spark, f"{path}/*/*.txt"))
+    # A file for each row: dealt out by key, so that all tasks write, and moved into place by them, not one by one by the driver.
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("k"), body.alias("value"))
+    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    spread.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("k").text(path)
+    found = manifests.parse_hls_master(readers.read_manifests(spark, path, "*.txt"))
     key = F.regexp_extract("url", "/k=([0-9]+)/", 1).cast("long")
     return found.select(key.alias("k"), F.col("variant_no").cast("long").alias("variant_no"), "bandwidth", F.regexp_extract("variant_url", "([^/]*)$", 1).alias("name"))
 

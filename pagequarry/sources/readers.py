@@ -25,9 +25,10 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("headers", once)
 
 
-def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
-    """url (the file), body: one row per text file."""
-    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("body"))
+def read_manifests(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """url (the file), body: one row per text file. path: files or folders, with wildcards or not; of folders all files below, or
+    those with a name like `name`. A folder's subfolders are listed by tasks, those of a wildcard one by one by the driver."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("body"))
 
 
 def read_media_heads(spark: SparkSession, path: str, n: int = HEAD, offset: int = 0) -> DataFrame:
