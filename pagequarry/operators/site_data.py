@@ -147,9 +147,9 @@ def _tags(pages: DataFrame, sites: list[str]) -> DataFrame:
     """page_id, source_type, at, x: addresses of video tags on pages of some sites; of their sources too, where the site has them."""
     host = urls.hostname_of(F.col("url"))
     site = F.coalesce(*[F.when(host.rlike(TAG_SITES[s]), F.lit(s)) for s in sites])
-    own = pages.select("page_id", "url", "html", site.alias("site")).where("site is not null")
+    own = pages.where(site.isNotNull())
     e = html_elements(own, tags={"video", "source"}).where("tag = 'video' or (tag = 'source' and parent = 'video')")
-    e = e.join(own.select("page_id", F.col("site").alias("source_type")), "page_id").where(~((F.col("tag") == "source") & F.col("source_type").isin(*OWN_SRC_ONLY)))
+    e = e.withColumn("source_type", site).where(~((F.col("tag") == "source") & F.col("source_type").isin(*OWN_SRC_ONLY)))
     src = F.nullif(F.trim(F.col("attrs")["src"]), F.lit(""))
     return e.select("page_id", "source_type", F.struct(F.lit(1 << 30).alias("script_no"), F.col("el_no").cast("int").alias("n")).alias("at"), _found(src).alias("x")).where("x.url is not null")
 
