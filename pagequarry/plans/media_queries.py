@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.functions.tables import new_path
+from pagequarry.functions.tables import keep, new_path
 from pagequarry.operators import dedup, downloads, html, links, manifests, metadata, reports
 from pagequarry.plans import catalog, fixtures
 from pagequarry.plans.catalog import _CANON, _EDGES, _JOBS, _MIME, _ONE, _PATHQ, _SIZE, _domain, _edges, _ext, _first_sql, _jobs, _pages, _register, _responses, _robots
@@ -178,7 +178,7 @@ _PLAYED = "WITH i AS (SELECT l_orderkey, sum(CAST(l_quantity AS INT)) AS total,
 
 @_register("expand_manifests", f"{_PLAYED} SELECT l_orderkey AS id, 'https://m.example.com/' || l_orderkey || '.m3u8' AS best_url, 800000 AS bandwidth, CAST(total AS BIGINT) AS duration, n AS segment_count, l_orderkey % 2 = 1 AS is_live, CAST(total * 100000 AS BIGINT) AS estimated_size FROM i")
 def _(spark, d):
-    media = fixtures.hls_media(spark, d)
+    media = keep(fixtures.hls_media(spark, d))
     key = F.regexp_extract("url", r"/([0-9]+)\.m3u8$", 1)
     master = F.concat(F.lit("https://m.example.com/x/"), key, F.lit("/master.m3u8"))
     body = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1000\nlow.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=800000\n/"), key, F.lit(".m3u8\n"))
