@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -64,6 +66,15 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how
     return salted.where("`is heavy`").select(*own, *new).unionByName(salted.where("`is heavy` is null").select(*own).join(table, keys, how).select(*own, *new))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files stay on the executors' disks until the driver's JVM collects the frames that they belong to, which may take
+    the whole query. After a phase of which only checkpoints and tables are used on, this has them deleted at once."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)  # Py4J lets go of what Python has collected in a thread of its own
+        spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns a Python worker's freed memory to the system. Spark uses its workers again, and the C library (glibc; others have
     no such call) keeps most of what is freed, so an executor would go on holding what its largest tasks took."""

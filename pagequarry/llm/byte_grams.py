@@ -30,6 +30,8 @@ A, ORDER, EDGE, LOW = 257, 6, 256, 2
 #: Bytes of text of a block, of a task that counts and of a slice, different n-grams of a shard, different n-grams that a task
 #: holds, blocks that ask one copy of a shard.
 BLOCK, COUNTED, SLICE, SHARD, HELD, ASKERS = 20 << 20, 32 << 20, 1 << 20, 1 << 18, 1 << 22, 512
+#: Zstandard's level for blocks, which are most of what is shuffled; beyond 6 they hardly shrink.
+LEVEL = 6
 #: Models by the folds that they are trained on: all but fold 0, all but fold 1, both.
 BUT_0, BUT_1, BOTH = 0, 1, 2
 GRAMS, CONTEXTS = 0, 1
@@ -115,6 +117,14 @@ def unpacked(b: bytes) -> np.ndarray:
     return x[1:].reshape(-1, x[0]) if x[0] else np.zeros((8, 0), np.int64)
 
 
+def filled(values: np.ndarray, at: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """values with numbers in the columns at; of 32 bits as long as all numbers fit."""
+    if values.dtype == np.int32 and numbers.max(initial=0) > np.iinfo(np.int32).max:
+        values = values.astype(np.int64)
+    values[:, at] = numbers
+    return values
+
+
 def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=0)
 
@@ -361,7 +371,7 @@ def perplexity(docs: DataFrame, model: Model, which: str | int = BOTH, size: int
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of this task in blocks; a block is named by its content, so that one made anew is another block."""
-        zstd, held = pa.ipc.IpcWriteOptions(compression="zstd"), dict[int, list[bytes]]()
+        zstd, held = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL)), dict[int, list[bytes]]()
         sizes: dict[int, int] = {}
 
         def told(m: int) -> pa.RecordBatch:
@@ -384,6 +394,7 @@ def perplexity(docs: DataFrame, model: Model, which: str | int = BOTH, size: int
                         yield told(m)
         for m in list(held):
             yield told(m)
+        give_back()
 
     def ask(key: tuple, block: pa.Table) -> pa.Table:
         m, name = key[0].as_py(), key[1].as_py()
@@ -415,19 +426,19 @@ def perplexity(docs: DataFrame, model: Model, which: str | int = BOTH, size: int
     def score(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
         keys = _block_keys(block, text)
         context, of = different(keys // A)[0], keys // A
-        values = {GRAMS: np.zeros((4, len(keys)), np.int64), CONTEXTS: np.zeros((12, len(context)), np.int64)}
+        values = {GRAMS: np.zeros((4, len(keys)), np.int32), CONTEXTS: np.zeros((12, len(context)), np.int32)}
         at = {GRAMS: places(keys, shards), CONTEXTS: places(context, shards)}
         due = sum(len(x) > 0 for kind in at.values() for x in kind)
         if told.num_rows != due:
             raise RuntimeError(f"a block has {told.num_rows} answers of {due}: its rows were made anew in another order")
         for kind, s, data in zip(*(told.column(c).to_pylist() for c in ("kind", "shard", "told"))):
-            values[kind][:, at[kind][s]] = unpacked(data)
+            values[kind] = filled(values[kind], at[kind][s], unpacked(data))
         index = np.cumsum(np.concatenate([[False], of[1:] != of[:-1]])) if len(of) else of
         cost = np.zeros(len(keys))
         for at_ in range(0, len(keys), 1 << 16):  # a part at a time: the numbers by order take much room
             some = slice(at_, at_ + (1 << 16))
             cost[some] = -np.log(probabilities(keys[some], values[GRAMS][:, some], values[CONTEXTS][:, index[some]], low[key[0].as_py()]))
-        del told, context, of, index, values
+        del told, context, of, index, values, at
         give_back()
         where, out = Places(keys), []
         for b in _opened(block):

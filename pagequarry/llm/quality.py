@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import byte_grams
-from pagequarry.llm.base import cut, keep
+from pagequarry.llm.base import cut, free_shuffles, keep
 
 #: Quantile of the trusted documents' perplexity, and the margin by which a document may exceed it; trusted documents that a
 #: threshold needs; ids and languages that are sent to every task, at most (beyond that they are joined by a shuffle).
@@ -55,8 +55,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     bytes_of = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")
     size, known = docs.agg(bytes_of).first()["n"], trusted.agg(bytes_of).first()["n"]
     counts = byte_grams.train(trusted.coalesce(max(1, -(-known // byte_grams.COUNTED))))
-    scored = byte_grams.perplexity(trusted, counts, "fold", known)
-    return Model(counts, thresholds(scored.select("lang", "n_grams", "perplexity")), size)
+    limits = thresholds(byte_grams.perplexity(trusted, counts, "fold", known).select("lang", "n_grams", "perplexity"))
+    del trusted
+    free_shuffles(docs.sparkSession)  # the trusted texts' blocks and messages
+    return Model(counts, limits, size)
 
 
 def length_class(n: Column) -> Column:
