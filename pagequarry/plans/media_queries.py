@@ -13,7 +13,7 @@ from pagequarry.functions.tables import keep, new_path
 from pagequarry.operators import dedup, downloads, html, links, manifests, metadata, reports
 from pagequarry.plans import catalog, fixtures
 from pagequarry.plans.catalog import _CANON, _EDGES, _JOBS, _MIME, _ONE, _PATHQ, _SIZE, _domain, _edges, _ext, _first_sql, _jobs, _pages, _register, _responses, _robots
-from pagequarry.plans.fixtures import view, view_sql
+from pagequarry.plans.fixtures import dealt_out, view, view_sql
 from pagequarry.sources import sinks
 from pagequarry.streaming import jobs
 
@@ -169,7 +169,7 @@ def _(spark, d):
     k, r = F.col("p_partkey").cast("string"), (F.col("p_size") % 4).cast("string")
     head = '<?xml version="1.0"?><MPD type="static"><Period><AdaptationSet mimeType="video/mp4"><SegmentTemplate initialization="$RepresentationID$/init.mp4" media="$RepresentationID$/t_$Time%05d$.m4s" timescale="10"><SegmentTimeline><S t="7" d="10" r="'
     body = F.concat(F.lit(head), r, F.lit('"/><S d="5"/></SegmentTimeline></SegmentTemplate><Representation id="v" bandwidth="5"/></AdaptationSet></Period></MPD>'))
-    m = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("https://d.example.com/"), k, F.lit("/t.mpd")).alias("url"), body.alias("body"))
+    m = dealt_out(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")).select(F.concat(F.lit("https://d.example.com/"), k, F.lit("/t.mpd")).alias("url"), body.alias("body"))
     return manifests.dash_timeline_segments(manifests.dash_representations(m)).select("url", F.col("seg_no").cast("long").alias("seg_no"), "seg_url")
 
 
@@ -293,7 +293,7 @@ def _(spark, d):
     k = F.col("p_partkey").cast("string")
     video = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit('<AdaptationSet mimeType="video/mp4"><Representation id="v" bandwidth="'), k, F.lit('"/></AdaptationSet>'))).otherwise("")
     body = F.concat(F.lit("<MPD><Period>"), video, F.lit('<AdaptationSet mimeType="audio/mp4"><Representation id="a" bandwidth="900000"/></AdaptationSet></Period></MPD>'))
-    m = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("https://d.example.com/"), k, F.lit("/s.mpd")).alias("url"), body.alias("body"))
+    m = dealt_out(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")).select(F.concat(F.lit("https://d.example.com/"), k, F.lit("/s.mpd")).alias("url"), body.alias("body"))
     return manifests.best_variant(manifests.parse_dash(m), video_only=True).select("url", "rep_id", "bandwidth")
 
 
