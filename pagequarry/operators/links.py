@@ -37,7 +37,8 @@ def resolve_links(links: DataFrame) -> DataFrame:
     """Adds abs_url to (url, href), resolved in place; what isn't worth following goes."""
     href = F.trim("href")
     absolute = urls.resolve(href, F.col("url"))
-    return links.where(is_followable(F.col("href"))).withColumn("abs_url", absolute)
+    # Through explode() no filter on abs_url is pushed, which would have each link resolved twice, by two Python workers of a task.
+    return links.where(is_followable(F.col("href"))).select("*", F.explode(F.array(absolute)).alias("abs_url"))
 
 
 def extract_links(elements: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 from pagequarry.functions import urls
-from pagequarry.operators import html
+from pagequarry.operators import html, links
 
 _ALL = lambda tag, style: tag in html.TAGS or "background" in style
 _BITS = ["<a href='x&amp;y'>", "<A HREF=/a/b/>", '<img src="a" src=\'b\' alt>', "<br/>", "</p>", "<p>", "<div style='background:url(a)'>", "</div>", "<script>if(a<b){}</script>", "<script src=a/>", "<script/>", "<style>a{background:x}</STYLE>", "<!-- a - b -->", "<!-- a -- b --->", "<!doctype html>", "< a", "&lt;", "text ", "<video>", "</video>", "<source src=a>", "<a b", '"', "'", ">", "<a\x0bhref=x>", "<![CDATA[x]]>", "<?x?>", "</a b>", "<a x=1y=2>", "<a x='1'y='2'>", "<a x = '1'>", "<p\n class=\"k\"\t>", '<a b="<c>">', "<é>"]
@@ -51,3 +51,11 @@ def test_clean_urls_are_resolved_alike_by_the_short_way():
         short += url is not None
         assert url is None or url == urls._resolve(raw, base, True) == urls._resolve(raw, base, False), (raw, base)
     assert short > 100
+
+
+def test_links_are_resolved_once(spark):
+    page = '<a href="/x">x</a><a href="b.jpg">b</a><a href="http://[bad">c</a><a href="#f">d</a><a href="/logout">e</a><a href="../y?q=1#z">f</a>'
+    pages = spark.createDataFrame([(1, "https://a.example.com/p/", page), (2, "https://a.example.com/", None)], "page_id long, url string, html string")
+    for found in (links.page_links(pages), links.extract_links(html.html_elements(pages, tags={"a"}))):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert {(r.page_id, r.link) for r in found.collect()} == {(1, "https://a.example.com/x"), (1, "https://a.example.com/y?q=1")}
