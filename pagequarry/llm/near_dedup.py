@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.base import HOT, SALTS, cut, join_spread, unused
+from pagequarry.llm.base import HOT, SALTS, cut, give_back, join_spread, unused
 from pagequarry.llm.shingles import _mix, set_names, shingle_sets
 
 SLOTS, TILE = 1 << 20, 384
+#: Bytes of a group from which its task returns the memory that it took.
+LARGE = 1 << 20
 #: Bands and rows: a pair at 0.85 is missed with a chance of 1e-6 (36 x 7); for a threshold of 0.8, 40 x 6 gives 5e-6.
 BANDING = {85: (36, 7), 80: (40, 6)}
 
@@ -84,6 +86,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 for i, key in zip(full, keys):
                     listed[i] = key
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(listed, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "keys"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>")
 
@@ -159,6 +162,9 @@ def star_links(stars: DataFrame, words: int, percent: int) -> DataFrame:
                 linked[i] = linked.get(i, False) or 100 * both >= percent * (len(centre) + len(s) - both)
         linked.pop(hub, None)
         alone = len(linked) == 1 and table.column("tiles")[0].as_py() == 1
+        if table.nbytes > LARGE:
+            del sets
+            give_back()
         return pa.table({"hub": pa.array([hub] * len(linked), pa.int64()), "id": pa.array(list(linked), pa.int64()), "linked": pa.array(list(linked.values()), pa.bool_()), "alone": pa.array([alone] * len(linked), pa.bool_())})
 
     return stars.groupBy("hub", "t").applyInArrow(run, "hub bigint, id bigint, linked boolean, alone boolean")
@@ -171,6 +177,8 @@ def verified_links(groups: DataFrame, words: int, percent: int) -> DataFrame:
         ids = table.column("id").to_numpy()
         edges = spanning_forest(_linked(shingle_sets(table.column("text").to_pylist(), words), percent))
         a, b = (np.array([ids[e[i]] for e in edges], np.int64) for i in (0, 1))
+        if table.nbytes > LARGE:
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return groups.groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from pagequarry.llm.base import as_row, cut, row_columns
+from pagequarry.llm.base import as_row, cut, give_back, row_columns
 
 BLANK = "\u2581"
 #: Characters from which a document is scanned in chunks, characters of a chunk, nodes that a round joins, words in the memo.
@@ -283,6 +283,7 @@ def scan_giants(giants: DataFrame, path: str) -> DataFrame:
                 into, out, m = c.transfer(r["t"], r["begin"] - r["base"], r["end"] - r["base"])
                 flat = [[x + r["base"] for state in states for x in state] for states in (into, out)]
                 yield pa.RecordBatch.from_pydict({"doc": [r["doc"]], "no": [r["no"]], "into": [flat[0]], "out": [flat[1]], "weights": [m.ravel()]}, pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("into", pa.list_(pa.int64())), ("out", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))]))
+        give_back()
 
     def matrices(t: pa.Table) -> tuple[list[dict], list[np.ndarray]]:
         rows = sorted(t.to_pylist(), key=lambda r: r["no"])
@@ -334,6 +335,7 @@ def scan_giants(giants: DataFrame, path: str) -> DataFrame:
                 k = r["base"]
                 ids = c.trace(r["t"], (r["s0"] - k, r["e0"] - k), (r["s1"] - k, r["e1"] - k), r["begin"] - k, r["end"] - k)
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc"]]), pa.array([r["no"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["doc", "no", "ids"])
+        give_back()
 
     traced = chunks.join(goals, ["doc", "no"]).mapInArrow(traces, "doc bigint, no int, ids array<int>")
     parts = F.array_sort(F.collect_list(F.struct("no", "ids")))
@@ -359,6 +361,7 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: s
                 ids = c.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["r", "ids"])
+        give_back()
 
     is_giant = F.coalesce(F.length("t"), F.lit(0)) > giant
     small = packed.where(~is_giant).mapInArrow(run, out)
