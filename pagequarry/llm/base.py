@@ -7,6 +7,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +68,19 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how
     return salted.where("`is heavy`").select(*own, *new).unionByName(salted.where("`is heavy` is null").select(*own).join(table, keys, how).select(*own, *new))
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go at its end, whatever the driver still refers to. For phases of which only
+    checkpoints and tables are used on; a frame that is run twice makes them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files stay on the executors' disks until the driver's JVM collects the frames that they belong to, which may take
     the whole query. After a phase of which only checkpoints and tables are used on, this has them deleted at once."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import byte_grams
-from pagequarry.llm.base import cut, free_shuffles, keep
+from pagequarry.llm.base import cut, free_shuffles, keep, short_shuffles
 
 #: Quantile of the trusted documents' perplexity, and the margin by which a document may exceed it; trusted documents that a
 #: threshold needs; ids and languages that are sent to every task, at most (beyond that they are joined by a shuffle).
@@ -51,13 +51,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by their content, and the perplexities that the thresholds come from are given by the model of the other fold. Without
     trusted texts every n-gram costs the same and nothing is rejected.
     """
-    trusted = trusted_texts(docs, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     bytes_of = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")
-    size, known = docs.agg(bytes_of).first()["n"], trusted.agg(bytes_of).first()["n"]
-    counts = byte_grams.train(trusted.coalesce(max(1, -(-known // byte_grams.COUNTED))))
-    limits = thresholds(byte_grams.perplexity(trusted, counts, "fold", known).select("lang", "n_grams", "perplexity"))
+    size = docs.agg(bytes_of).first()["n"]
+    with short_shuffles(docs.sparkSession):  # the counts, and the trusted texts' blocks and messages
+        trusted = trusted_texts(docs, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+        known = trusted.agg(bytes_of).first()["n"]
+        counts = byte_grams.train(trusted.coalesce(max(1, -(-known // byte_grams.COUNTED))))
+        limits = thresholds(byte_grams.perplexity(trusted, counts, "fold", known).select("lang", "n_grams", "perplexity"))
     del trusted
-    free_shuffles(docs.sparkSession)  # the trusted texts' blocks and messages
+    free_shuffles(docs.sparkSession)  # checkpoints
     return Model(counts, limits, size)
 
 

@@ -5,7 +5,7 @@ import time
 import numpy as np
 
 from pagequarry.llm import byte_grams, quality
-from pagequarry.llm.base import keep, table
+from pagequarry.llm.base import cut, keep, table
 from tests.conftest import DATA
 
 
@@ -25,6 +25,19 @@ def test_fitting_leaves_no_shuffle_files(spark):
     assert _shuffled(spark) <= before and model.limits.count() > 1
 
 
+def test_fitting_frees_shuffle_files_that_the_driver_refers_to(spark, monkeypatch):
+    held, name = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs, set_before = keep(table(spark, DATA, "documents")), spark.conf.get(name)
+    monkeypatch.setattr(quality, "cut", lambda df: (held.append(df), cut(df))[1])
+    monkeypatch.setattr(quality, "free_shuffles", lambda spark: None)
+    before = _shuffled(spark)
+    quality.fit(docs, table(spark, DATA, "labels"))
+    until = time.time() + 20
+    while _shuffled(spark) > before and time.time() < until:
+        time.sleep(0.5)
+    assert _shuffled(spark) <= before and held and spark.conf.get(name) == set_before
+
+
 def test_counts_beyond_32_bits_stay_whole():
     values = byte_grams.filled(np.zeros((2, 3), np.int32), np.array([2, 0]), np.array([[7, 8], [9, 1]]))
     assert values.dtype == np.int32 and values.tolist() == [[8, 0, 7], [1, 0, 9]]
