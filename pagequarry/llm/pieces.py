@@ -59,7 +59,9 @@ class Coder:
         self.number = {sp.id_to_piece(i): i for i in normal}
         self.longest = max(map(len, self.score))
         assert not any(BLANK in p.lstrip(BLANK) for p in self.score), "a piece goes on after a blank"
-        self.memo: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.memo = pa.array([], pa.string())  # words, where the ids of each begin in memo_ids, how many they are, how often it was met of late
+        self.memo_at, self.memo_n, self.memo_met, self.memo_ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32)
+        self.begins = np.array([sp.id_to_piece(i)[:1] == BLANK for i in range(sp.get_piece_size())])
         self.stable_memo: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.surfaces = None
@@ -75,24 +77,66 @@ class Coder:
         return [self.sp.piece_to_id(f"<0x{b:02X}>") for b in piece.encode()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids as the library gives them, word by word; a word is a run of blanks with what follows it."""
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif "  " in t or t[0] == " " or BLANK in t:
-                split.append([w[1:].replace(BLANK, " ") for w in _WORD.findall(self.spelled(t))])
-            else:
-                split.append(t.split(" "))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        memo[""] = np.int32(self.number[BLANK]).tobytes()
-        new = list({w for ws in split for w in ws if w not in memo})
-        for at in range(0, len(new), 10_000):  # the library puts a blank before every text: the first one of the word
-            some = new[at : at + 10_000]
-            memo.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(some, self.sp.encode(some, num_threads=1)))
-        return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.int32) for ws in split]
+        """Ids as the library gives them, of each text."""
+        flat, ends = self.encode_flat(pa.array(texts, pa.string()))
+        return np.split(flat, ends[:-1]) if texts else []
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids as the library gives them, of all texts one after another, and where each text's end; word by word: a word is a
+        run of blanks with what follows it. Each different word is looked up once."""
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, BLANK), pc.equal(texts, "")))).astype(bool)
+        own = [[w[1:].replace(BLANK, " ") for w in _WORD.findall(self.spelled(t))] for t in texts.filter(pa.array(odd)).to_pylist()]
+        parts = [pc.split_pattern(texts.filter(pa.array(~odd)), " "), pa.array(own, pa.list_(pa.string()))]
+        words = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+        index = np.asarray(words.indices)
+        at, n, ids = self._looked_up(words.dictionary, np.bincount(index, minlength=len(words.dictionary)))
+        flat = gathered(ids, at[index], n[index])
+        ends = np.concatenate([[0], np.cumsum(n[index])])[np.cumsum(np.concatenate([np.asarray(pc.list_value_length(p)) for p in parts]), dtype=np.int64)]
+        if not odd.any():
+            return flat, ends
+        order = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+        starts = np.concatenate([[0], ends[:-1]])[order]
+        many = ends[order] - starts
+        return gathered(flat, starts, many), np.cumsum(many)
+
+    def _looked_up(self, words: pa.Array, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words, where the ids of each begin in the third array, and how many they are. The memo keeps the words
+        that were met most often; what was met before counts half."""
+        known = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.memo), -1))
+        new = words.filter(pa.array(known < 0))
+        new_at, new_n, new_ids = self._learned(new)
+        all_at = np.concatenate([self.memo_at, new_at + len(self.memo_ids)]).astype(np.int32)
+        all_n, ids = np.concatenate([self.memo_n, new_n]).astype(np.int32), np.concatenate([self.memo_ids, new_ids])
+        place = known.copy()
+        place[known < 0] = len(self.memo) + np.arange(len(new))
+        count = np.concatenate([self.memo_met / 2, np.zeros(len(new))])
+        count[place] += met
+        rest = np.argpartition(-count, MEMO)[:MEMO] if len(count) > MEMO else np.arange(len(count))
+        self.memo, self.memo_met, self.memo_n = pa.concat_arrays([self.memo, new]).take(pa.array(rest)), count[rest], all_n[rest]
+        self.memo_ids = gathered(ids, all_at[rest], self.memo_n)
+        self.memo_at = (np.cumsum(self.memo_n) - self.memo_n).astype(np.int32)
+        return all_at[place], all_n[place], ids
+
+    def _learned(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _looked_up(), from the library. It puts a blank before every text, the first one of a word. Words without further
+        blanks are given to it in lines of 128, whose ids part where a piece begins with a blank."""
+        special = np.asarray(pc.or_(pc.starts_with(words, " "), pc.equal(words, ""))).astype(bool)
+        plain, n, ids = words.filter(pa.array(~special)), np.zeros(len(words), np.int32), [np.zeros(0, np.int32)]
+        if len(plain):
+            cuts = np.append(np.arange(0, len(plain), 128), len(plain)).astype(np.int32)
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), plain), " ")
+            for k in range(0, len(lines), 256):
+                ids += self.sp.encode(lines.slice(k, 256).to_pylist(), num_threads=1, return_type="numpy")
+        flat = np.concatenate(ids).astype(np.int32)
+        begins = np.flatnonzero(self.begins[flat])
+        assert len(begins) == len(plain), "a word's first piece has no blank, or another one has"
+        n[~special] = np.diff(np.append(begins, len(flat)))
+        own = [np.array(self.sp.encode(w) if w else [self.number[BLANK]], np.int32) for w in words.filter(pa.array(special)).to_pylist()]
+        n[special] = [len(x) for x in own]
+        at = np.zeros(len(words), np.int32)
+        at[~special], at[special] = begins, len(flat) + np.cumsum(n[special]) - n[special]
+        return at, n, np.concatenate([flat, *own])
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1) if ids else []
@@ -186,50 +230,53 @@ class Coder:
                 break
         return last
 
-    def word_starts(self, t: str, start: int, end: int) -> list[int]:
-        """Places in start..end where a word begins, so that a piece must end there."""
-        return [m.start() for m in _BEGIN.finditer(t, start, end)] if end > start else []
+    def last_word(self, t: str, start: int, end: int) -> int:
+        """The last place in start + 1 .. end - 1 where a word begins, so that a piece must end there; -1: none."""
+        at = t.rfind(BLANK, start + 1, end)
+        while at > start and t[at - 1] == BLANK:
+            at -= 1
+        return at if at > start else -1
+
+    def next_word(self, t: str, start: int, final: int) -> int:
+        """The first place in start..final where a word begins; -1: none."""
+        found = _BEGIN.search(t, start, final + 1) if start <= final else None
+        return found.start() if found else -1
 
     def transfer(self, t: str, begin: int, end: int) -> tuple[list, list, np.ndarray]:
         """Boundary states at begin and end (positions in t) and the matrix of best weights between them.
 
-        begin 0 has one state, before any piece; the end of t has those that end there. Words that lie between the first
-        and the last beginning of a word are the same for all states, so only the ends of the chunk are tried state by state.
+        begin 0 has one state, before any piece; the end of t has those that end there. From the first beginning of a word
+        after a state, up to the last one before end, words are the same for all states, so only the ends of the chunk are
+        tried: up to that first beginning state by state, from that last one once for all.
         """
         into = [(0, 0)] if begin == 0 else self.states(t, begin)
         out = self.states(t, end)
         m = np.full((len(into), len(out)), NEVER)
-        marks = self.word_starts(t, begin + self.longest + 1, end - self.longest - 1)
-        if not marks:
-            for i, state in enumerate(into):
-                last = self.chain(t, state if state[1] else None, state[1], max(e for _, e in out))
+        final, goal = self.last_word(t, begin, end), max(e for _, e in out)
+        tail = self.chain(t, None, final, goal) if final >= 0 else {}
+        ends = np.array([0.0 if tail.get(e) == s else NEVER for s, e in out])
+        for i, state in enumerate(into):
+            before, first = state if state[1] else None, self.next_word(t, state[1], final)
+            if first < 0:
+                last = self.chain(t, before, state[1], goal)
                 for j, (s, e) in enumerate(out):
                     if last.get(e) == s or (s, e) == state:
                         m[i, j] = 0
-            return into, out, m
-        first, final = marks[0], marks[-1]
-        tail = self.chain(t, None, final, max(e for _, e in out))
-        ends = np.array([0.0 if tail.get(e) == s else NEVER for s, e in out])
-        for i, state in enumerate(into):
-            if first in self.chain(t, state if state[1] else None, state[1], first):
+            elif first == state[1] or first in self.chain(t, before, state[1], first):
                 m[i] = ends
         return into, out, m
 
-    def trace(self, t: str, state: tuple[int, int], goal: tuple[int, int], begin: int, end: int) -> list[int]:
-        """Ids of the pieces after state, up to and with goal."""
+    def trace(self, t: str, state: tuple[int, int], goal: tuple[int, int], begin: int, end: int) -> tuple[list[int], str, list[int]]:
+        """The pieces after state, up to and with goal: ids of the first ones, whole words as encode() takes them, ids of the last."""
         if state == goal:
-            return []
-        marks = self.word_starts(t, begin + self.longest + 1, end - self.longest - 1)
-        before = state if state[1] else None
-        if not marks:
-            return self._back(t, self.chain(t, before, state[1], goal[1]), state[1], goal[1])
-        first, final = marks[0], marks[-1]
+            return [], "", []
+        before, final = state if state[1] else None, self.last_word(t, begin, end)
+        first = self.next_word(t, state[1], final)
+        if first < 0:
+            return self._back(t, self.chain(t, before, state[1], goal[1]), state[1], goal[1]), "", []
         head = self._back(t, self.chain(t, before, state[1], first), state[1], first)
-        return head + self._words(t[first:final]) + self._back(t, self.chain(t, None, final, goal[1]), final, goal[1])
-
-    def _words(self, spelled: str) -> list[int]:
-        """Ids of whole words: the blank before them is the one that the library puts there."""
-        return self.encode([spelled[1:].replace(BLANK, " ")])[0].tolist() if spelled != BLANK else [self.number[BLANK]] if spelled else []
+        words = t[first + 1 : final].replace(BLANK, " ")  # encode() puts a blank before them
+        return head + [self.number[BLANK]] * (final - first == 1), words, self._back(t, self.chain(t, None, final, goal[1]), final, goal[1])
 
     def _back(self, t: str, last: dict[int, int], start: int, end: int) -> list[int]:
         pieces = []
@@ -239,6 +286,13 @@ class Coder:
         return [i for p in reversed(pieces) for i in self.ids(p)]
 
 
+def gathered(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One after another, n of values from each place at on."""
+    ends = np.cumsum(n, dtype=np.int64)
+    kind = np.int32 if max(len(values), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    return values[np.repeat((at - (ends - n)).astype(kind), n) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)]
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -279,10 +333,14 @@ def scan_giants(giants: DataFrame, path: str) -> DataFrame:
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
-            for r in b.to_pylist():
-                into, out, m = c.transfer(r["t"], r["begin"] - r["base"], r["end"] - r["base"])
-                flat = [[x + r["base"] for state in states for x in state] for states in (into, out)]
-                yield pa.RecordBatch.from_pydict({"doc": [r["doc"]], "no": [r["no"]], "into": [flat[0]], "out": [flat[1]], "weights": [m.ravel()]}, pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("into", pa.list_(pa.int64())), ("out", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))]))
+            for at in range(0, b.num_rows, 64):
+                part, columns = b.slice(at, 64), ([], [], [])
+                for r in part.select(["begin", "end", "base", "t"]).to_pylist():
+                    into, out, m = c.transfer(r["t"], r["begin"] - r["base"], r["end"] - r["base"])
+                    for column, x in zip(columns, (*([x + r["base"] for state in states for x in state] for states in (into, out)), m.ravel())):
+                        column.append(x)
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("no"), *map(pa.array, columns, kinds)], names=["doc", "no", "into", "out", "weights"])
         give_back()
 
     def matrices(t: pa.Table) -> tuple[list[dict], list[np.ndarray]]:
@@ -331,10 +389,15 @@ def scan_giants(giants: DataFrame, path: str) -> DataFrame:
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
-            for r in b.to_pylist():
-                k = r["base"]
-                ids = c.trace(r["t"], (r["s0"] - k, r["e0"] - k), (r["s1"] - k, r["e1"] - k), r["begin"] - k, r["end"] - k)
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc"]]), pa.array([r["no"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["doc", "no", "ids"])
+            for at in range(0, b.num_rows, 1_024):
+                part, found = b.slice(at, 1_024), []
+                for r in part.to_pylist():
+                    k = r["base"]
+                    found.append(c.trace(r["t"], (r["s0"] - k, r["e0"] - k), (r["s1"] - k, r["e1"] - k), r["begin"] - k, r["end"] - k))
+                words = c.encode([x[1] for x in found])
+                ids = [np.concatenate([head, mid, tail]).astype(np.int32) for (head, _, tail), mid in zip(found, words)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("no"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc", "no", "ids"])
         give_back()
 
     traced = chunks.join(goals, ["doc", "no"]).mapInArrow(traces, "doc bigint, no int, ids array<int>")
@@ -350,24 +413,24 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: s
     apart by a hash of their other columns and text, so repeated rows are scanned once and each gets the ids.
     """
     path = path or model_path()
-    packed = docs.select(as_row(docs).alias("r"), F.col(f"`{text}`").alias("t"))
+    packed, place = docs.select(as_row(docs).alias("r")), [c.lower() for c in docs.columns].index(text.lower())
     out = StructType([packed.schema["r"], StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = c.encode([t or "" for t in part.column(1).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["r", "ids"])
+            for at in range(0, b.num_rows, 1_024):
+                part = b.slice(at, 1_024)
+                flat, ends = c.encode_flat(part.column(0).field(place))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))], names=["r", "ids"])
         give_back()
 
-    is_giant = F.coalesce(F.length("t"), F.lit(0)) > giant
+    t = F.col("r").getField(text)
+    is_giant = F.coalesce(F.length(t), F.lit(0)) > giant
     small = packed.where(~is_giant).mapInArrow(run, out)
-    big = packed.where(is_giant).withColumn("doc", F.xxhash64(F.sha2(F.col("t").cast("binary"), 256)))
+    big = packed.where(is_giant).withColumn("doc", F.xxhash64(F.sha2(t.cast("binary"), 256)))
     if not big.isEmpty():
-        done = scan_giants(big.select("doc", F.col("t").alias("text")).dropDuplicates(["doc"]), path)
+        done = scan_giants(big.select("doc", t.alias("text")).dropDuplicates(["doc"]), path)
         small = small.unionByName(big.join(done, "doc").select("r", "ids"))
     return small.select(*[c for c, name in zip(row_columns(docs, "r"), docs.columns) if name.lower() != "ids"], "ids")
 

@@ -1,5 +1,6 @@
 """License scan, token counts, perplexity, personal data and pieces against plain Python."""
 
+import functools
 import hashlib
 import re
 import time
@@ -327,6 +328,33 @@ def test_scan_of_giants(spark, text):
     assert [x.ids for x in r] == [lib.encode(text)] * 2
 
 
+def test_chunks_are_tried_at_their_ends_only(real):
+    """Up to the first beginning of a word and from the last one; the middle isn't looked at piece by piece."""
+    c, tried = pieces.Coder(pieces.model_path()), [0]
+    t = max((x for x in real if x), key=len)[:20_000].replace("\n", " ")
+    t, expected, is_piece = c.spelled(t), c.sp.encode(t), c.is_piece
+    c.is_piece = lambda p: (tried.__setitem__(0, tried[0] + 1), is_piece(p))[1]
+    cuts = [*range(0, len(t) - 512, 512), len(t)]
+    mats = [c.transfer(t, *ends) for ends in zip(cuts, cuts[1:])]
+    assert tried[0] / len(mats) < 500  # with fixed margins around the cuts: some 1,200
+    whole_row = functools.reduce(pieces.times, [m for *_, m in mats])[0]
+    path = pieces.best_states([m for *_, m in mats], 0, int(np.argmax(whole_row)))
+    at = [mats[0][0][path[0]], *(out[j] for (_, out, _), j in zip(mats, path[1:]))]
+    traced = [c.trace(t, at[k], at[k + 1], *ends) for k, ends in enumerate(zip(cuts, cuts[1:]))]
+    assert [i for head, words, tail in traced for i in (*head, *c.encode([words])[0], *tail)] == expected
+
+
+def test_frequent_words_stay_in_a_full_memo(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 400)
+    c, given = pieces.Coder(pieces.model_path()), []
+    real_encode = c.sp.encode
+    c.sp = type("Library", (), {"encode": lambda self, x, **k: (given.extend(w for t in ([x] if isinstance(x, str) else x) for w in t.split(" ")), real_encode(x, **k))[1]})()
+    for k in range(20):
+        text = "often met " + " ".join(f"w{k}x{i}" for i in range(150)) + " \n①  two  blanks"
+        assert c.encode([text])[0].tolist() == real_encode(text)
+    assert given.count("often") == given.count("blanks") == 1 and len(c.memo) == 400
+
+
 def test_max_plus():
     rng = np.random.default_rng(0)
     mats = [np.where(rng.random(s) < 0.4, -np.inf, rng.normal(size=s)) for s in ((2, 3), (3, 4), (4, 2))]
