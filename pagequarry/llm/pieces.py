@@ -423,6 +423,7 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: s
                 part = b.slice(at, 1_024)
                 flat, ends = c.encode_flat(part.column(0).field(place))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))], names=["r", "ids"])
+            b = part = flat = ends = None  # before the next batch is read
         give_back()
 
     t = F.col("r").getField(text)
@@ -438,19 +439,21 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, text: s
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with decoded (string) for ids; null ids give null. A column decoded is replaced."""
     path = path or model_path()
+    packed, place = encoded.select(as_row(encoded).alias("r")), [c.lower() for c in encoded.columns].index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                ids = part.column(1)
+                ids = part.column(0).field(place)
                 ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))
                 flat = np.asarray(pc.fill_null(pc.list_flatten(ids), -1)).astype(np.int64)
                 texts = c.decode_flat(flat, ends)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t if fine else None for t, fine in zip(texts, ids.is_valid().to_pylist())], pa.string())], names=["r", "decoded"])
+            b = part = ids = flat = texts = None  # before the next batch is read
+        give_back()
 
-    packed = encoded.select(as_row(encoded).alias("r"), "ids")
     out = packed.mapInArrow(run, StructType([packed.schema["r"], StructField("decoded", StringType())]))
     return out.select(*[c for c, name in zip(row_columns(encoded, "r"), encoded.columns) if name.lower() != "decoded"], "decoded")
 
