@@ -1,10 +1,11 @@
 """Disk and memory are given back as soon as they aren't needed."""
 
+import re
 import time
 
 import numpy as np
 
-from pagequarry.llm import byte_grams, quality
+from pagequarry.llm import byte_grams, pieces, quality
 from pagequarry.llm.base import cut, keep, table
 from tests.conftest import DATA
 
@@ -38,6 +39,15 @@ def test_fitting_frees_shuffle_files_that_the_driver_refers_to(spark, monkeypatc
     assert _shuffled(spark) <= before and held and spark.conf.get(name) == set_before
 
 
+def test_texts_and_ids_go_to_the_workers_once(spark):
+    """Not beside the row that holds them already."""
+    encoded = pieces.encode(table(spark, DATA, "documents"))
+    for df, column in ((encoded, "text"), (pieces.decode(encoded), "ids")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        sent = [line for line in plan.splitlines() if " AS r#" in line and "Project" in line and " AS doc#" not in line]
+        assert sent and all(len(re.findall(rf"\b{column}#\d+", line)) == 1 for line in sent if f"{column}#" in line)
+
+
 def test_counts_beyond_32_bits_stay_whole():
     values = byte_grams.filled(np.zeros((2, 3), np.int32), np.array([2, 0]), np.array([[7, 8], [9, 1]]))
     assert values.dtype == np.int32 and values.tolist() == [[8, 0, 7], [1, 0, 9]]
