@@ -117,6 +117,16 @@ def _regular_elements(html: str, wanted: Callable[[str, str], bool]) -> list[lis
     return rows
 
 
+def elements_of(html: str, wanted: Callable[[str, str], bool], most_script: int | None = None) -> list[list]:
+    """The elements of a page that are asked for, by the short way where the page allows it."""
+    rows = _regular_elements(html, wanted) if most_script is None else None
+    if rows is None:
+        parser = _Elements(most_script, wanted)
+        parser.feed(html)
+        rows = parser.rows
+    return rows
+
+
 def html_elements(pages: DataFrame, most: int | None = None, most_script: int | None = None, tags: set[str] | None = None) -> DataFrame:
     """page_id, url, el_no, tag, parent, parent_no, attrs, text (of scripts) from pages (page_id, url, html).
 
@@ -129,14 +139,6 @@ def html_elements(pages: DataFrame, most: int | None = None, most_script: int |
     def wanted(tag: str, style: str) -> bool:
         return tag in names_wanted or (styled and "background" in style)
 
-    def elements_of(html: str) -> list[list]:
-        rows = _regular_elements(html, wanted) if most_script is None else None
-        if rows is None:
-            parser = _Elements(most_script, wanted)
-            parser.feed(html)
-            rows = parser.rows
-        return rows
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
         for batch in batches:
@@ -144,7 +146,7 @@ def html_elements(pages: DataFrame, most: int | None = None, most_script: int |
                 part = batch.slice(at, 64)
                 rows, page = [], []
                 for i, html in enumerate(part.column(2).to_pylist()):
-                    found = elements_of((html or "")[:most])
+                    found = elements_of((html or "")[:most], wanted, most_script)
                     rows += found
                     page += [i] * len(found)
                 if rows:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
 from pagequarry.functions.tables import keep, new_path
-from pagequarry.operators import dedup, downloads, html, links, manifests, metadata, reports
+from pagequarry.operators import dedup, downloads, html, links, manifests, metadata, pictures, reports
 from pagequarry.plans import catalog, fixtures
 from pagequarry.plans.catalog import _CANON, _EDGES, _JOBS, _MIME, _ONE, _PATHQ, _SIZE, _domain, _edges, _ext, _first_sql, _jobs, _pages, _register, _responses, _robots
 from pagequarry.plans.fixtures import dealt_out, view, view_sql
@@ -39,8 +39,7 @@ _PICTURE_SQL = " UNION ALL ".join(f"SELECT page_id, o || {path} AS image_url, '{
 
 @_register("page_images", f"WITH m AS ({_MEDIA}) {_PICTURE_SQL}", "media_pages")
 def _(spark, d):
-    hits = html.merge_page_hits(html.detect_images(view(spark, d, "media_pages")))
-    return hits.select("page_id", "image_url", "source_type", "alt", "title", F.size("variants").alias("variants"))
+    return pictures.page_pictures(view(spark, d, "media_pages"), counted=True)
 
 
 _VIDEO_SQL = """SELECT page_id, o || '/v/' || k || '.m3u8' AS video_url, 'hls-js' AS source_type, 'hls' AS container, 'application/x-mpegurl' AS mime_type, true AS is_manifest, '/o/' || k || '.jpg' AS thumbnail_url, 'V ' || k AS title FROM m
